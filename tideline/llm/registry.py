@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import language, quality
 
 QUERIES = {
+    "op9_language_id": language.query,
     "op10_quality_rules": quality.query,
 }
 
