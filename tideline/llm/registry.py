@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, quality
+from . import language, licenses, quality
 
 QUERIES = {
+    "op7_license_scan": licenses.query,
     "op9_language_id": language.query,
     "op10_quality_rules": quality.query,
 }
