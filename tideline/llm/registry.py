@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, licenses, quality
+from . import extraction, fingerprints, language, licenses, quality
 
 QUERIES = {
+    "op2_html_extraction": extraction.query,
     "op5_lcp_fingerprints": fingerprints.query,
     "op7_license_scan": licenses.query,
     "op9_language_id": language.query,
