@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import extraction, fingerprints, language, licenses, quality
+from . import bpe, extraction, fingerprints, jaccard, language, licenses, quality, tokens
 
 QUERIES = {
     "op2_html_extraction": extraction.query,
+    "op3_token_counts": tokens.query,
     "op5_lcp_fingerprints": fingerprints.query,
+    "op6_bpe_round_trip": bpe.query,
     "op7_license_scan": licenses.query,
+    "op8_ngram_jaccard": jaccard.query,
     "op9_language_id": language.query,
     "op10_quality_rules": quality.query,
 }
