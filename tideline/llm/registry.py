@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, extraction, fingerprints, jaccard, language, licenses, quality, tokens
+from . import bpe, extraction, fingerprints, jaccard, language, licenses, mixing, quality, tokens
 
 QUERIES = {
+    "op1_source_mixing": mixing.query,
     "op2_html_extraction": extraction.query,
     "op3_token_counts": tokens.query,
     "op5_lcp_fingerprints": fingerprints.query,
