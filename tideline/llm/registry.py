@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, extraction, fingerprints, jaccard, language, licenses, mixing, quality, tokens
+from . import bpe, extraction, fingerprints, jaccard, katz, language, licenses, mixing, quality, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_html_extraction": extraction.query,
     "op3_token_counts": tokens.query,
+    "op4_katz_scoring": katz.query,
     "op5_lcp_fingerprints": fingerprints.query,
     "op6_bpe_round_trip": bpe.query,
     "op7_license_scan": licenses.query,
