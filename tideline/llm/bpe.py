@@ -23,10 +23,10 @@ from ._common import _RANDOM, mix, span_hashes
 from .tokens import distinct_words, encode, tokenizer
 
 #: Bytes of text in a block, and tokens that are turned to strings at once.
-BLOCK = 24 << 20
-SLICE = 1 << 19
+BLOCK = 12 << 20
+SLICE = 1 << 18
 #: A range's task remembers so many words at most; one that had more would encode some of them again.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -38,8 +38,12 @@ def _numbers(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(batches):
-    """(ids, texts) of about BLOCK bytes of text; a longer text makes a longer block."""
+def _blocks(batches, limit: int | None = None):
+    """(ids, texts) of about `limit` (BLOCK) bytes of text; a longer text makes a longer block.
+
+    Memory that Arrow holds in reserve goes back before the next block.
+    """
+    limit = limit or BLOCK
     ids, texts, size = [], [], 0
     for rb in batches:
         text = pc.fill_null(rb.column(1).cast(pa.large_string()), "")
@@ -47,13 +51,14 @@ def _blocks(batches):
         lo = 0
         for hi in range(1, rb.num_rows + 1):
             size += int(length[hi - 1])
-            if size >= BLOCK or hi == rb.num_rows:
+            if size >= limit or hi == rb.num_rows:
                 ids.append(rb.column(0).slice(lo, hi - lo))
                 texts.append(text.slice(lo, hi - lo))
                 lo = hi
-                if size >= BLOCK:
+                if size >= limit:
                     yield pa.concat_arrays(ids), pa.concat_arrays(texts)
                     ids, texts, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
     if ids:
         yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
@@ -179,6 +184,7 @@ def _positions(path: str, kind: pa.DataType, full: bool):
                     names += ["ids", "decoded"]
                 out.append(pa.Table.from_arrays(columns, names=names))
                 lo = hi
+        pa.default_memory_pool().release_unused()
         if out:
             return pa.concat_tables(out)
         empty = [pa.array([], kind), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]
