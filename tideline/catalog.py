@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import documents, learning, observability, relational, retrieval  # noqa: F401
+from .plans._registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "class_health_score"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
