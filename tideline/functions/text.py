@@ -79,12 +79,12 @@ def bloom(text: Column) -> Column:
     return _let(F.array_max(F.array(*hits)), lambda best: F.when(best["n"] > 0, best["level"]).otherwise("understand"))
 
 
-def difficulty(level: Column, n_words: Column, grade: int = 6) -> Column:
+def difficulty(level: Column, n_words: Column, grade: int = 6, digits: int = 2) -> Column:
     base = F.lit(2.5)
     for k, v in BLOOM_DIFFICULTY.items():
         base = F.when(level == k, F.lit(v)).otherwise(base)
     x = base + min(1.5, grade / 10.0) * 0.3 + F.least(F.lit(1.0), n_words / 200.0) * 0.2
-    return F.bround(F.least(F.lit(5.0), F.greatest(F.lit(1.0), x)), 2)
+    return F.bround(F.least(F.lit(5.0), F.greatest(F.lit(1.0), x)), digits)
 
 
 def content_tokens(text: Column) -> Column:

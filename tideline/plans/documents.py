@@ -74,9 +74,9 @@ def bloom_level(spark, sf):
 
 
 @query(f"""WITH x AS (SELECT doc_id, {_bloom_sql('text')} AS level, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
-SELECT doc_id, round_even(least(5.0, greatest(1.0, CASE level WHEN 'remember' THEN 1.0 WHEN 'understand' THEN 2.0 WHEN 'apply' THEN 3.0 WHEN 'analyze' THEN 3.5 WHEN 'evaluate' THEN 4.0 WHEN 'create' THEN 4.5 ELSE 2.5 END + 0.6 * 0.3 + least(1.0, n / 200.0) * 0.2)), 2) AS difficulty FROM x""")
+SELECT doc_id, round_even(least(5e0, greatest(1e0, CASE level WHEN 'remember' THEN 1e0 WHEN 'understand' THEN 2e0 WHEN 'apply' THEN 3e0 WHEN 'analyze' THEN 3.5e0 WHEN 'evaluate' THEN 4e0 WHEN 'create' THEN 4.5e0 ELSE 2.5e0 END + 0.18e0 + least(1e0, n / 200e0) * 0.2e0)), 4) AS difficulty FROM x""")
 def difficulty(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.difficulty(T.bloom(F.col("text")), F.regexp_count("text", F.lit(r"\S+"))).alias("difficulty"))
+    return table(spark, sf, "documents").select("doc_id", T.difficulty(T.bloom(F.col("text")), F.regexp_count("text", F.lit(r"\S+")), digits=4).alias("difficulty"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")

@@ -75,14 +75,14 @@ def trend_slope(spark, sf):
     return o.groupBy("user_id").agg(F.bround(F.coalesce(F.regr_slope(used, F.col("i").cast("double")), F.lit(0.0)), 6).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_MASTERY}, m AS (SELECT user_id, avg(mastery) AS m FROM mastery GROUP BY 1), s AS (SELECT user_id, least(1.0, avg(value) / 20.0) AS c, greatest(0.0, least(1.0, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') / 7.0 / 20.0)) AS e, count(*) FILTER (event_type = 'error') / count(*) AS r FROM events GROUP BY 1),
-x AS (SELECT user_id, m, c, e, greatest(0.0, least(1.0, (1 - m) * 0.35 + (1 - c) * 0.25 + (1 - e) * 0.25 + r * 0.15)) AS risk FROM m JOIN s USING (user_id))
+@query(f"""WITH RECURSIVE {_MASTERY}, m AS (SELECT user_id, round_even(avg(mastery), 9) AS m FROM mastery GROUP BY 1), s AS (SELECT user_id, round_even(least(1e0, avg(value) / 20e0), 9) AS c, greatest(0.0, least(1e0, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') / 7e0 / 20e0)) AS e, count(*) FILTER (event_type = 'error') / count(*) AS r FROM events GROUP BY 1),
+x AS (SELECT user_id, m, c, e, greatest(0.0, least(1.0, (1 - m) * 0.35e0 + (1 - c) * 0.25e0 + (1 - e) * 0.25e0 + r * 0.15e0)) AS risk FROM m JOIN s USING (user_id))
 SELECT user_id, round_even(risk, 6) AS risk, CASE WHEN risk >= 0.65 THEN 'high' WHEN risk >= 0.4 THEN 'medium' ELSE 'low' END AS level, CASE WHEN m < 0.45 OR c < 0.4 THEN 'below_level' WHEN m >= 0.75 AND c >= 0.7 THEN 'above_level' ELSE 'on_level' END AS advice FROM x""")
 def risk_score(spark, sf):
     events = _events(spark, sf)
-    m = mastery_table(events).groupBy("user_id").agg(F.avg("mastery").alias("m"))
+    m = mastery_table(events).groupBy("user_id").agg(F.bround(F.avg("mastery"), 9).alias("m"))
     recent = F.count_if(F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-24 00:00:00'"))
-    s = events.groupBy("user_id").agg(F.least(F.lit(1.0), F.avg("value") / 20.0).alias("c"), L.engagement(recent).alias("e"), (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("r"))
+    s = events.groupBy("user_id").agg(F.bround(F.least(F.lit(1.0), F.avg("value") / 20.0), 9).alias("c"), L.engagement(recent).alias("e"), (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("r"))
     x = m.join(s, "user_id").withColumn("x", L.risk_score(F.col("m"), F.col("c"), F.col("e"), F.col("r")))
     return x.select("user_id", F.bround("x", 6).alias("risk"), L.risk_level(F.col("x")).alias("level"), L.difficulty_advice(F.col("m"), F.col("c")).alias("advice"))
 

@@ -20,12 +20,12 @@ def _k():
     return F.get_json_object("props", "$.k").cast("int")
 
 
-@query("""SELECT date_trunc('hour', ts) AS bucket, event_type AS metric_key, count(*) AS n, round_even(sum(value), 2) AS total, min(value) AS lo, max(value) AS hi, round_even(avg(value), 4) AS p50, max(value) AS p95, max(value) AS p99 FROM events GROUP BY 1, 2""")
+@query("""SELECT date_trunc('hour', ts) AS bucket, event_type AS metric_key, count(*) AS n, round_even(sum(value), 2) AS total, min(value) AS lo, max(value) AS hi, round_even(avg(value), 7) AS p50, max(value) AS p95, max(value) AS p99 FROM events GROUP BY 1, 2""")
 def hour_rollup_parity(spark, sf):
     """Rollup with the running mean and maximum in the place of percentiles, as the dashboards expect them."""
     g = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), F.col("event_type").alias("metric_key"))
     top = F.max("value")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum("value"), 2).alias("total"), F.min("value").alias("lo"), top.alias("hi"), F.bround(F.avg("value"), 4).alias("p50"), top.alias("p95"), top.alias("p99"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum("value"), 2).alias("total"), F.min("value").alias("lo"), top.alias("hi"), F.bround(F.avg("value"), 7).alias("p50"), top.alias("p95"), top.alias("p99"))
 
 
 @query("""SELECT date_trunc('day', ts) AS bucket, event_type AS metric_key, count(*) AS n, round_even(quantile_cont(value, 0.5), 4) AS p50, round_even(quantile_cont(value, 0.95), 4) AS p95, round_even(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1, 2""")
@@ -47,14 +47,14 @@ def error_fingerprint_groups(spark, sf):
 
 
 @query("""WITH a AS (SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, avg(value) AS latency, count(DISTINCT user_id) AS users FROM events WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31')
-SELECT requests, errors, users, round_even(latency, 4) AS mean_ms, round_even(CASE WHEN requests > 0 THEN errors / requests END, 6) AS error_rate, round_even(CASE WHEN requests > 0 THEN 1 - errors / requests END, 6) AS success_rate,
+SELECT requests, errors, users, round_even(latency, 7) AS mean_ms, round_even(CASE WHEN requests > 0 THEN errors / requests END, 6) AS error_rate, round_even(CASE WHEN requests > 0 THEN 1 - errors / requests END, 6) AS success_rate,
 CASE WHEN requests > 0 AND errors / requests >= 0.5 THEN 'critical' WHEN requests > 0 AND errors / requests >= 0.1 THEN 'degraded' ELSE 'healthy' END AS status FROM a""")
 def overview_dashboard(spark, sf):
     day = (F.col("ts") >= F.expr(f"TIMESTAMP_NTZ'{AS_OF}' - INTERVAL 1 DAY")) & (F.col("ts") < F.expr(f"TIMESTAMP_NTZ'{AS_OF}'"))
     a = table(spark, sf, "events").where(day).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.avg("value").alias("latency"), F.count_distinct("user_id").alias("users"))
     rate = F.try_divide("errors", "requests")
     status = F.when(rate >= 0.5, "critical").when(rate >= 0.1, "degraded").otherwise("healthy")
-    return a.select("requests", "errors", "users", F.bround("latency", 4).alias("mean_ms"), F.bround(rate, 6).alias("error_rate"), F.bround(1 - rate, 6).alias("success_rate"), status.alias("status"))
+    return a.select("requests", "errors", "users", F.bround("latency", 7).alias("mean_ms"), F.bround(rate, 6).alias("error_rate"), F.bround(1 - rate, 6).alias("success_rate"), status.alias("status"))
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE value >= 20 ORDER BY value DESC, event_id LIMIT 20")
