@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, learning, observability, relational, retrieval, streams  # noqa: F401
+from .plans import documents, learning, observability, relational, retrieval, streams, structure  # noqa: F401
 from .plans._registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "class_health_score"
