@@ -10,7 +10,7 @@ so a candidate pair has to share such a prefix token under each of ORDERS orders
 2. The orders put rare tokens first (by the level the bitmaps give, then by a hash of their own), so passages that many
    documents share stand last. A token in one node only links nothing: a node whose prefix holds none but such tokens
    takes no further part.
-3. Nodes that share a prefix token meet there. First each is compared with one hub, then with every hub, both only
+3. Nodes that share a prefix token meet there, if enough of both sets follows it in the order. First each is compared with one hub, then with every hub, both only
    across components found so far, last all remaining pairs across components. A group of near copies is joined by a
    star of comparisons so, and none of its pairs is emitted; a pair inside one component cannot change the result.
 """
@@ -163,7 +163,10 @@ def _levels_of(h: np.ndarray, bits: list[int], maps: list[np.ndarray]) -> np.nda
 
 
 def _active(bits: list[int], maps, orders: int):
-    """(node, n, prefix tokens of each order that may link, the set) of the texts whose prefixes hold such tokens."""
+    """(node, n, alone, prefix tokens of each order that may link, the set) of the texts whose prefixes hold such tokens.
+
+    alone is the number of tokens that no other node has; they come first in every order.
+    """
 
     def run(batches):
         for rb in batches:
@@ -173,7 +176,8 @@ def _active(bits: list[int], maps, orders: int):
             alone = np.zeros(len(h) + 1, np.int64)
             np.cumsum(level == 0, out=alone[1:])
             prefix = n - -(-PERCENT * n // 100) + 1
-            live = np.flatnonzero((n > 0) & (alone[first[1:]] - alone[first[:-1]] < prefix))
+            lone = alone[first[1:]] - alone[first[:-1]]
+            live = np.flatnonzero((n > 0) & (lone < prefix))
             node, _ = _set_keys(h, first)
             columns = [[] for _ in range(orders)]
             for d in live:
@@ -184,7 +188,8 @@ def _active(bits: list[int], maps, orders: int):
                     columns[k].append(own[chosen[lv[chosen] > 0]].view(np.int64))
             sets = [h[first[d] : first[d + 1]].tobytes() for d in live]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[live]), pa.array(n[live]), *(pa.array(c, pa.list_(pa.int64())) for c in columns), pa.array(sets, pa.binary())], names=["node", "n", *(f"p{k}" for k in range(orders)), "set"]
+                [pa.array(node[live]), pa.array(n[live]), pa.array(lone[live]), *(pa.array(c, pa.list_(pa.int64())) for c in columns), pa.array(sets, pa.binary())],
+                names=["node", "n", "alone", *(f"p{k}" for k in range(orders)), "set"],
             )
 
     return run
@@ -194,13 +199,21 @@ def _similar_size(a: str, b: str) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _enough_left(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
+    """Whether sets that first meet at these positions (from 0) of one order can still have enough in common."""
+    need = PERCENT * (F.col(n_a) + F.col(n_b))
+    return ((100 + PERCENT) * (F.col(n_a) - F.col(at_a)) >= need) & ((100 + PERCENT) * (F.col(n_b) - F.col(at_b)) >= need)
+
+
 def _verified(pairs: DataFrame, active: DataFrame, orders: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token in every order and whose sets are similar enough."""
     rest = [f"p{k}" for k in range(1, orders)]
     for side in ("a", "b"):
-        pairs = pairs.join(active.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rest)), side)
+        pairs = pairs.join(active.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ["n", "alone", *rest])), side)
+    common = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT)).cast("int")
+    short = lambda c, s: F.slice(f"{c}_{s}", 1, F.greatest(F.col(f"n_{s}") - common + 1 - F.col(f"alone_{s}"), F.lit(0)).cast("int"))
     for c in rest:
-        pairs = pairs.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+        pairs = pairs.where(F.arrays_overlap(short(c, "a"), short(c, "b")))
     pairs = pairs.select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(active.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
@@ -247,12 +260,14 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def link_components(active: DataFrame, orders: int = ORDERS) -> DataFrame:
     """(node, label) of the nodes that have a link; label is the same for nodes that links connect.
 
-    active: node, n, p0, p1, ..., set, a row for each node (more rows of one node do no harm).
+    active: node, n, alone, p0, p1, ..., set, a row for each node (more rows of one node do no harm).
     """
-    tokens = active.select("node", "n", F.explode("p0").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where(F.col("hub.node") != F.col("last")).select("token", "hub")
-    stars = tokens.join(shared, "token").where((F.col("node") != F.col("hub.node")) & _similar_size("n", "hub.n"))
-    stars = stored(stars.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes")), "stars")
+    tokens = active.select("node", "n", "alone", F.posexplode("p0").alias("at", "token")).withColumn("at", F.col("at") + F.col("alone"))
+    # The hub has the smallest share of tokens of its own: of a group of edited copies, the least edited one.
+    shared = tokens.groupBy("token").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "at")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = shared.where("lo != hi").select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
+    stars = tokens.join(shared, "token").where((F.col("node") != F.col("hub")) & _similar_size("n", "hub_n") & _enough_left("n", "at", "hub_n", "hub_at"))
+    stars = stored(stars.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes")), "stars")
     best = stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = stored(_verified(best, active, orders), "links")
     labels = components(links)
@@ -260,11 +275,11 @@ def link_components(active: DataFrame, orders: int = ORDERS) -> DataFrame:
     links = links.union(more)
     labels = components(links)
     # All pairs across components that share a token: only tokens where two components still meet.
-    placed = tokens.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    placed = tokens.join(labels, "node", "left").select("token", "node", "n", "at", F.coalesce("label", "node").alias("label"))
     split = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     met = placed.join(split, "token", "left_semi")
-    x, y = (met.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"l_{s}")) for s in ("a", "b"))
-    pairs = x.join(y, (x.token == y.token) & (x.l_a < y.l_b) & _similar_size("n_a", "n_b")).select("a", "b").distinct()
+    x, y = (met.select("token", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"), F.col("label").alias(f"l_{s}")) for s in ("a", "b"))
+    pairs = x.join(y, (x.token == y.token) & (x.l_a < y.l_b) & _similar_size("n_a", "n_b") & _enough_left("n_a", "at_a", "n_b", "at_b")).select("a", "b").distinct()
     tried = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), active, orders), "links")
     return components(links.union(rest))
@@ -281,7 +296,7 @@ def ngram_jaccard_join(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     texts, total = _without_copies(docs, keys)
     bits, maps = frequency_levels(texts, total)
     held = docs.sparkSession.sparkContext.broadcast(maps)
-    schema = "node long, n long, " + "".join(f"p{k} array<long>, " for k in range(orders)) + "set binary"
+    schema = "node long, n long, alone long, " + "".join(f"p{k} array<long>, " for k in range(orders)) + "set binary"
     active = stored(texts.mapInArrow(_active(bits, held, orders), schema), "active")
     labels = link_components(active, orders)
     rows = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
