@@ -7,6 +7,7 @@ memory of a task whatever the size of an Arrow batch; one longer text makes one
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -83,6 +84,33 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+try:
+    _libc = ctypes.CDLL(None)
+except (OSError, TypeError):
+    _libc = None
+
+
+def bounded(batches, text: str = "text", limit: int = 4 * PIECE):
+    """The batches cut to slices of about limit bytes in the named column; a longer text makes a longer slice."""
+    for rb in batches:
+        size = pc.fill_null(pc.binary_length(rb.column(rb.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size.astype(np.int64))
+        row = 0
+        while row < rb.num_rows:
+            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + limit, "right")))
+            yield rb.slice(row, to - row)
+            row = to
+        release()
+
+
 def pieces(column: pa.Array, limit: int = PIECE):
     """(first row, past the last row, bytes, offsets) for pieces of a text column of about limit bytes; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

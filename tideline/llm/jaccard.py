@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, pieces, stored, word_hashes
+from ._common import PIECE, bounded, mix, pieces, stored, word_hashes
 from .bpe import _expand, _numbers, _planes
 
 WORDS = 5
@@ -80,7 +80,7 @@ def set_keys(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             h, first = shingle_sets(rb.column(2))
             node, check = _set_keys(h, first)
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(np.diff(first)), pa.array(node), pa.array(check)], names=["doc_id", "text_hash", "n_shingles", "node", "check"])
@@ -101,10 +101,10 @@ def _without_copies(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _send_tokens(b: int):
-    """The sorted distinct tokens of each batch, cut to b + 32 bits and dealt to 2**b ranges, with their counts."""
+    """The sorted distinct tokens of each block, cut to b + 32 bits and dealt to 2**b ranges, with their counts."""
 
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches, limit=16 * PIECE):
             h, _ = shingle_sets(rb.column(0))
             h = np.sort(h >> np.uint64(32 - b))
             if not len(h):
@@ -169,7 +169,7 @@ def _active(bits: list[int], maps, orders: int):
     """
 
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             h, first = shingle_sets(rb.column(0))
             n = np.diff(first)
             level = _levels_of(h, bits, maps.value)
