@@ -138,3 +138,82 @@ def without_synonyms(top: DataFrame, n: int, most: float = 0.85) -> DataFrame:
         return pa.Table.from_pandas(frame.loc[kept], schema=table.schema, preserve_index=False)
 
     return top.groupBy("lang").applyInArrow(keep, top.schema)
+
+
+def greedy_assignment(hits: DataFrame) -> DataFrame:
+    """(query, id): queries of a label in their order take the best hit that is still free; a few queries a label."""
+
+    def assign(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas().sort_values(["query", "rank"])
+        taken: set[int] = set()
+        out = []
+        for q, group in frame.groupby("query"):
+            free = next((i for i in group.id if i not in taken), None)
+            if free is not None:
+                taken.add(free)
+                out.append((int(q), int(free)))
+        return pa.table({"query": pa.array([x for x, _ in out], pa.int64()), "id": pa.array([x for _, x in out], pa.int64())})
+
+    return hits.select("label", "query", "id", "rank").groupBy("label").applyInArrow(assign, "query long, id long")
+
+
+_QUESTION = re.compile(r"^\s*(?:Q(?:uestion)?\s*)?(\d+)[.)]\s*(.+)$", re.I)
+_OPTION = re.compile(r"^\s*([A-D])[.)-]\s*(.+)$")
+_ANSWER = re.compile(r"^\s*Answer\s*:\s*([A-D])\b", re.I)
+_KEY = re.compile(r"^\s*(\d+)[.)]\s*([A-D])\s*$", re.I)
+
+
+def parse_quiz(text: str) -> list[tuple[int, str, list[str], str | None]]:
+    """(number, question, options, answer) of each numbered question with two options or more; a key at the end goes
+    before an answer at the question."""
+    found: dict[int, list] = {}
+    key: dict[int, str] = {}
+    now, in_key = None, False
+    for line in text.splitlines():
+        if re.match(r"^\s*#+\s*answer", line, re.I):
+            in_key = True
+        elif in_key and (m := _KEY.match(line)):
+            key[int(m[1])] = m[2].upper()
+        elif not in_key and (m := _OPTION.match(line)) and now is not None:
+            found[now][1].append(m[2].strip())
+        elif (m := _ANSWER.match(line)) and now is not None:
+            found[now][2] = m[1].upper()
+        elif not in_key and (m := _QUESTION.match(line)):
+            now = int(m[1])
+            found[now] = [m[2].strip(), [], None]
+    return [(n, q, options, key.get(n, answer)) for n, (q, options, answer) in found.items() if len(options) >= 2]
+
+
+def quiz_items(rows: DataFrame) -> DataFrame:
+    """(id, number, question, options, answer) of every question in the texts of rows (id, text)."""
+    kind = "array<struct<number:int,question:string,options:array<string>,answer:string>>"
+
+    @F.pandas_udf(kind)
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: [{"number": n, "question": q, "options": o, "answer": a} for n, q, o, a in parse_quiz(t)])
+
+    return rows.select("id", F.explode(parse("text")).alias("x")).select("id", "x.*")
+
+
+def longest_increasing(values: Column) -> Column:
+    """One longest strictly increasing subsequence of an array of whole numbers."""
+
+    @F.pandas_udf("array<int>")
+    def run(lists: pd.Series) -> pd.Series:
+        import bisect
+
+        def one(xs):
+            ends, at, before = [], [], []
+            for i, x in enumerate(xs):
+                k = bisect.bisect_left(ends, x)
+                before.append(at[k - 1] if k else None)
+                ends[k : k + 1], at[k : k + 1] = [x], [i]
+            out, i = [], at[-1] if at else None
+            while i is not None:
+                out.append(int(xs[i]))
+                i = before[i]
+            return out[::-1]
+
+        return lists.map(one)
+
+    return run(values)
