@@ -19,29 +19,49 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import _RANDOM, mix, span_hashes
+from ._common import _RANDOM, mix, release, span_hashes
 from .tokens import distinct_words, encode, tokenizer
 
 #: Bytes of text in a block, and tokens that are turned to strings at once.
 BLOCK = 12 << 20
 SLICE = 1 << 18
+_CODEC = pa.Codec("zstd", 1)
 #: A range's task remembers so many words at most; one that had more would encode some of them again.
 REMEMBERED = 250_000
 
 
+def _zip(b: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(b).to_bytes(8, "little") + (_CODEC.compress(b, asbytes=True) if b else b"")
+
+
+def _unzip(b: bytes) -> bytes:
+    n = int.from_bytes(b[:8], "little")
+    return _CODEC.decompress(b[8:], n, asbytes=True) if n else b""
+
+
+def _split_bytes(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all lowest bytes first: the higher ones of small numbers are runs of zeros."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _join_bytes(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """The bytes of uint32 numbers, all lowest bytes first: small numbers leave long runs of zeros to the compression."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers from 0 to below 2**32, compressed."""
+    return _zip(_split_bytes(x.astype("<u4")))
 
 
 def _numbers(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return _join_bytes(_unzip(b), "<u4")
 
 
 def _blocks(batches, limit: int | None = None):
     """(ids, texts) of about `limit` (BLOCK) bytes of text; a longer text makes a longer block.
 
-    Memory that Arrow holds in reserve goes back before the next block.
+    Memory that is no longer used goes back before the next block.
     """
     limit = limit or BLOCK
     ids, texts, size = [], [], 0
@@ -58,7 +78,7 @@ def _blocks(batches, limit: int | None = None):
                 if size >= limit:
                     yield pa.concat_arrays(ids), pa.concat_arrays(texts)
                     ids, texts, size = [], [], 0
-                    pa.default_memory_pool().release_unused()
+                    release()
     if ids:
         yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
@@ -101,7 +121,7 @@ def _ask(ranges: int):
             blobs = _joined(words, order, at, "\n")
             full = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(full), name)), pa.array(full.astype(np.int32)), pa.array(np.diff(at)[full]), blobs.take(pa.array(full)).cast(pa.large_binary()).cast(pa.binary())], names=["block", "part", "n", "words"]
+                [pa.array(np.full(len(full), name)), pa.array(full.astype(np.int32)), pa.array(np.diff(at)[full]), pa.array([_zip(blobs[int(r)].as_buffer().to_pybytes()) for r in full], pa.binary())], names=["block", "part", "n", "words"]
             )
 
     return run
@@ -113,7 +133,7 @@ def _answer(path: str):
         for rb in batches:
             lengths, ids = [], []
             for blob in rb.column(3):
-                words = blob.as_py().decode().split("\n")
+                words = _unzip(blob.as_py()).decode().split("\n")
                 if len(memo) + len(words) > REMEMBERED:
                     memo.clear()
                 new = [w for w in words if w not in memo]
@@ -184,7 +204,7 @@ def _positions(path: str, kind: pa.DataType, full: bool):
                     names += ["ids", "decoded"]
                 out.append(pa.Table.from_arrays(columns, names=names))
                 lo = hi
-        pa.default_memory_pool().release_unused()
+        release()
         if out:
             return pa.concat_tables(out)
         empty = [pa.array([], kind), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, mix, pieces, scratch, word_hashes
-from .bpe import _blocks, _numbers, _planes
+from ._common import crc_mod, mix, pieces, release, scratch, word_hashes
+from .bpe import _blocks, _join_bytes, _numbers, _planes, _split_bytes, _unzip, _zip
 
 FOLDS, HELD_OUT = 7, 2
 #: Counts above this are not discounted.
 GT_LIMIT = 5
+#: Ranges of pairs for each range of words.
+PAIR_RANGES = 4
 #: A first word with more than this share of a range's even part of the training tokens is dealt by both words.
 HOT_SHARE = 0.25
 
@@ -179,12 +181,12 @@ def discounted(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers from 0 to below 2**63, all lowest bytes first."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers from 0 to below 2**63, compressed."""
+    return _zip(_split_bytes(x.astype("<i8")))
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return _join_bytes(_unzip(b), "<i8")
 
 
 def _state(batches):
@@ -269,6 +271,7 @@ def _ask_pairs(ranges: int, hot: int):
                 x, y, n = a[cut[r] : cut[r + 1]], b[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
                 runs = _runs(x)
                 out.append((row["block"], int(r), _pack(np.diff(k.number[x[runs]], prepend=0)), _planes(np.diff(np.append(runs, len(x)))), _planes(k.count[x[runs]] > hot), _pack(k.number[y]), _planes(k.count[y]), _planes(n)))
+        release()
         return _table(out, [("block", pa.int64()), ("range", pa.int32()), *((c, pa.binary()) for c in _PAIR_COLUMNS)])
 
     return run
@@ -315,20 +318,22 @@ def _pairs_of_range(unigrams: Unigrams):
             mine = stats[np.searchsorted(first, own)]
             rows.append((block, r, None, None, None, _planes(total[place[done : done + len(au)]]), _pack_stats(mine), None))
             done += len(au)
+        release()
         return _table(rows, _ROWS)
 
     return run
 
 
 def _pack_stats(x: np.ndarray) -> bytes:
-    return _planes(x[:, 0]) + x[:, 1].astype("<f8").tobytes() + b"".join(_planes(x[:, i]) for i in range(2, x.shape[1]))
+    counts = np.delete(x, 1, axis=1).T.astype("<u4")
+    return _zip(x[:, 1].astype("<f8").tobytes() + b"".join(_split_bytes(c) for c in counts))
 
 
 def _unpack_stats(b: bytes) -> np.ndarray:
-    n = len(b) // (4 + 8 + 4 * GT_LIMIT)
-    columns = [_numbers(b[: 4 * n]), np.frombuffer(b[4 * n : 12 * n], "<f8")]
-    columns += [_numbers(b[12 * n + 4 * n * i : 12 * n + 4 * n * (i + 1)]) for i in range(GT_LIMIT)]
-    return np.stack([c.astype(float) for c in columns], axis=1)
+    b = _unzip(b)
+    n = len(b) // (8 + 4 * (GT_LIMIT + 1))
+    total, *low = (_join_bytes(b[8 * n + 4 * n * i : 8 * n + 4 * n * (i + 1)], "<u4") for i in range(GT_LIMIT + 1))
+    return np.stack([total.astype(float), np.frombuffer(b[: 8 * n], "<f8"), *(c.astype(float) for c in low)], axis=1)
 
 
 def weights(stats: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,6 +386,7 @@ def _score(ranges: int, hot: int, unigrams: Unigrams, discount: np.ndarray, ofte
             with np.errstate(divide="ignore"):
                 score = np.log10(p)
             out.append(pa.Table.from_arrays([pa.array(x, f) for x, (_, f) in zip((k.ids, k.held, np.diff(k.first), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(score, begin)), fields, strict=True)], names=[f for f, _ in fields]))
+        release()
         return pa.concat_tables(out) if out else _table([], fields)
 
     return run
@@ -411,6 +417,7 @@ def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None) ->
     low = [int(sizes[f"n{i}"] or 0) for i in range(GT_LIMIT + 2)]
     unigrams = Unigrams(int(sizes["kinds"] or 0), int(sizes["tokens"] or 0), low)
     hot = int(HOT_SHARE * unigrams.tokens / ranges) + 1
+    ranges = ranges * PAIR_RANGES
 
     states = docs.mapInArrow(_state, f"block long, doc_ids array<{kind}>, held binary, n binary, index binary, order binary, start long").groupBy("block")
     word_answers = words.where("block is not null").select("block", "range", "keys", "counts")
