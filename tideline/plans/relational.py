@@ -13,14 +13,16 @@ from ..operators import relational as R
 from ..sources.tables import AS_OF, lookup, retained, row_id, table, upserted
 from ._registry import query
 
-PCT = F.col("l_quantity") * 2
+
+def _pct():
+    return F.col("l_quantity") * 2
 
 
 def _progress(spark: SparkSession, sf: str) -> DataFrame:
     """student, chapter, subject, status, pct, at: a row for each line item."""
     items, orders, parts = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "part")
     joined = items.join(orders.select("o_orderkey", "o_custkey"), items.l_orderkey == orders.o_orderkey).join(parts.select("p_partkey", "p_name", "p_brand"), items.l_partkey == parts.p_partkey)
-    return joined.select(F.col("o_custkey").alias("student"), F.col("l_partkey").alias("chapter"), F.col("p_brand").alias("subject"), F.col("p_name").alias("title"), PCT.alias("pct"), F.col("l_shipdate").alias("at"))
+    return joined.select(F.col("o_custkey").alias("student"), F.col("l_partkey").alias("chapter"), F.col("p_brand").alias("subject"), F.col("p_name").alias("title"), _pct().alias("pct"), F.col("l_shipdate").alias("at"))
 
 
 _PROGRESS_SQL = """progress AS (SELECT o_custkey AS student, l_partkey AS chapter, p_brand AS subject, p_name AS title, l_quantity * 2 AS pct, l_shipdate AS at
@@ -33,14 +35,14 @@ def weak_topics_having(spark, sf):
     items, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
     topic = F.coalesce(F.nullif(F.trim("p_name"), F.lit("")), F.col("p_brand"))
     grouped = items.join(parts, items.l_partkey == parts.p_partkey).groupBy(F.col("p_brand").alias("subject"), topic.alias("topic"))
-    agg = grouped.agg(F.avg(PCT).alias("mean"), F.count_distinct("l_orderkey").alias("students"))
+    agg = grouped.agg(F.avg(_pct()).alias("mean"), F.count_distinct("l_orderkey").alias("students"))
     return agg.where("mean < 55").orderBy("mean", "subject", "topic").limit(20).select("subject", "topic", R.percent(F.col("mean")).alias("avg_pct"), "students")
 
 
 @query("""SELECT p_type AS topic, cast(round_even(avg(l_quantity * 2), 0) AS INTEGER) AS mastery, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def topic_mastery(spark, sf):
     items, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    return items.join(parts, items.l_partkey == parts.p_partkey).groupBy(F.col("p_type").alias("topic")).agg(R.percent(F.avg(PCT)).alias("mastery"), F.count(F.lit(1)).alias("n"))
+    return items.join(parts, items.l_partkey == parts.p_partkey).groupBy(F.col("p_type").alias("topic")).agg(R.percent(F.avg(_pct())).alias("mastery"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_PROGRESS_SQL} SELECT student, cast(round_even(avg(pct), 0) AS INTEGER) AS completion FROM progress GROUP BY 1")
