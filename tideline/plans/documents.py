@@ -47,7 +47,7 @@ def section_forward_fill(spark, sf):
 
 
 @query(r"""WITH x AS (SELECT doc_id, greatest(1, length(text) // 4) AS n, regexp_matches(trim(text), '[A-Za-z]-\s*$') AS hyphen, regexp_matches(text, '(?:^|\n)\s*(?:[-*]|[0-9]+[.)])\s*$') AS lst FROM documents)
-SELECT doc_id, cast(n AS INTEGER) AS tokens, n < 50 AS too_small, n > 1200 AS too_large, round_even(1.0 - 0.2 * (cast(n < 50 AS INT) + cast(n > 1200 AS INT) + cast(hyphen AS INT) + cast(lst AS INT)), 2) AS score FROM x""")
+SELECT doc_id, cast(n AS INTEGER) AS tokens, n < 50 AS too_small, n > 1200 AS too_large, round_even(1e0 - 0.2e0 * (cast(n < 50 AS INT) + cast(n > 1200 AS INT) + cast(hyphen AS INT) + cast(lst AS INT)), 2) AS score FROM x""")
 def chunk_quality(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", T.token_length(F.col("text")).alias("tokens"), T.chunk_issues(F.col("text")).alias("issues"))
     has = lambda x: F.array_contains("issues", x)

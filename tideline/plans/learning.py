@@ -112,7 +112,7 @@ def knowledge_gaps(spark, sf):
     return x.withColumn("gap", gap).where("gap IS NOT NULL").select("user_id", "concept", "gap")
 
 
-@query(f"SELECT user_id, {_C} AS concept, count(*) AS n, round_even(least(0.95, 0.5 + (count(*) - 1) * 0.08), 4) AS confidence FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query(f"SELECT user_id, {_C} AS concept, count(*) AS n, round_even(least(0.95e0, 0.5e0 + (count(*) - 1) * 0.08e0), 4) AS confidence FROM events WHERE event_type = 'error' GROUP BY 1, 2")
 def misconception_counts(spark, sf):
     g = _events(spark, sf).where("event_type = 'error'").groupBy("user_id", "concept").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("confidence", F.bround(L.misconception_confidence(F.col("n")), 4))
