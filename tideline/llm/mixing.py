@@ -24,8 +24,12 @@ SAMPLE = 20_000
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 STEPS, TOLERANCE = 15, 1e-3
 #: Target shares of the tokens by domain of the labelled table, and the tokens wanted, as a multiple of those there are.
-TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
+TARGETS = {"clean": 0.85, "poor": 0.09, "toxic": 0.06}
 BUDGET = 1.0
+#: The pipeline mixes what its filters left. Its targets are the shares that domains have there times these factors.
+STAGE_FACTORS = {"clean": 1.0, "poor": 0.8, "toxic": 0.6}
+#: Tokens after the stage as a multiple of those before it: enough for clean documents to keep a rate of about one.
+STAGE_BUDGET = 1.1
 
 
 class Classifier:
@@ -162,6 +166,14 @@ def fit_rates(features: DataFrame, model: Classifier, targets: dict[str, float],
         steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (have - want))
 
 
+def scaled_shares(features: DataFrame, model: Classifier, factors: dict[str, float]) -> dict[str, float]:
+    """Targets: the expected tokens of each domain as they are, times a factor. Posteriors are soft, so a share far
+    below what documents of other domains bring along could only be met by dropping most of these."""
+    post = [F.sum(F.col("_mix_tokens") * F.get("_mix_posterior", F.lit(k))).alias(f"s{k}") for k in range(len(model.names))]
+    row = features.agg(*post).first()
+    return {name: (row[f"s{k}"] or 0.0) * factors.get(name, 1.0) for k, name in enumerate(model.names)}
+
+
 def copies(rate_column: Column) -> Column:
     """A whole number of copies whose expectation is the rate; the id's hash decides, so it is the same in every run."""
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 53)) / float(1 << 53)
@@ -199,9 +211,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as its number of copies says."""
     labelled = domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = train(docs, labelled, sorted(TARGETS))
+    model = train(docs, labelled, sorted(STAGE_FACTORS))
     features = stored(with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "mixing")
-    steps, _, _ = fit_rates(features, model, TARGETS)
+    steps, _, _ = fit_rates(features, model, scaled_shares(features, model, STAGE_FACTORS), STAGE_BUDGET)
     mixed = with_posteriors(docs, model).withColumn("_mix_copies", copies(rate(steps)))
     repeated = mixed.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
     return repeated.select(*docs.columns)
