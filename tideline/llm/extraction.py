@@ -29,8 +29,10 @@ MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "consent", "cookie", "cookies",
     "disqus", "footer", "gdpr", "login", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "recommended",
     "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "modal", "alert",
-    "overlay", "paywall", "skip", "copyright", "legal", "disclaimer",
+    "overlay", "paywall", "skip", "copyright", "legal", "disclaimer", "adsense", "adslot", "adbox", "adcontainer",
 }
+#: Words that make a "header" one of the article and not of the page.
+OWN = {"article", "entry", "post", "content", "story"}
 WINDOW = 3
 #: Without an article or main element, a window of lines needs this many weighted characters to count as text.
 DENSE = 60
@@ -53,7 +55,8 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     if name in _CONTENT or name in ("body", "html"):
         return False
     for m in _MARKED.finditer(attributes):
-        if any(w.lower() in MARKS for w in _WORD.findall(m[1] or m[2] or m[3] or "")):
+        words = {w.lower() for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+        if words & MARKS or ("header" in words and not inside and not words & OWN):
             return True
     return False
 
