@@ -160,3 +160,12 @@ def test_spread_sample(spark):
 def test_forward_fill_moves_as_a_whole(spark):
     rows = spark.createDataFrame([("d", 1, "A", 1), ("d", 2, None, None), ("d", 3, "B", None), ("d", 4, None, None)], "s string, i int, t string, l int")
     assert [(r.t, r.l) for r in W.forward_filled(rows, ["s"], ["i"], ["t", "l"]).orderBy("i").collect()] == [("A", 1), ("A", 1), ("B", None), ("B", None)]
+
+
+def test_phrases_both_ways(spark):
+    from tideline.operators.matching import phrases_found
+
+    phrases = spark.createDataFrame([(1, "he quick brown"), (2, "brown"), (3, "fox jumps high"), (4, "no"), (5, "over the la")], "item_id int, phrase string")
+    texts = spark.createDataFrame([("the quick brown fox",), ("jumps over the lazy dog",)], "text string")
+    want = [(1, True), (2, True), (3, False), (4, False), (5, True)]
+    assert sorted(phrases_found(phrases, texts).collect()) == sorted(phrases_found(phrases, texts, 1).collect()) == want

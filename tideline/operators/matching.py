@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A table of phrases is carried as one array up to so many, and beyond looked up by its phrases' first words.
+#: Phrases carried along as one array, at most; more are looked up by a word of theirs.
 CARRIED = 5_000
 
 
-def phrases_found(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """(item_id, found): whether any text holds the phrase."""
-    n = phrases.limit(CARRIED + 1).count()
-    if n <= CARRIED:
-        listed = phrases.agg(F.collect_list(F.struct("item_id", "phrase")).alias("ps"))
-        hits = texts.join(F.broadcast(listed)).select(F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["phrase"]))).alias("p")).select("p.item_id")
+def _carried(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """item_id of phrases that a text holds. The phrases are one row that every text meets, so they have to be few."""
+    listed = phrases.agg(F.collect_list(F.struct("item_id", "phrase")).alias("ps"))
+    return texts.join(F.broadcast(listed)).select(F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["phrase"]))).alias("p")).select("p.item_id")
+
+
+def phrases_found(phrases: DataFrame, texts: DataFrame, carried: int = CARRIED) -> DataFrame:
+    """(item_id, found): whether any text holds the phrase, inside words too.
+
+    Beyond `carried` phrases, those of three words or more are joined by their second word, which stands between spaces
+    wherever the phrase does; shorter ones are carried in groups of that size.
+    """
+    words = lambda c: F.split(c, " ")
+    short = F.size(words(F.col("phrase"))) < 3
+    n = phrases.limit(carried + 1).count()
+    if n <= carried:
+        hits = _carried(phrases, texts)
     else:
-        words = lambda c: F.split(c, " ")
-        keyed = phrases.withColumn("k", F.get(words(F.col("phrase")), F.lit(1)))
+        keyed = phrases.where(~short).withColumn("k", F.get(words(F.col("phrase")), F.lit(1)))
         spread = texts.withColumn("k", F.explode(F.array_distinct(words(F.col("text")))))
         hits = spread.join(keyed, "k").where(F.contains("text", F.col("phrase"))).select("item_id")
+        brief = phrases.where(short)
+        groups = max(1, -(-brief.count() // carried))
+        for g in range(groups):
+            hits = hits.union(_carried(brief.where(F.pmod(F.xxhash64("phrase"), F.lit(groups)) == g), texts))
     found = hits.distinct().withColumn("found", F.lit(True))
     return phrases.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
