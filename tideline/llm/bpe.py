@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import _RANDOM, mix, release, span_hashes
+from ._common import _RANDOM, bounded, mix, release, span_hashes
 from .tokens import distinct_words, encode, tokenizer
 
 #: Bytes of text in a block, and tokens that are turned to strings at once.
@@ -65,7 +65,7 @@ def _blocks(batches, limit: int | None = None):
     """
     limit = limit or BLOCK
     ids, texts, size = [], [], 0
-    for rb in batches:
+    for rb in bounded(batches):
         text = pc.fill_null(rb.column(1).cast(pa.large_string()), "")
         length = pc.binary_length(text).to_numpy(zero_copy_only=False)
         lo = 0

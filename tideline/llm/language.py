@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch, code_points, crc_mod, mix, pieces
+from ._common import batch, bounded, code_points, crc_mod, mix, pieces
 
 ALPHABET = 64
 FOLDS, HELD_OUT = 5, 0
@@ -190,7 +190,7 @@ def _trigrams(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _count_trigrams(batches):
     """(lang, trigram of lower-case letters, count) of each batch; a letter takes 16 bits of the code."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
-    for rb in batches:
+    for rb in bounded(batches):
         langs = np.array(rb.column(1).to_pylist(), object)
         for a, b, data, offsets in pieces(rb.column(0)):
             points, at = code_points(data, offsets)
@@ -235,7 +235,7 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Models:
 
     def residuals(batches):
         schema = pa.schema([("k", pa.int32()), ("bits", pa.float64()), ("n", pa.int64())])
-        for rb in batches:
+        for rb in bounded(batches):
             found, n, bits = models.score(rb.column(0))
             ok = found > 0
             best = bits.argmin(axis=1)
@@ -266,7 +266,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             found, n, bits = models.score(rb.column(1)) if models.names else (np.zeros(rb.num_rows, int),) * 2 + (np.zeros((rb.num_rows, 1)),)
             best = bits.argmin(axis=1)
             low = bits[np.arange(len(best)), best]
@@ -297,7 +297,7 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of docs, with all their columns, that are not rejected."""
 
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             i = rb.schema.get_field_index("text")
             found, n, bits = models.score(rb.column(i)) if models.names else (np.zeros(rb.num_rows, int),) * 2 + (np.zeros((rb.num_rows, 1)),)
             best = bits.argmin(axis=1)

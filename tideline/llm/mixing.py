@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import batch, owners, pieces, stored, word_hashes
+from ._common import batch, bounded, owners, pieces, stored, word_hashes
 
 BUCKETS = 1 << 16
 #: The classifier is fitted on so many labelled documents at most.
@@ -59,7 +59,7 @@ class Classifier:
 
 def _bucket_counts(batches):
     schema = pa.schema([("k", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
-    for rb in batches:
+    for rb in bounded(batches):
         k = rb.column(1).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in pieces(rb.column(0)):
             w, first = word_hashes(data, offsets)
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labelled: DataFrame, names: list[str], bound: int = S
     model = Classifier(names, np.log((n_docs + 1) / (n_docs.sum() + len(names))), table.astype(np.float32))
 
     def held_out(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             _, sums = model.evidence(rb.column(0))
             yield pa.RecordBatch.from_arrays([rb.column(1), pa.array(list(sums), pa.list_(pa.float64()))], names=["k", "sums"])
 
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labelled: DataFrame, names: list[str], bound: int = S
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of docs with _mix_tokens (words and an end) and _mix_posterior; no shuffle."""
     def run(batches):
-        for rb in batches:
+        for rb in bounded(batches):
             n, sums = model.evidence(rb.column(rb.schema.get_field_index("text")))
             post = pa.array(list(model.posterior(sums)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(n + 1), post], names=[*rb.schema.names, "_mix_tokens", "_mix_posterior"])
