@@ -3,7 +3,7 @@
 Built from DataFrame functions alone. Word unigrams and bigrams are hashed into a fixed number of buckets. One
 multinomial is counted over the trusted documents (labelled good and not toxic), the other over every document; a
 document's score is the mean over its n-grams of log(target / raw) of their buckets, so its length cancels out. The
-threshold is a low quantile of the trusted documents' own scores less a margin, and every document is decided by it.
+threshold is a low quantile of the trusted documents' own scores, and every document is decided by it.
 
 The table of ratios has `buckets` numbers whatever the corpus, and is the only thing that passes through the driver.
 """
@@ -20,11 +20,8 @@ BUCKETS = 1 << 13
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Share of the trusted documents that may fall below the threshold, and what is taken off it besides.
+#: Share of the trusted documents that may fall below the threshold.
 TRUSTED_LOSS = 0.001
-MARGIN = 0.05
-#: The target multinomial and the threshold are fitted on so many trusted documents at most.
-TRUSTED_SAMPLE = 20_000
 
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -96,21 +93,27 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     return F.concat(single, pair)
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_SAMPLE) -> DataFrame:
-    """At most `bound` ids of documents labelled good and not toxic, chosen by the hash of the id."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good and not toxic, each once."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return good.select("doc_id").distinct()
+
+
+def _bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
+    grams = docs.select(F.explode(_let(word_hashes(words_of(F.col("text"))), lambda h: ngram_buckets(h, buckets))).alias("b"))
+    return {r["b"]: r["n"] for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(target / raw) for each bucket; all zero without trusted documents.
 
-    Raw counts are taken over every document, target counts over the bounded set of trusted ones, which is why that
-    may be broadcast. The counts come back as two numbers for each bucket.
+    Raw counts are taken over every document, target counts over every trusted one, which a join finds. The join is the
+    same at any number of trusted ids: texts cross the network once. The counts come back as one number for each bucket.
     """
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = flagged.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(_let(word_hashes(words_of(F.col("text"))), lambda h: ngram_buckets(h, buckets))).alias("b"))
-    rows = {r["b"]: (r["t"], r["n"]) for r in grams.groupBy("b").agg(F.sum("good").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    docs = docs.select("doc_id", "text")
+    target = _bucket_counts(docs.join(trusted.hint("merge"), "doc_id", "left_semi"), buckets)
+    raw_counts = _bucket_counts(docs, buckets) if target else {}
+    rows = {b: (target.get(b, 0), n) for b, n in raw_counts.items()}
     t_all, n_all = sum(t for t, _ in rows.values()), sum(n for _, n in rows.values())
     if not t_all:
         return [0.0] * buckets
@@ -131,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[lis
     """The table of ratios and the threshold."""
     trusted = trusted_ids(labels)
     ratio = fit_ratio(docs, trusted, buckets)
-    good = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
-    low = good.select(_let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _let(word_hashes(w), lambda h: ratio_score(h, ratio, buckets)))).alias("s")).agg(F.percentile_approx("s", TRUSTED_LOSS, 10000).alias("q")).first()["q"]
-    return ratio, -math.inf if low is None else low - MARGIN
+    # Scored where they lie and joined as numbers, by an inner join: a semi join would be pushed below the scores and move the texts.
+    score = _let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _let(word_hashes(w), lambda h: ratio_score(h, ratio, buckets))))
+    low = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").agg(F.percentile_approx("s", TRUSTED_LOSS, 10000).alias("q")).first()["q"]
+    return ratio, -math.inf if low is None else low
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
