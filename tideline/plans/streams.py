@@ -17,14 +17,14 @@ def _newest(keys):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, round_even(sum(value), 2) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2")
 def stream_hour_rollup(spark, sf):
-    out = S.drained(S.rollup(S.events_stream(spark, sf), ["event_type"], "value", "1 hour", "2 hours"), "update", scratch_path(spark, "stream"), _newest(["bucket", "event_type"]))
+    out = S.drained(S.rollup(S.events_stream(spark, sf), ["event_type"], "value", "1 hour", S.whole_span(spark, sf)), "update", scratch_path(spark, "stream"), _newest(["bucket", "event_type"]))
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.bround("total", 2).alias("total"), "lo", "hi")
 
 
 @query("SELECT s AS bucket, count(*) AS n FROM (SELECT unnest(range(time_bucket(INTERVAL 12 HOURS, ts) - INTERVAL 12 HOURS, time_bucket(INTERVAL 12 HOURS, ts) + INTERVAL 1 HOUR, INTERVAL 12 HOURS)) AS s FROM events) GROUP BY 1")
 def stream_sliding_day(spark, sf):
     """Counts of a day, every twelve hours."""
-    out = S.drained(S.rollup(S.events_stream(spark, sf), [], "value", "1 day", "2 hours", "12 hours"), "update", scratch_path(spark, "stream"), _newest(["bucket"]))
+    out = S.drained(S.rollup(S.events_stream(spark, sf), [], "value", "1 day", S.whole_span(spark, sf), "12 hours"), "update", scratch_path(spark, "stream"), _newest(["bucket"]))
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n")
 
 
@@ -47,7 +47,7 @@ def stream_issue_lifecycle(spark, sf):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def stream_dedup(spark, sf):
-    out = S.drained(S.deduplicated(S.events_stream(spark, sf), ["user_id", "event_type"], "60 days"), "append", scratch_path(spark, "stream"))
+    out = S.drained(S.deduplicated(S.events_stream(spark, sf), ["user_id", "event_type"], S.whole_span(spark, sf)), "append", scratch_path(spark, "stream"))
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("kinds"))
 
 

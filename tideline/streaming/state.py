@@ -21,6 +21,13 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def whole_span(spark: SparkSession, sf_dir: str) -> str:
+    """A lateness that covers the events' whole time span, so that no order of files makes a row late."""
+    ts = F.col("ts").cast("timestamp").cast("double")
+    span = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(ts) - F.min(ts)).first()[0]
+    return f"{int(span or 0) + 1} seconds"
+
+
 def rollup(stream: DataFrame, keys: list[str], value: str, width: str, lateness: str, slide: str | None = None) -> DataFrame:
     """count, sum, min and max of a value by event-time window and keys; rows later than the watermark are left out."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
