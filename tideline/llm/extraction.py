@@ -3,8 +3,8 @@
 The markup is stripped to blocks, one line each, with every line's weight: the length of its text, nothing for lines
 inside navigation, headers, footers, asides, forms, comments, adverts and notices (told by element or by the words of
 class, id and role), and the share outside links for the others. Sums of the weights over sliding windows of lines
-show where text surges and where it dives; the lines between a surge and the dive after it are kept, with every
-weighted line of an article or main element counted as dense, however short.
+show where text surges and where it dives; the lines between a surge and the dive after it are kept, links too, unless
+they are boilerplate. Where there is an article or main element, all its lines but boilerplate are kept.
 """
 
 from __future__ import annotations
@@ -61,26 +61,29 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether inside article or main) of each block that has text, in page order.
+def _plain(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
 
-    The text has its character references decoded and its white space turned into single spaces. Markup need not be
+
+def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, weight, whether inside article or main, whether boilerplate) of each block that has text, in page order.
+
+    Text and link text have their character references decoded and white space turned into single spaces. Markup need not be
     well formed: an unclosed element ends with the one around it, an end tag without a start is ignored.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = 0
+    linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article or main
     dead, content, links, raw_until, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = _plain(parts)
             if text:
-                out.append((text, 0 if dead else max(0, len(text) - min(linked, len(text))), content > 0))
+                out.append((text, 0 if dead else max(0, len(text) - len(_plain(linked))), content > 0, dead > 0))
             parts.clear()
-        linked = 0
+        linked.clear()
 
     def pop(i: int) -> None:
         """Closes the elements from number i of the stack on."""
@@ -98,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             piece = page[at : m.start()]
             parts.append(piece)
             if links:
-                linked += len(piece)
+                linked.append(piece)
         elif m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -186,13 +189,14 @@ def main_text(page: str | None, window: int = WINDOW, dense: int = DENSE) -> str
     if not page:
         return ""
     lines = blocks(page)
-    inside = any(main and weight for _, weight, main in lines)
-    weights = [weight if main or not inside else 0 for _, weight, main in lines]
-    keep = []
-    for surge, dive in spans(weights, window, 1 if inside else dense):
-        keep += [text for (text, _, _), weight in zip(lines[surge:dive], weights[surge:dive], strict=True) if weight]
-    if not keep and not inside:  # a page of a few short lines has no dense ground
-        keep = [text for (text, _, _), weight in zip(lines, weights, strict=True) if weight]
+    keep = [text for text, _, main, boilerplate in lines if main and not boilerplate]
+    if keep:
+        return "\n".join(keep)
+    weights = [weight for _, weight, _, _ in lines]
+    for surge, dive in spans(weights, window, dense):
+        keep += [text for text, _, _, boilerplate in lines[surge:dive] if not boilerplate]
+    if not keep:  # a page of a few short lines has no dense ground
+        keep = [text for text, weight, _, _ in lines if weight]
     return "\n".join(keep)
 
 
