@@ -81,7 +81,9 @@ def _sketches(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
             out += [np.zeros(0, np.uint64)] * (b - a)
             continue
         names, first = mix(points.astype(np.uint64) + np.uint64(0x51ED27)), at
-        kept, whose = [], []
+        kept, whose, cut = [], [], []
+        # Below this bound, no hash of a text is missing from those kept.
+        full = np.full(b - a, 2**64 - 1, np.uint64)
         for level in range(1, max(LEVELS) + 1):
             names, first = _phrases(names, first)
             if level in LEVELS or level == 1:
@@ -94,6 +96,9 @@ def _sketches(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
                 bound = np.where(share < 1, share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
                 h = mix(names ^ np.uint64(0xA5A5A5A5 + level))
                 take &= h <= np.repeat(bound, per)
+                full = np.where(use & (share < 1), np.minimum(full, bound), full)
+                if level in LEVELS:
+                    cut.append((h, first))
                 kept.append(h[take])
                 whose.append(np.repeat(np.arange(b - a), per)[take])
         h, d = np.concatenate(kept), np.concatenate(whose)
@@ -103,7 +108,13 @@ def _sketches(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[keep], d[keep]
         begin = np.searchsorted(d, np.arange(b - a + 1))
-        out += [h[begin[i] : min(begin[i] + SKETCH, begin[i + 1])] for i in range(b - a)]
+        below = np.bincount(d[h <= full[d]], minlength=b - a)
+        for i in range(b - a):
+            if below[i] < SKETCH and full[i] < 2**64 - 1:
+                # A text of repeated passages has fewer distinct hashes than phrases: all of them count.
+                out.append(np.unique(np.concatenate([x[at[i] : at[i + 1]] for x, at in cut]))[:SKETCH])
+            else:
+                out.append(h[begin[i] : min(begin[i] + SKETCH, begin[i + 1])])
     return out, sizes
 
 
