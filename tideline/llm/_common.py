@@ -8,8 +8,6 @@ memory of a task whatever the size of an Arrow batch; one longer text makes one
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path as scratch
+
 PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -29,15 +29,6 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a folder of this process where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tideline/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to a scratch table and read again: the lineage ends there, and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
@@ -128,6 +119,24 @@ def pieces(column: pa.Array, limit: int = PIECE):
         row = to
 
 
+def id_hashes(ids: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each id, whatever its type; nulls have one of their own."""
+    out = np.full(len(ids), 0x4E554C4C, np.uint64)
+    for a, b, data, offsets in pieces(ids.cast(pa.large_string())):
+        out[a:b] = span_hashes(_RANDOM[data], offsets[:-1], offsets[1:])
+    out[ids.is_null().to_numpy(zero_copy_only=False)] = np.uint64(0x4E554C4C)
+    return out
+
+
+def sequence_hash(*sequences: np.ndarray) -> int:
+    """A number from 0 to below 2**63 that depends on the uint64 sequences, their order and the order in them."""
+    h = np.zeros(1, np.uint64)
+    for x in sequences:
+        odd = 2 * np.arange(len(x), dtype=np.uint64) + np.uint64(1)
+        h = mix(h * _BASE + mix((mix(x) * odd).sum(keepdims=True) + np.uint64(len(x))))
+    return int(h[0] >> np.uint64(1))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than ASCII white space, and the number of the first of each text."""
     if not len(data):

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, mix, pieces, release, scratch, word_hashes
+from ._common import crc_mod, id_hashes, mix, pieces, release, scratch, sequence_hash, word_hashes
 from .bpe import _blocks, _join_bytes, _numbers, _planes, _split_bytes, _unzip, _zip
 
 FOLDS, HELD_OUT = 7, 2
+#: Bytes of text in a block.
+BLOCK = 12 << 20
 #: Counts above this are not discounted.
 GT_LIMIT = 5
 #: Ranges of pairs for each range of words.
@@ -68,14 +70,8 @@ class _Block:
         owner_held = np.repeat(held, np.diff(self.first))
         self.train = np.bincount(self.index[~owner_held], minlength=len(words)).astype(np.int64)
         self.start_train = int((~held).sum())
-        who = mix(np.array([-1 if i is None else i for i in ids.to_pylist()], np.int64).view(np.uint64))
-        self.name = int(mix((np.append(words, who) * (2 * np.arange(len(words) + len(who), dtype=np.uint64) + np.uint64(1))).sum(keepdims=True))[0] >> np.uint64(1))
-
-    def previous(self) -> np.ndarray:
-        p = np.empty_like(self.index)
-        p[1:] = self.index[:-1]
-        p[self.first[:-1]] = self.start
-        return p
+        # Two blocks of one name are alike in all that is asked and answered, and in their rows.
+        self.name = sequence_hash(words, words[self.index], self.first.astype(np.uint64), held.astype(np.uint64), id_hashes(ids))
 
 
 def _read_blocks(batches):
@@ -87,7 +83,7 @@ def _read_blocks(batches):
             flags.append(rb.column(2).to_numpy(zero_copy_only=False))
             yield rb.select([0, 1])
 
-    for ids, texts in _blocks(two()):
+    for ids, texts in _blocks(two(), BLOCK):
         held = np.concatenate(flags)
         yield _Block(ids, held[: len(ids)].astype(bool), texts)
         flags[:] = [held[len(ids) :]]
@@ -131,12 +127,12 @@ def _words_of_range(key, table):
     words, counts = words[seen], counts[seen]
     real = words != _START
     low = np.bincount(np.minimum(counts[real], GT_LIMIT + 2), minlength=GT_LIMIT + 3)[: GT_LIMIT + 2]
-    rows = [(None, r, words.tobytes(), _planes(counts), int(real.sum()), int(counts[real].sum()), low.tolist())]
+    rows = [(None, r, words.tobytes(), _pack(counts), int(real.sum()), int(counts[real].sum()), low.tolist())]
     for block, w in zip(table.column("block").to_pylist(), asked, strict=True):
         at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
         ok = words[at] == w if len(words) else np.zeros(len(w), bool)
         number = np.where(ok, (r << 40) + at + 1, 0)
-        rows.append((block, r, _pack(number), _planes(counts[at] * ok if len(words) else number), 0, 0, None))
+        rows.append((block, r, _pack(number), _pack(counts[at] * ok if len(words) else number), 0, 0, None))
     return _table(rows, _WORD_ROWS)
 
 
@@ -216,7 +212,7 @@ class _Known:
         self.start = row["start"]
         parts = [answers[r] for r in sorted(answers)]
         self.number = np.concatenate([_unpack(a) for a, _ in parts]) if parts else np.zeros(0, np.int64)
-        self.count = np.concatenate([_numbers(c) for _, c in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        self.count = np.concatenate([_unpack(c) for _, c in parts]) if parts else np.zeros(0, np.int64)
         if len(self.number) != len(order):
             raise ValueError("the documents changed between two reads")
         self.previous = np.empty_like(self.index)
@@ -270,7 +266,7 @@ def _ask_pairs(ranges: int, hot: int):
             for r in np.flatnonzero(np.diff(cut)):
                 x, y, n = a[cut[r] : cut[r + 1]], b[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
                 runs = _runs(x)
-                out.append((row["block"], int(r), _pack(np.diff(k.number[x[runs]], prepend=0)), _planes(np.diff(np.append(runs, len(x)))), _planes(k.count[x[runs]] > hot), _pack(k.number[y]), _planes(k.count[y]), _planes(n)))
+                out.append((row["block"], int(r), _pack(np.diff(k.number[x[runs]], prepend=0)), _planes(np.diff(np.append(runs, len(x)))), _planes(k.count[x[runs]] > hot), _pack(k.number[y]), _pack(k.count[y]), _planes(n)))
         release()
         return _table(out, [("block", pa.int64()), ("range", pa.int32()), *((c, pa.binary()) for c in _PAIR_COLUMNS)])
 
@@ -294,7 +290,7 @@ def _pairs_of_range(unigrams: Unigrams):
         for x in table.to_pylist():
             length = _numbers(x["length"]).astype(np.int64)
             own = np.cumsum(_unpack(x["u"]))
-            asked.append((x["block"], own, np.repeat(own, length), _unpack(x["v"]), np.repeat(_numbers(x["hot"]), length), _numbers(x["count_v"]).astype(np.int64), _numbers(x["counts"]).astype(np.int64)))
+            asked.append((x["block"], own, np.repeat(own, length), _unpack(x["v"]), np.repeat(_numbers(x["hot"]), length), _unpack(x["count_v"]), _numbers(x["counts"]).astype(np.int64)))
         u, v, hot, cv, n = (np.concatenate([x[i] for x in asked]) for i in range(2, 7))
         order = np.lexsort((v, u))
         u, v, hot, cv, n = u[order], v[order], hot[order], cv[order], n[order]
@@ -312,11 +308,11 @@ def _pairs_of_range(unigrams: Unigrams):
         runs = _runs(su)
         low = np.bincount(np.minimum(sn, GT_LIMIT + 2), minlength=GT_LIMIT + 3)[: GT_LIMIT + 2]
         parts = np.concatenate([first[often, None].astype(float).view(np.float64), stats[often]], axis=1) if often.any() else np.zeros((0, GT_LIMIT + 3))
-        rows = [(None, r, _pack(np.diff(su[runs], prepend=0)), _planes(np.diff(np.append(runs, len(su)))), _pack(sv), _planes(sn), parts.astype("<f8").tobytes(), low.tolist())]
+        rows = [(None, r, _pack(np.diff(su[runs], prepend=0)), _planes(np.diff(np.append(runs, len(su)))), _pack(sv), _pack(sn), parts.astype("<f8").tobytes(), low.tolist())]
         done = 0
         for block, own, au, *_ in asked:
             mine = stats[np.searchsorted(first, own)]
-            rows.append((block, r, None, None, None, _planes(total[place[done : done + len(au)]]), _pack_stats(mine), None))
+            rows.append((block, r, None, None, None, _pack(total[place[done : done + len(au)]]), _pack_stats(mine), None))
             done += len(au)
         release()
         return _table(rows, _ROWS)
@@ -325,14 +321,14 @@ def _pairs_of_range(unigrams: Unigrams):
 
 
 def _pack_stats(x: np.ndarray) -> bytes:
-    counts = np.delete(x, 1, axis=1).T.astype("<u4")
+    counts = np.delete(x, 1, axis=1).T.astype("<i8")
     return _zip(x[:, 1].astype("<f8").tobytes() + b"".join(_split_bytes(c) for c in counts))
 
 
 def _unpack_stats(b: bytes) -> np.ndarray:
     b = _unzip(b)
-    n = len(b) // (8 + 4 * (GT_LIMIT + 1))
-    total, *low = (_join_bytes(b[8 * n + 4 * n * i : 8 * n + 4 * n * (i + 1)], "<u4") for i in range(GT_LIMIT + 1))
+    n = len(b) // (8 * (GT_LIMIT + 2))
+    total, *low = (_join_bytes(b[8 * n * (i + 1) : 8 * n * (i + 2)], "<i8") for i in range(GT_LIMIT + 1))
     return np.stack([total.astype(float), np.frombuffer(b[: 8 * n], "<f8"), *(c.astype(float) for c in low)], axis=1)
 
 
@@ -353,21 +349,21 @@ def weights(stats: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(none, 0.0, weight), np.where(none, total - free, denominator)
 
 
-def _score(ranges: int, hot: int, unigrams: Unigrams, discount: np.ndarray, often: dict[int, list[float]], kind: pa.DataType):
-    fields = [("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+def _score(ranges: int, hot: int, unigrams: Unigrams, discount: np.ndarray, often: dict[int, list[float]]):
+    fields = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(key, states, answers):
         is_word = [x == 0 for x in answers.column("kind").to_pylist()]
         known = _word_answers(answers.filter(pa.array(is_word, pa.bool_())))
         pairs = {r: (n, s) for r, n, s in zip(*(answers.filter(pa.array([not x for x in is_word], pa.bool_())).column(c).to_pylist() for c in ("range", "keys", "counts")), strict=True)}
-        out = []
+        out, own = [], [("doc_id", states.schema.field("doc_ids").type.value_type), *fields]
         for row in states.to_pylist():
             k = _Known(row, known)
             a, _, _, cut, at = k.pairs(ranges, hot)
             n, weight, total = np.zeros(len(a), np.int64), np.ones(len(a)), np.ones(len(a))
             for r in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[r], cut[r + 1])
-                n[s] = _numbers(pairs[int(r)][0])
+                n[s] = _unpack(pairs[int(r)][0])
                 stats = _unpack_stats(pairs[int(r)][1])
                 runs = _runs(a[s])
                 for i in np.flatnonzero(k.count[a[s][runs]] > hot):
@@ -385,9 +381,9 @@ def _score(ranges: int, hot: int, unigrams: Unigrams, discount: np.ndarray, ofte
             begin = k.first[:-1]
             with np.errstate(divide="ignore"):
                 score = np.log10(p)
-            out.append(pa.Table.from_arrays([pa.array(x, f) for x, (_, f) in zip((k.ids, k.held, np.diff(k.first), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(score, begin)), fields, strict=True)], names=[f for f, _ in fields]))
+            out.append(pa.Table.from_arrays([pa.array(x, f) for x, (_, f) in zip((k.ids, k.held, np.diff(k.first), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(score, begin)), own, strict=True)], names=[f for f, _ in own]))
         release()
-        return pa.concat_tables(out) if out else _table([], fields)
+        return pa.concat_tables(out) if out else _table([], own)
 
     return run
 
@@ -402,8 +398,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs.
 
-    The model learns from the rows where held_out is false. Null and empty texts consist of their end; ids may be null
-    or repeated, and repeated rows are learned as often as they occur. score is the sum of log10 probabilities under
+    The model learns from the rows where held_out is false. Null and empty texts consist of their end; ids may be of
+    any simple type, null or repeated, and repeated rows are learned as often as they occur. score is the sum of log10 probabilities under
     the model, base_score that under add-one unigrams. Without training rows every word is unseen. Other columns are
     ignored; an empty table gives no rows.
     """
@@ -434,7 +430,7 @@ def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None) ->
 
     all_answers = word_answers.withColumn("kind", F.lit(0)).union(pairs.where("block is not null").select("block", "range", F.col("counts").alias("keys"), F.col("stats").alias("counts"), F.lit(1).alias("kind")))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = states.cogroup(all_answers.groupBy("block")).applyInArrow(_score(ranges, hot, unigrams, discount, often, pa.int64() if kind == "bigint" else pa.int32()), schema)
+    scored = states.cogroup(all_answers.groupBy("block")).applyInArrow(_score(ranges, hot, unigrams, discount, often), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
