@@ -13,17 +13,21 @@ the smallest hashes of two fingerprints' union that both have, an estimate of th
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import code_points, mix, pieces, span_hashes
 
 LEVELS = (2, 3)
 SKETCH = 48
+#: Rows of the sample that sets a part's range of ids.
+SAMPLED = 50
 _DIGITS = 8
 
 
@@ -71,7 +75,10 @@ def _phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sketches(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """The smallest hashes of each text, ascending, and its number of code points."""
+    """The smallest distinct hashes of each text's phrases, ascending, and its number of code points.
+
+    Every text is treated alike, whatever its length; repeated phrases count once.
+    """
     out: list[np.ndarray] = []
     sizes = np.zeros(len(column), np.int64)
     for a, b, data, offsets in pieces(column):
@@ -81,40 +88,20 @@ def _sketches(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
             out += [np.zeros(0, np.uint64)] * (b - a)
             continue
         names, first = mix(points.astype(np.uint64) + np.uint64(0x51ED27)), at
-        kept, whose, cut = [], [], []
-        # Below this bound, no hash of a text is missing from those kept.
-        full = np.full(b - a, 2**64 - 1, np.uint64)
+        found, whose = [], []
         for level in range(1, max(LEVELS) + 1):
             names, first = _phrases(names, first)
-            if level in LEVELS or level == 1:
-                per = np.diff(first)
-                # Short texts have few phrases above the first level, so their first level counts too.
-                use = np.ones(b - a, bool) if level in LEVELS else np.diff(at) < 200
-                take = np.repeat(use, per)
-                # Enough of a long text's hashes lie below a bound that follows from their number.
-                share = np.minimum(1.0, 6.0 * SKETCH / np.maximum(per, 1))
-                bound = np.where(share < 1, share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
-                h = mix(names ^ np.uint64(0xA5A5A5A5 + level))
-                take &= h <= np.repeat(bound, per)
-                full = np.where(use & (share < 1), np.minimum(full, bound), full)
-                if level in LEVELS:
-                    cut.append((h, first))
-                kept.append(h[take])
-                whose.append(np.repeat(np.arange(b - a), per)[take])
-        h, d = np.concatenate(kept), np.concatenate(whose)
+            if level in LEVELS:
+                found.append(mix(names ^ np.uint64(0xA5A5A5A5 + level)))
+                whose.append(np.repeat(np.arange(b - a), np.diff(first)))
+        h, d = np.concatenate(found), np.concatenate(whose)
         order = np.lexsort((h, d))
         h, d = h[order], d[order]
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[keep], d[keep]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
         begin = np.searchsorted(d, np.arange(b - a + 1))
-        below = np.bincount(d[h <= full[d]], minlength=b - a)
-        for i in range(b - a):
-            if below[i] < SKETCH and full[i] < 2**64 - 1:
-                # A text of repeated passages has fewer distinct hashes than phrases: all of them count.
-                out.append(np.unique(np.concatenate([x[at[i] : at[i + 1]] for x, at in cut]))[:SKETCH])
-            else:
-                out.append(h[begin[i] : min(begin[i] + SKETCH, begin[i + 1])])
+        out += [h[begin[i] : min(begin[i] + SKETCH, begin[i + 1])] for i in range(b - a)]
     return out, sizes
 
 
@@ -159,26 +146,38 @@ def _edited(rows) -> list[str]:
     return out
 
 
+def _range_of(bounds: list, row: Column) -> Column:
+    """The number of the sorted bounds that are not above the row; two short searches instead of one long one."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    count = lambda found: F.size(F.filter(found, lambda b: b <= row))
+    chunks = [F.array(*bounds[i : i + step]) for i in range(0, len(bounds), step)]
+    coarse = count(F.array(*bounds[step::step])) if len(chunks) > 1 else F.lit(0)
+    return F.transform(F.array(coarse), lambda i: i * step + count(F.get(F.array(*chunks), i)))[0]
+
+
 def _by_neighbour(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, is_edge, doc_id, text), sorted within a part, where the part's last row is the row after the others.
 
-    Parts are ranges of doc_id between quantiles, so only numbers pass through the driver. The first row of each
-    part that has rows is copied to the part before it as its edge, the very first to the last part.
+    Parts are ranges of (doc_id, hash of the text) between rows of a sample of about SAMPLED rows for each part, so many
+    rows of one id or without an id are spread. The first row of each part that has rows is copied to the part before
+    it as its edge, the very first to the last part.
     """
-    ids = docs.select("doc_id")
-    probs = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.approxQuantile("doc_id", probs, 0.25 / parts))) if probs else []
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
-    firsts = docs.select("doc_id", F.xxhash64("text").alias("h"), part.alias("part")).groupBy("part").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "h")).alias("f")).collect()
-    firsts = sorted((r["part"], r["f"]["id"], r["f"]["h"]) for r in firsts)
-    before = {f[0]: firsts[i - 1][0] for i, f in enumerate(firsts)}
-    edge = docs.sparkSession.createDataFrame([(i, h, before[p]) for p, i, h in firsts] or [(0, 0, 0)][:0], "_id long, _h long, to int")
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text")).withColumn("_n", F.lit(None).cast("int"))
+    id_type = docs.schema["doc_id"].dataType
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    key = F.struct("doc_id", "_hash")
+    share = min(1.0, SAMPLED * parts / max(keyed.select("doc_id").count(), 1))
+    drawn = keyed.select("doc_id", "_hash").where(F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    drawn = [(r["doc_id"], r["_hash"]) for r in drawn.distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_hash").collect()]
+    cuts = sorted({len(drawn) * i // parts for i in range(1, parts)} - {0}) if drawn else []
+    part = _range_of([F.struct(F.lit(drawn[i][0]).cast(id_type).alias("doc_id"), F.lit(drawn[i][1]).cast("long").alias("_hash")) for i in cuts], key)
+    firsts = keyed.select("doc_id", "_hash", part.alias("part")).groupBy("part").agg(F.min(key).alias("f")).orderBy("part").collect()
+    edges = [(r["f"]["doc_id"], r["f"]["_hash"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_h", T.LongType()), T.StructField("to", T.IntegerType())])
+    edge = docs.sparkSession.createDataFrame(edges, schema)
     # One row of the table of edges for each part: their number is a parameter.
-    marked = rows.join(F.broadcast(edge), (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    marked = keyed.join(F.broadcast(edge), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     both = marked.withColumn("_part", F.explode(F.array_compact(F.array(F.struct(part.alias("p"), F.lit(False).alias("e")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("p"), F.lit(True).alias("e")))))))
     return both.select(F.col("_part.p").alias("part"), F.col("_part.e").alias("is_edge"), "doc_id", "_hash", "text")
 
@@ -187,7 +186,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness; the next text is that of the next doc_id.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, a row for each
-    row of docs. Null texts count as empty. Null ids come first; among equal ids the hash of the text decides, and equal
+    row of docs. Null texts count as empty. Ids may be of any simple type; null ids come first; among equal ids the hash of the text decides, and equal
     rows follow each other. The last row is followed by the first. A table of one row is followed by itself.
     The texts cross the network once, in ranges of ids, and stream through each task.
     """
@@ -197,13 +196,13 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = _by_neighbour(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "is_edge", F.col("doc_id").asc_nulls_first(), "_hash")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def finish(ids, texts, prints, sizes, nexts, next_prints):
+    def finish(kind_of_id, ids, texts, prints, sizes, nexts, next_prints):
         edited = _edited(zip(texts, nexts, strict=True))
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in edited]
         new, _ = fingerprint(pa.array(edited, pa.large_string()))
         near_e = [likeness(a, b) for a, b in zip(prints, new, strict=True)]
         near_n = [likeness(a, b) for a, b in zip(prints, next_prints, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.from_numpy_dtype("int64")), pa.array(sizes), pa.array(digests, pa.string()), pa.array(prints, pa.string()), pa.array(new, pa.string()), pa.array(near_e), pa.array(near_n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(sizes), pa.array(digests, pa.string()), pa.array(prints, pa.string()), pa.array(new, pa.string()), pa.array(near_e), pa.array(near_n)], names=names)
 
     def run(batches):
         held = None  # the row whose next row has not come yet
@@ -218,7 +217,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 if rows:
                     pairs = [(x, y) for x, y in zip(rows, [*rows[1:], held], strict=True) if not x[1]]
                     if pairs:
-                        yield finish([x[2] for x, _ in pairs], [x[3] for x, _ in pairs], [x[4] for x, _ in pairs], [x[5] for x, _ in pairs], [y[3] for _, y in pairs], [y[4] for _, y in pairs])
+                        yield finish(cut.column(2).type, [x[2] for x, _ in pairs], [x[3] for x, _ in pairs], [x[4] for x, _ in pairs], [x[5] for x, _ in pairs], [y[3] for _, y in pairs], [y[4] for _, y in pairs])
         if held and not held[1]:
             raise ValueError("a part of the documents has no edge row")
 
