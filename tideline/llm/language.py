@@ -213,7 +213,8 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Models:
     """Models of the languages that occur in a sample of at most `bound` rows with a language and a text.
 
     The sample takes the smallest hashes of the ids, so it does not depend on the order of the rows. Four fifths of
-    it train, the rest calibrate the rejection limits. Without any labelled row there are no languages.
+    it train, the rest calibrate the rejection limits. Without any labelled row
+    that has characters there are no languages.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("_h"))
@@ -231,7 +232,11 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Models:
         code = own.code.to_numpy()
         u, v, w = (models.symbols((code >> k) & 0xFFFF) for k in (32, 16, 0))
         models.models.append(KneserNey(u.astype(np.int64), v.astype(np.int64), w.astype(np.int64), own.n.to_numpy().astype(float)))
-    del models.symbols
+    models.__dict__.pop("symbols", None)  # its table belongs to this process
+
+    if not models.names:  # labelled rows, but none of them with a character to learn from
+        models.limits = []
+        return models
 
     def residuals(batches):
         schema = pa.schema([("k", pa.int32()), ("bits", pa.float64()), ("n", pa.int64())])
