@@ -13,20 +13,21 @@ when it is read twice, as files do; store the result of a computation first.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import _RANDOM, bounded, mix, release, span_hashes
+from ._common import _RANDOM, bounded, id_hashes, release, sequence_hash, span_hashes
 from .tokens import distinct_words, encode, tokenizer
 
 #: Bytes of text in a block, and tokens that are turned to strings at once.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 SLICE = 1 << 18
 _CODEC = pa.Codec("zstd", 1)
-#: A range's task remembers so many words at most; one that had more would encode some of them again.
+#: A range's task remembers so many words at most; what a range has beyond is encoded whenever a block asks for it.
 REMEMBERED = 250_000
 
 
@@ -99,9 +100,7 @@ def _numbered(doc_ids: pa.Array, texts: pa.Array, ranges: int):
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
     h = h[order]
-    who = mix(pc.fill_null(doc_ids, -1).to_numpy().astype(np.int64).view(np.uint64))
-    weight = lambda x: (x * (2 * np.arange(len(x), dtype=np.uint64) + np.uint64(1))).sum(keepdims=True)
-    name = int(mix(mix(weight(h)) + weight(who))[0] >> np.uint64(1))
+    name = sequence_hash(h, id_hashes(doc_ids))
     return name, number[index], first, words.take(pa.array(order)), (h % np.uint64(ranges)).astype(np.int64)
 
 
@@ -129,18 +128,17 @@ def _ask(ranges: int):
 
 def _answer(path: str):
     def run(batches):
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, bytes] = {}  # a word's ids, four bytes each
         for rb in batches:
             lengths, ids = [], []
             for blob in rb.column(3):
                 words = _unzip(blob.as_py()).decode().split("\n")
-                if len(memo) + len(words) > REMEMBERED:
-                    memo.clear()
                 new = [w for w in words if w not in memo]
-                memo.update(zip(new, encode(new, path), strict=True))
-                found = [memo[w] for w in words]
-                lengths.append(_planes(np.array([len(x) for x in found], np.uint32)))
-                ids.append(_planes(np.array([i for x in found for i in x], np.uint32)))
+                fresh = dict(zip(new, (np.array(x, "<u4").tobytes() for x in encode(new, path)), strict=True))
+                found = [memo.get(w) or fresh.get(w, b"") for w in words]
+                memo.update(islice(fresh.items(), max(0, REMEMBERED - len(memo))))
+                lengths.append(_planes(np.array([len(x) // 4 for x in found], np.uint32)))
+                ids.append(_planes(np.frombuffer(b"".join(found), "<u4")))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["block", "part", "lengths", "ids"])
 
     return run
@@ -164,7 +162,7 @@ def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)
 
 
-def _positions(path: str, kind: pa.DataType, full: bool):
+def _positions(path: str, full: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         known = tokenizer(path)
         size = known.get_vocab_size(with_added_tokens=True)
@@ -207,7 +205,7 @@ def _positions(path: str, kind: pa.DataType, full: bool):
         release()
         if out:
             return pa.concat_tables(out)
-        empty = [pa.array([], kind), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]
+        empty = [pa.array([], blocks.schema.field("doc_ids").type.value_type), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         return pa.Table.from_arrays(empty + ([pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())] if full else []), names=names + (["ids", "decoded"] if full else []))
 
@@ -219,7 +217,7 @@ def round_trip(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
 
     ids are those that the tokenizers library gives for the whole text without added special tokens; the decoded text
     is its decoding without a decoder, that is, the pieces joined by spaces. A null text counts as empty: no ids, an
-    empty decoded text. Ids may be null or repeated, other columns are ignored, an empty table gives no rows.
+    empty decoded text. Ids may be of any simple type, null or repeated, other columns are ignored, an empty table gives no rows.
     """
     if tokenizer(path).decoder is not None:
         raise ValueError("decoding joins pieces by spaces; this tokenizer has a decoder of its own")
@@ -231,7 +229,7 @@ def round_trip(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     answers = asked.repartition(ranges, "part").mapInArrow(_answer(path), "block long, part int, lengths binary, ids binary")
     blocks = docs.mapInArrow(_texts_as_numbers(ranges), f"block long, doc_ids array<{kind}>, n_words binary, index binary, parts binary")
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_positions(path, pa.int64() if kind == "bigint" else pa.int32(), full), schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_positions(path, full), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
