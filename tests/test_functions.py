@@ -165,7 +165,8 @@ def test_forward_fill_moves_as_a_whole(spark):
 def test_phrases_both_ways(spark):
     from tideline.operators.matching import phrases_found
 
-    phrases = spark.createDataFrame([(1, "he quick brown"), (2, "brown"), (3, "fox jumps high"), (4, "no"), (5, "over the la")], "item_id int, phrase string")
+    phrases = spark.createDataFrame([(1, "he quick brown"), (2, "brown"), (3, "fox jumps high"), (4, "no"), (5, "over the la"), (6, ""), (7, None), (8, "x ju"), (9, "y"), (10, "qq"), (11, "brown fox\njumps")], "item_id int, phrase string")
     texts = spark.createDataFrame([("the quick brown fox",), ("jumps over the lazy dog",)], "text string")
-    want = [(1, True), (2, True), (3, False), (4, False), (5, True)]
-    assert sorted(phrases_found(phrases, texts).collect()) == sorted(phrases_found(phrases, texts, 1).collect()) == want
+    want = [(1, True), (2, True), (3, False), (4, False), (5, True), (6, True), (7, False), (8, False), (9, True), (10, False), (11, False)]
+    assert sorted(phrases_found(phrases, texts).collect()) == want
+    assert not any(r.found for r in phrases_found(phrases, texts.where("false")).collect())

@@ -75,8 +75,16 @@ def redacted_map(m: Column) -> Column:
 
 def bloom(text: Column) -> Column:
     """The level with the most verbs; ties go to the earlier level, no verb means 'understand'."""
-    hits = [F.struct(F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\b({verbs})\b")).alias("n"), F.lit(-i).alias("i"), F.lit(level).alias("level")) for i, (level, verbs) in enumerate(BLOOM.items())]
-    return _let(F.array_max(F.array(*hits)), lambda best: F.when(best["n"] > 0, best["level"]).otherwise("understand"))
+    verbs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\b({'|'.join(BLOOM.values())})\b"), 1)
+
+    def count(found: Column, own: list[str]) -> Column:
+        return F.size(F.filter(found, lambda v: v.isin(own)))
+
+    def best(found: Column) -> Column:
+        hits = [F.struct(count(found, own.split("|")).alias("n"), F.lit(-i).alias("i"), F.lit(level).alias("level")) for i, (level, own) in enumerate(BLOOM.items())]
+        return _let(F.array_max(F.array(*hits)), lambda x: F.when(x["n"] > 0, x["level"]).otherwise("understand"))
+
+    return _let(verbs, best)
 
 
 def difficulty(level: Column, n_words: Column, grade: int = 6, digits: int = 2) -> Column:

@@ -87,11 +87,12 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
 def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 4) -> DataFrame:
     """(a, b, distance), a < b, of rows whose 64-bit values differ in at most `most` bits.
 
-    The bits are cut to most + 1 slices; a pair that close agrees in one of them, and is reported by its first."""
+    The bits are cut to most + 1 slices of nearly equal width; a pair that close agrees in one of them, and is reported
+    by its first. A slice of w bits deals the rows to 2**w groups, so rows meet in numbers that grow with their square
+    over 2**w: beyond some ten thousand rows a group, cut the table by another key first."""
     n = most + 1
-    width = -(-64 // n)
-    mask = (1 << width) - 1
-    slices = F.array(*[F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND(F.lit(mask)) for i in range(n)])
+    ends = [64 * i // n for i in range(n + 1)]
+    slices = F.array(*[F.shiftrightunsigned(F.col(bits), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(ends, ends[1:])])
     cut = df.select(key, bits, slices.alias("s")).select(key, bits, "s", F.posexplode("s").alias("i", "slice"))
     x = cut.select(F.col(key).alias("a"), F.col(bits).alias("va"), F.col("s").alias("sa"), "i", "slice")
     y = cut.select(F.col(key).alias("b"), F.col(bits).alias("vb"), F.col("s").alias("sb"), "i", "slice")

@@ -14,6 +14,21 @@ def forward_filled(df: DataFrame, keys: list[str], order: list[str], columns: li
     return df.withColumn("_state", state).select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.col(c), F.col(f"_state.{c}")).alias(c) for c in columns])
 
 
+def with_next(df: DataFrame, key: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds the value of the row with the next greater key, over the whole table; null for the last row.
+
+    The key is a number, unique and not null. Rows are dealt to ranges between its quantiles; a range's last row takes
+    the first value of the next range that has rows, of which there are `parts` at most."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    firsts = ranged.groupBy("_part").agg(F.min_by(value, key).alias("_first"))
+    after = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"))  # a row for each range
+    near = ranged.withColumn("_lead", F.lead(F.struct(value)).over(Window.partitionBy("_part").orderBy(key)))
+    return near.join(F.broadcast(after), "_part", "left").withColumn(name, F.when(F.col("_lead").isNotNull(), F.col(f"_lead.{value}")).otherwise(F.col("_after"))).drop("_part", "_lead", "_after")
+
+
 def ordered_list(value: str, *order: str) -> Column:
     """An aggregate: the group's values in the given order."""
     return F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])

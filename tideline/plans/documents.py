@@ -54,9 +54,10 @@ def chunk_quality(spark, sf):
     return rows.select("doc_id", "tokens", has("too_small").alias("too_small"), has("too_large").alias("too_large"), F.bround(F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size("issues")), 2).alias("score"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace('auth: Bearer abc.def-' || cast(turn AS VARCHAR) || '= ' || substring(text, 1, 60), '(?i)(bearer\s+)[A-Za-z0-9\-._~+/]+=*', '\1[REDACTED]', 'g') AS redacted FROM conversations""")
+@query(r"""WITH x AS (SELECT conv_id, turn, regexp_replace('auth: Bearer abc.def-' || cast(turn AS VARCHAR) || '= ' || text || ' bearer x/' || cast(conv_id AS VARCHAR), '(?i)(bearer\s+)[A-Za-z0-9\-._~+/]+=*', '\1[REDACTED]', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(t) > 2000 THEN substring(t, 1, 2000) || '…[truncated]' ELSE t END AS redacted FROM x""")
 def redact_text(spark, sf):
-    text = F.concat(F.lit("auth: Bearer abc.def-"), F.col("turn").cast("string"), F.lit("= "), F.substring("text", 1, 60))
+    text = F.concat(F.lit("auth: Bearer abc.def-"), F.col("turn").cast("string"), F.lit("= "), F.col("text"), F.lit(" bearer x/"), F.col("conv_id").cast("string"))
     return table(spark, sf, "conversations").select("conv_id", "turn", T.redacted(text).alias("redacted"))
 
 
@@ -144,18 +145,19 @@ def groundedness(spark, sf):
     return p.select("conv_id", "turn", F.bround(T.groundedness(F.col("text"), F.col("ctx")), 6).alias("groundedness"))
 
 
-@query("""SELECT lang, count(*) AS n, mode(source) AS top_source, cast(round_even(median(n_chars), 0) AS BIGINT) AS median_chars, round_even(avg(n_chars), 4) AS mean_chars FROM (SELECT lang, 's' || cast(doc_id % 2 AS VARCHAR) AS source, n_chars, doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY 1""")
+@query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT lang, source FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) = 1)
+SELECT d.lang, count(*) AS n, any_value(t.source) AS top_source, cast(round_even(median(n_chars), 0) AS BIGINT) AS median_chars, round_even(avg(n_chars), 4) AS mean_chars FROM documents d LEFT JOIN t ON t.lang IS NOT DISTINCT FROM d.lang GROUP BY 1""")
 def source_profile(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0").withColumn("s", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.mode("s").alias("top_source"), F.bround(F.median("n_chars")).cast("long").alias("median_chars"), F.bround(F.avg("n_chars"), 4).alias("mean_chars"))
+    d = table(spark, sf, "documents")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.mode("source", deterministic=True).alias("top_source"), F.bround(F.median("n_chars")).cast("long").alias("median_chars"), F.bround(F.avg("n_chars"), 4).alias("mean_chars"))
 
 
-@query("""WITH h AS (SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 AND i < 60 THEN cast(1::BIGINT << i::INT AS BIGINT) ELSE 0 END))::BIGINT AS bits FROM embeddings)
+@query("""WITH h AS (SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CASE WHEN i = 63 THEN (-9223372036854775808)::BIGINT ELSE cast(1::BIGINT << i::INT AS BIGINT) END ELSE 0 END))::BIGINT AS bits FROM embeddings)
 SELECT x.id AS a, y.id AS b, cast(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.bits, y.bits)) <= 6""")
 def hamming_near_pairs(spark, sf):
     """Vectors whose sign bits differ in six places at most, found through slices of the bits."""
-    bit = F.transform(F.slice("embedding", 1, 60), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    bits = F.aggregate(F.reverse(bit), F.lit(0).cast("long"), lambda s, b: s * 2 + b)
+    bit = F.transform("embedding", lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    bits = F.aggregate(F.reverse(bit), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
     h = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("bits"))
     return R.hamming_pairs(h, "id", "bits", 6)
 

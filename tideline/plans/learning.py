@@ -175,18 +175,18 @@ def health_trend_lag(spark, sf):
     return w.select("user_id", F.bround(F.abs(now - before), 4).alias("change"), F.when(now >= before, "up").otherwise("down").alias("direction"))
 
 
-@query("""WITH c AS (SELECT p_brand, p_partkey, trim(both '_' from regexp_replace(lower(p_brand || '|' || cast(p_partkey AS VARCHAR)), '[^a-z0-9]+', '_', 'g')) AS key FROM part WHERE p_partkey < 500),
+@query("""WITH c AS (SELECT p_brand, p_partkey, trim(both '_' from regexp_replace(lower(p_brand || '|' || cast(p_partkey AS VARCHAR)), '[^a-z0-9]+', '_', 'g')) AS key FROM part),
 l AS (SELECT lag(key) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS prerequisite, key AS dependent FROM c) SELECT DISTINCT prerequisite, dependent FROM l WHERE prerequisite IS NOT NULL AND prerequisite <> dependent""")
 def concept_edges_lag(spark, sf):
     return _edges(spark, sf)
 
 
 def _edges(spark, sf):
-    c = table(spark, sf, "part").where("p_partkey < 500").select("p_brand", "p_partkey", T.slug(F.concat_ws("|", "p_brand", F.col("p_partkey").cast("string"))).alias("key"))
+    c = table(spark, sf, "part").select("p_brand", "p_partkey", T.slug(F.concat_ws("|", "p_brand", F.col("p_partkey").cast("string"))).alias("key"))
     return G.chain_edges(c, ["p_brand"], ["p_partkey"], "key")
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_brand, p_partkey, trim(both '_' from regexp_replace(lower(p_brand || '|' || cast(p_partkey AS VARCHAR)), '[^a-z0-9]+', '_', 'g')) AS key FROM part WHERE p_partkey < 500),
+@query("""WITH RECURSIVE c AS (SELECT p_brand, p_partkey, trim(both '_' from regexp_replace(lower(p_brand || '|' || cast(p_partkey AS VARCHAR)), '[^a-z0-9]+', '_', 'g')) AS key FROM part),
 e AS (SELECT lag(key) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS p, key AS d FROM c), up AS (SELECT d AS concept, p AS prerequisite, 1 AS depth FROM e WHERE p IS NOT NULL UNION ALL SELECT up.concept, e.p, depth + 1 FROM up JOIN e ON e.d = up.prerequisite WHERE depth < 4 AND e.p IS NOT NULL)
 SELECT concept, prerequisite, cast(min(depth) AS INTEGER) AS depth FROM up GROUP BY 1, 2""")
 def transitive_prereqs(spark, sf):

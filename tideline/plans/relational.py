@@ -241,11 +241,13 @@ def id_remap_coalesce(spark, sf):
     return R.remapped(asked.withColumnRenamed("id", "row"), "ref", students, students).select(F.col("row").alias("id"), "ref")
 
 
-@query("""SELECT event_id, p_partkey, cast(greatest(0, 24 - 6 * abs(p_size - k)) AS INTEGER) AS score FROM (SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id < 200) JOIN part ON abs(p_size - k) <= 4 AND p_partkey < 500""")
+@query("""SELECT o_orderkey AS book, o_custkey % 9 AS asked, l_linenumber AS page, l_partkey AS chunk, cast(greatest(0, 24 - 6 * abs(l_linenumber - o_custkey % 9)) AS INTEGER) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND abs(l_linenumber - o_custkey % 9) <= 4""")
 def page_proximity_band(spark, sf):
-    asked = table(spark, sf, "events").where("event_id < 200").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    near = R.band_join(asked, table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", "p_size"), [], "k", "p_size", 4)
-    return near.select("event_id", "p_partkey", F.greatest(F.lit(0), 24 - 6 * F.abs(F.col("p_size") - F.col("k"))).cast("int").alias("score"))
+    """Chunks of the asked book within four pages of the asked page."""
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("book"), (F.col("o_custkey") % 9).alias("asked"))
+    chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("chunk"))
+    near = R.band_join(asked, chunks, ["book"], "asked", "page", 4)
+    return near.select("book", "asked", "page", "chunk", F.greatest(F.lit(0), 24 - 6 * F.abs(F.col("page") - F.col("asked"))).cast("int").alias("score"))
 
 
 @query("""SELECT c_custkey AS id, coalesce(u.value, c_acctbal) AS balance, u.user_id IS NOT NULL AS updated FROM customer FULL JOIN (SELECT user_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1) u ON u.user_id = c_custkey WHERE c_custkey IS NOT NULL

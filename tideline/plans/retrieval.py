@@ -11,14 +11,13 @@ from ..operators import windows as W
 from ..sources.tables import table
 from ._registry import query
 
-_N = 20
-_HITS = """q AS (SELECT vec_id AS query, cast(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 20), s AS (SELECT query, e.vec_id AS id, round_even(list_cosine_similarity(v, cast(e.embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON e.label = q.label),
+_HITS = """q AS (SELECT vec_id AS query, cast(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, e.vec_id AS id, round_even(list_cosine_similarity(v, cast(e.embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON e.label = q.label),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"""
 
 
 def _hits(spark, sf, k=12):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = e.where(F.col("id") < _N).select(F.col("id").alias("query"), "vector", "label")
+    q = e.where(F.col("id") % 100 == 0).select(F.col("id").alias("query"), "vector", "label")
     return V.topk_filtered(q, e, "label", k)
 
 

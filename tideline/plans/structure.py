@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import structure as X
 from ..functions import text as T
 from ..operators import relational as R
+from ..operators import windows as W
 from ..sources.tables import table
 from ._registry import query
 
 
-@query("""WITH s AS (SELECT p_brand, p_partkey AS start FROM part WHERE p_partkey % 3 = 0) SELECT p_brand, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY p_brand ORDER BY start) - 1, 99999)) AS end_page FROM s""")
+@query("""WITH s AS (SELECT p_brand, p_partkey AS start FROM part) SELECT p_brand, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY p_brand ORDER BY start) - 1, 99999)) AS end_page FROM s""")
 def chapter_page_spans(spark, sf):
-    return X.page_spans(table(spark, sf, "part").where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("start")), "p_brand", "start", 100_000)
+    return X.page_spans(table(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("start")), "p_brand", "start", 100_000)
 
 
 @query("""WITH g AS (SELECT p_brand, list(DISTINCT p_size) AS have, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1) SELECT p_brand, array_to_string(list_sort(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(have, cast(x AS INTEGER)))), ',') AS missing FROM g""")
@@ -22,11 +23,11 @@ def numbering_gaps(spark, sf):
     return X.missing_numbers(table(spark, sf, "part"), "p_brand", "p_size").select("p_brand", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
-@query("""WITH d AS (SELECT l_suppkey, l_partkey % 7 + l_linenumber - l_linenumber + (l_partkey % 5) // 4 AS "offset" FROM lineitem WHERE l_partkey % 7 < 3), n AS (SELECT l_suppkey, "offset", count(*) AS votes FROM d GROUP BY 1, 2),
+@query("""WITH d AS (SELECT l_suppkey, l_partkey % 7 + l_linenumber - l_linenumber + (l_partkey % 5) // 4 AS "offset" FROM lineitem), n AS (SELECT l_suppkey, "offset", count(*) AS votes FROM d GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, "offset") AS r, sum(votes) OVER (PARTITION BY l_suppkey) AS total FROM n)
 SELECT l_suppkey, "offset", votes, round_even(CASE WHEN votes >= 4 AND votes / total >= 0.5 THEN least(0.98e0, 0.7e0 + 0.3e0 * (votes / total)) ELSE 0.65e0 END, 6) AS confidence FROM r WHERE r = 1""")
 def page_offset_consensus(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_partkey % 7 < 3")
+    items = table(spark, sf, "lineitem")
     physical = F.col("l_linenumber") + F.col("l_partkey") % 7 + F.when(F.col("l_partkey") % 5 == 4, 1).otherwise(0)
     rows = items.select("l_suppkey", F.col("l_linenumber").cast("long").alias("printed"), physical.alias("physical"))
     return X.offset_consensus(rows, "l_suppkey", "printed", "physical").withColumn("confidence", F.bround("confidence", 6))
@@ -52,18 +53,24 @@ def heading_kinds(spark, sf):
     return table(spark, sf, "documents").select("doc_id", kinds.alias("kinds")).select("doc_id", n("chapter"), n("caps"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || cast(turn AS VARCHAR) || ' | x |' || CASE WHEN turn % 3 = 0 THEN chr(10) || '| only |' ELSE '' END AS md FROM conversations)
-SELECT conv_id, turn, cast(CASE WHEN turn % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS rows, 2 AS cols, turn % 3 = 0 AS ragged, turn % 3 <> 0 AS ok FROM t""")
+@query(r"""WITH t AS (SELECT l_orderkey, string_agg('| ' || cast(l_partkey AS VARCHAR) || ' | ' || l_returnflag || CASE WHEN l_quantity > 45 THEN ' | bulk |' ELSE ' |' END, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity) AS body FROM lineitem GROUP BY 1),
+l AS (SELECT l_orderkey, list_filter(list_transform(string_split('| item | flag |' || chr(10) || '|---|:--:|' || chr(10) || body, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\|.*\|$') AND NOT regexp_matches(x, '^\|[\s:|-]+\|$')) AS rows FROM t),
+w AS (SELECT l_orderkey, len(rows) AS n, list_transform(rows, lambda x: len(string_split(x, '|')) - 2) AS widths FROM l)
+SELECT l_orderkey, cast(n AS INTEGER) AS rows, cast(widths[1] AS INTEGER) AS cols, len(list_distinct(widths)) > 1 AS ragged, n >= 2 AND len(list_distinct(widths)) = 1 AS ok FROM w""")
 def markdown_tables(spark, sf):
-    turn = F.col("turn").cast("string")
-    md = F.concat(F.lit("| a | b |\n|---|---|\n| "), turn, F.lit(" | x |"), F.when(F.col("turn") % 3 == 0, F.lit("\n| only |")).otherwise(F.lit("")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.markdown_table(md).alias("t")).select("conv_id", "turn", "t.*")
+    """Size and shape of a table in Markdown: here each order's items, written as one, with some rows too wide."""
+    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_returnflag"), F.when(F.col("l_quantity") > 45, F.lit(" | bulk |")).otherwise(F.lit(" |")))
+    items = table(spark, sf, "lineitem").withColumn("row", row).groupBy("l_orderkey").agg(W.ordered_list("row", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity").alias("rows"))
+    md = F.concat_ws("\n", F.lit("| item | flag |"), F.lit("|---|:--:|"), F.array_join("rows", "\n"))
+    return items.select("l_orderkey", X.markdown_table(md).alias("t")).select("l_orderkey", "t.*")
 
 
-@query(r"""SELECT doc_id, array_to_string(['3', '3.' || cast(doc_id % 7 AS VARCHAR)], ',') AS figures FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, lower('Fig. ' || cast(n_chars % 5 AS VARCHAR) || ' ' || coalesce(text, '') || ' figure ' || cast(n_chars % 5 AS VARCHAR) || '.' || cast(doc_id % 7 AS VARCHAR) || '; FIG ' || cast(doc_id % 3 AS VARCHAR)) AS s FROM documents), f AS (SELECT doc_id, unnest(regexp_extract_all(s, '\bfig(?:ure)?\.?\s*([0-9]+(?:\.[0-9]+)?)', 1)) AS figure, generate_subscripts(regexp_extract_all(s, '\bfig(?:ure)?\.?\s*([0-9]+(?:\.[0-9]+)?)', 1), 1) AS i FROM t),
+d AS (SELECT doc_id, figure, min(i) AS i FROM f GROUP BY 1, 2) SELECT doc_id, string_agg(figure, ',' ORDER BY i) AS figures FROM d GROUP BY 1""")
 def figure_citations(spark, sf):
-    n = (F.col("doc_id") % 7).cast("string")
-    text = F.concat(F.lit("See Fig. 3 and figure 3."), n, F.lit("; again FIG 3, as in fig. 3."), n)
+    """Figures that a document cites, in order: those of its text, between two that its own numbers give."""
+    number = lambda c, m: (F.col(c) % m).cast("string")
+    text = F.concat(F.lit("Fig. "), number("n_chars", 5), F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" figure "), number("n_chars", 5), F.lit("."), number("doc_id", 7), F.lit("; FIG "), number("doc_id", 3))
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.figure_refs(text), ",").alias("figures"))
 
 
@@ -85,14 +92,15 @@ def topic_coverage_pct(spark, sf):
     return g.select("l_orderkey", X.covered_percent(F.col("covered"), (F.col("l_orderkey") % 7).cast("int"), F.col("done")).cast("int").alias("pct"))
 
 
-@query("""WITH b AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS y0, embedding[1]::DOUBLE + abs(embedding[3]::DOUBLE) + 0.05e0 AS x1, embedding[2]::DOUBLE + abs(embedding[4]::DOUBLE) + 0.05e0 AS y1 FROM embeddings WHERE vec_id < 200),
-p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS o FROM b a JOIN b ON a.label = b.label AND a.id < b.id)
+@query("""WITH b AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS y0, embedding[1]::DOUBLE + abs(embedding[3]::DOUBLE) + 0.05e0 AS x1, embedding[2]::DOUBLE + abs(embedding[4]::DOUBLE) + 0.05e0 AS y1, vec_id // 40 AS page FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS o FROM b a JOIN b ON a.page = b.page AND a.label = b.label AND a.id < b.id)
 SELECT a, b, round_even(o, 6) AS overlap FROM p WHERE o >= 0.55""")
 def near_duplicate_boxes(spark, sf):
+    """Boxes of one page and label that share more than half of the smaller one; forty boxes stand on a page."""
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     box = F.struct(e(0).alias("x0"), e(1).alias("y0"), (e(0) + F.abs(e(2)) + 0.05).alias("x1"), (e(1) + F.abs(e(3)) + 0.05).alias("y1"))
-    b = table(spark, sf, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "label", box.alias("box"))
-    p = b.select(F.col("id").alias("a"), "label", F.col("box").alias("box_a")).join(b.select(F.col("id").alias("b"), "label", F.col("box").alias("box_b")), "label").where("a < b")
+    b = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 40).alias("page"), "label", box.alias("box"))
+    p = b.select(F.col("id").alias("a"), "page", "label", F.col("box").alias("box_a")).join(b.select(F.col("id").alias("b"), "page", "label", F.col("box").alias("box_b")), ["page", "label"]).where("a < b")
     return p.withColumn("o", X.overlap_of_smaller(F.col("box_a"), F.col("box_b"))).where("o >= 0.55").select("a", "b", F.bround("o", 6).alias("overlap"))
 
 
@@ -114,10 +122,10 @@ def local_time_labels(spark, sf):
     return last.select("user_id", F.date_format(local, "dd MMM yyyy, hh:mm a").alias("shown"), F.to_date(local).alias("local_day"))
 
 
-@query("""SELECT o_orderkey, cast(i AS INTEGER) AS step, cast(o_orderdate AS DATE) + cast(i + 1 AS INTEGER) AS day, ['read', 'recall', 'practise'][(i % 3) + 1] AS task FROM orders, range(5) r(i) WHERE o_orderkey < 200""")
+@query("""SELECT o_orderkey, cast(i AS INTEGER) AS step, cast(o_orderdate AS DATE) + cast(i + 1 AS INTEGER) AS day, ['read', 'recall', 'practise'][(i % 3) + 1] AS task FROM orders, range(5) r(i)""")
 def revision_schedule(spark, sf):
     tasks = F.array(*[F.lit(x) for x in ("read", "recall", "practise")])
-    rows = table(spark, sf, "orders").where("o_orderkey < 200").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"))
     return rows.select("o_orderkey", "step", F.date_add("d", F.col("step") + 1).alias("day"), F.get(tasks, F.col("step") % 3).alias("task"))
 
 
@@ -207,12 +215,13 @@ def global_search(spark, sf):
     return found("part", "p_partkey", "p_name", ["ring"], 8).union(found("customer", "c_custkey", "c_name", ["ring", "00007"], 8)).union(found("nation", "n_nationkey", "n_name", ["1"], 5))
 
 
-@query("""WITH t AS (SELECT event_type, list(DISTINCT user_id % 10 ORDER BY user_id % 10) AS have FROM events WHERE event_id < 60 GROUP BY 1) SELECT event_type, len(list_filter([1, 2, 3], lambda x: NOT list_contains(have, x))) = 0 AS covers, array_to_string(list_filter([1, 2, 3], lambda x: NOT list_contains(have, x)), ',') AS lacking FROM t""")
+@query("""WITH t AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS have FROM lineitem GROUP BY 1) SELECT l_orderkey, len(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(have, x))) = 0 AS covers, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(have, x)), ',') AS lacking FROM t""")
 def required_subset(spark, sf):
-    want = F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])
-    t = table(spark, sf, "events").where("event_id < 60").groupBy("event_type").agg(F.collect_set(F.col("user_id") % 10).alias("have"))
+    """Whether each group has every required kind, and which it lacks."""
+    want = F.array(*[F.lit(x) for x in "ANR"])
+    t = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("have"))
     lacking = F.array_except(want, "have")
-    return t.select("event_type", (F.size(lacking) == 0).alias("covers"), F.array_join(F.transform(lacking, lambda x: x.cast("string")), ",").alias("lacking"))
+    return t.select("l_orderkey", (F.size(lacking) == 0).alias("covers"), F.array_join(lacking, ",").alias("lacking"))
 
 
 @query("""WITH c AS (SELECT event_type AS phase, CASE WHEN value > 100 THEN 'FAIL' WHEN value > 40 THEN 'WARN' ELSE 'PASS' END AS status, value FROM events) SELECT phase, ['PASS', 'WARN', 'FAIL'][max(CASE status WHEN 'FAIL' THEN 3 WHEN 'WARN' THEN 2 ELSE 1 END)] AS status, count(*) FILTER (status = 'PASS') AS passed, count(*) AS checks, round_even(sum(value), 2) AS ms FROM c GROUP BY 1""")
