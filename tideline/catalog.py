@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, learning, observability, relational, retrieval, rules, streams, structure, turns  # noqa: F401
+from .plans import dialogue, documents, learning, observability, relational, retrieval, rules, streams, structure, turns  # noqa: F401
 from .plans._registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "class_health_score"

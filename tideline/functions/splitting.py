@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where texts are cut, coarsest first.
 SEPARATORS = ["\n\n", "\nCHAPTER ", "\nChapter ", "\n", ". ", " ", ""]
 
 
@@ -109,8 +110,9 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
 
 
 def echo(user: Column, assistant: Column) -> Column:
-    """0 to 1: 1 where the user's text stands in the assistant's, else the share of shared words and word pairs;
-    0 for three longer words or fewer."""
+    """0 to 1: 1 where the user's text stands in the assistant's or holds the assistant's first 120 characters, else the
+    share of shared words and word pairs; 0 for three longer words or fewer. A window of the assistant's text that holds a
+    long user's text counts 0.98 only where the whole text does not hold it, which cannot be, so that step is not there."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     u, a = norm(user), norm(assistant)
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 2)
@@ -121,7 +123,8 @@ def echo(user: Column, assistant: Column) -> Column:
     recall = F.try_divide(shared, F.size(uw))
     union = F.try_divide(F.size(F.array_intersect(uw, aw)), F.size(F.array_union(uw, aw)))
     both = F.coalesce(F.try_divide(F.size(F.array_intersect(pairs(uw), pairs(aw))), F.size(F.array_distinct(pairs(uw)))), F.lit(0.0))
-    held = F.contains(a, u) & ((F.size(uw) >= 4) | (F.length(u) >= 28))
+    probe = F.substring(a, 1, 120)
+    held = (F.contains(a, u) & ((F.size(uw) >= 4) | (F.length(u) >= 28))) | ((F.length(probe) >= 24) & F.contains(u, probe))
     score = F.greatest(recall, 0.55 * recall + 0.25 * union + 0.20 * both)
     return F.when((F.length(u) < 3) | (a == ""), 0.0).when(held, 1.0).when(F.size(uw) <= 3, 0.0).otherwise(score)
 

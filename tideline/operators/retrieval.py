@@ -87,3 +87,22 @@ def prototypes(vectors: DataFrame, labelled: DataFrame, least: float) -> DataFra
     table = p.agg(F.sort_array(F.collect_list(F.struct("label", "_p"))).alias("ps"))
     scored = vectors.join(F.broadcast(table)).withColumn("best", F.array_max(F.transform("ps", lambda s: F.struct(F.bround(cosine(F.col("vector"), s["_p"]), 6).alias("score"), (-s["label"]).alias("minus")))))
     return scored.select("id", F.when(F.col("best.score") >= least, -F.col("best.minus")).alias("label"), F.col("best.score").alias("score"))
+
+
+#: Sample vectors that are carried to every row, at most.
+CARRIED = 10_000
+
+
+def nearest_prototype(vectors: DataFrame, samples: DataFrame, least: float, margin: float) -> DataFrame:
+    """(id, label, score): the label of the nearest sample, as a hundred times the cosine; null where that is below
+    `least`, or less than `margin` above the best of another label (or above 0). samples: label, vector, a few for each
+    of a fixed set of labels; more than CARRIED are an error, since they are broadcast."""
+    if samples.limit(CARRIED + 1).count() > CARRIED:
+        raise ValueError(f"more than {CARRIED} sample vectors")
+    listed = samples.groupBy("label").agg(F.collect_list("vector").alias("vs")).agg(F.collect_list(F.struct("label", "vs")).alias("ps"))
+    best = lambda s: F.array_max(F.transform(s["vs"], lambda v: F.bround(100 * cosine(F.col("vector"), v), 4)))
+    scores = F.reverse(F.array_sort(F.transform("ps", lambda s: F.struct(best(s).alias("score"), (-s["label"]).alias("minus")))))
+    scored = vectors.join(F.broadcast(listed)).select("id", scores.alias("s"))
+    first, second = F.get("s", F.lit(0)), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0))
+    sure = (first["score"] >= least) & (first["score"] - F.greatest(second, F.lit(0.0)) >= margin)
+    return scored.select("id", F.when(sure, -first["minus"]).alias("label"), first["score"].alias("score"))

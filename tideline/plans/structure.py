@@ -23,14 +23,17 @@ def numbering_gaps(spark, sf):
     return X.missing_numbers(table(spark, sf, "part"), "p_brand", "p_size").select("p_brand", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
-@query("""WITH d AS (SELECT l_suppkey, l_partkey % 7 + l_linenumber - l_linenumber + (l_partkey % 5) // 4 AS "offset" FROM lineitem), n AS (SELECT l_suppkey, "offset", count(*) AS votes FROM d GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, "offset") AS r, sum(votes) OVER (PARTITION BY l_suppkey) AS total FROM n)
-SELECT l_suppkey, "offset", votes, round_even(CASE WHEN votes >= 4 AND votes / total >= 0.5 THEN least(0.98e0, 0.7e0 + 0.3e0 * (votes / total)) ELSE 0.65e0 END, 6) AS confidence FROM r WHERE r = 1""")
+@query("""WITH m AS (SELECT l_orderkey, l_suppkey % 2 + (l_partkey % 5) // 4 AS "offset" FROM lineitem WHERE l_returnflag <> 'N'), t AS (SELECT l_orderkey, l_partkey % 3 AS "offset" FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 25),
+mode AS (SELECT l_orderkey, 'm' AS kind, "offset", count(*) AS votes FROM m GROUP BY 1, 3 UNION ALL SELECT l_orderkey, 't', "offset", count(*) FROM t GROUP BY 1, 3), r AS (SELECT *, sum(votes) OVER (PARTITION BY l_orderkey, kind) AS total FROM mode QUALIFY row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY votes DESC, "offset") = 1),
+k AS (SELECT DISTINCT l_orderkey FROM lineitem), j AS (SELECT k.l_orderkey, a."offset" AS mo, a.votes AS mv, a.total AS mt, b."offset" AS t_o, b.votes AS tv, coalesce(a.votes >= 4 AND a.votes / a.total >= 0.5, false) AS sure FROM k LEFT JOIN r a ON a.l_orderkey = k.l_orderkey AND a.kind = 'm' LEFT JOIN r b ON b.l_orderkey = k.l_orderkey AND b.kind = 't')
+SELECT l_orderkey, CASE WHEN sure THEN mo ELSE coalesce(t_o, mo, 0) END AS "offset", CASE WHEN sure THEN mv ELSE coalesce(tv, mv, 0) END AS votes, round_even(CASE WHEN sure THEN least(0.98e0, 0.7e0 + 0.3e0 * (mv / mt)) WHEN tv IS NOT NULL THEN 0.88e0 WHEN mv IS NOT NULL THEN 0.65e0 ELSE 0.5e0 END, 6) AS confidence FROM j""")
 def page_offset_consensus(spark, sf):
-    items = table(spark, sf, "lineitem")
-    physical = F.col("l_linenumber") + F.col("l_partkey") % 7 + F.when(F.col("l_partkey") % 5 == 4, 1).otherwise(0)
-    rows = items.select("l_suppkey", F.col("l_linenumber").cast("long").alias("printed"), physical.alias("physical"))
-    return X.offset_consensus(rows, "l_suppkey", "printed", "physical").withColumn("confidence", F.bround("confidence", 6))
+    """The page offset of each book: returned and accepted lines stand for page margins, the others for contents."""
+    items = table(spark, sf, "lineitem").withColumn("printed", F.col("l_linenumber").cast("long"))
+    ahead = F.when(F.col("l_returnflag") != "N", F.col("l_suppkey") % 2 + F.when(F.col("l_partkey") % 5 == 4, 1).otherwise(0)).otherwise(F.col("l_partkey") % 3)
+    rows = items.withColumn("physical", F.col("printed") + ahead)
+    found = X.offset_consensus(items, rows.where("l_returnflag <> 'N'"), rows.where("l_returnflag = 'N' AND l_quantity > 25"), "l_orderkey", "printed", "physical")
+    return found.withColumn("confidence", F.bround("confidence", 6))
 
 
 @query("""WITH t(n, r) AS (VALUES (1, 'i'), (4, 'IV'), (9, 'IX'), (14, 'xiv'), (40, 'XL'), (1994, 'MCMXCIV'), (NULL, 'chapter')) SELECT r AS numeral, cast(n AS INTEGER) AS value FROM t""")

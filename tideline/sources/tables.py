@@ -18,9 +18,24 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Multi-line JSON files under an explicit schema, with fields beyond it dropped."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def chosen(df: DataFrame, wanted: dict[str, object], *more: Column) -> DataFrame:
+    """The rows whose columns have the wanted value, or one of a list; "all", None and empty text let every value pass."""
+    for column, value in wanted.items():
+        if value not in (None, "", "all"):
+            df = df.where(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
+    for p in more:
+        df = df.where(p)
+    return df
+
+
+def contains_any_case(values: Column, value: str) -> Column:
+    """Whether an array of texts has the value, whatever its case."""
+    return F.array_contains(F.transform(values, F.lower), value.lower())
+
+
+def json_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """JSON files under an explicit schema, with fields beyond it dropped: a document a file, or a line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def deep_merge(base: dict, over: dict) -> dict:
