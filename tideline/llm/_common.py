@@ -36,6 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left-joined with a table of one row for each key, where a few keys may hold most of the rows.
+
+    Keys with more than an eighth of an even partition's share of the rows are joined by broadcast: there are at most
+    eight for each partition, whatever the size of the input. All others meet by a shuffle. Keys must not be null.
+    """
+    n = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    often = counts.where(F.col("_n") * n > total).select(*keys)
+    held = table.join(F.broadcast(often), keys, "left_semi").withColumn("_often", F.lit(True))
+    marked = rows.join(F.broadcast(held), keys, "left")
+    columns = [*rows.columns, *[c for c in table.columns if c not in keys]]
+    rest = marked.where(F.col("_often").isNull()).select(*rows.columns).join(table, keys, "left")
+    return marked.where("_often").select(*columns).unionByName(rest.select(*columns))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo a small number; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus

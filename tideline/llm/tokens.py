@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch
+from ._common import scratch, spread_join, stored
 
 LIMIT = 2048
 #: A worker remembers the counts of so many words at most.
@@ -97,16 +97,23 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return found.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))  # two writers may have added the same text
 
 
-def add_misses(docs: DataFrame, cache: str, path: str) -> None:
-    """Encodes the distinct contents of docs that the cache lacks and appends their counts.
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, text_hash and content of each row, written to a scratch table, so that a text is digested once."""
+    text = F.coalesce("text", F.lit(""))
+    return stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("text_hash"), content_digest(F.col("text")).alias("content")), "digests")
 
-    The first id of each missing content is found without its text; the row with that id and content is then encoded.
+
+def add_misses(docs: DataFrame, known: DataFrame, cache: str, path: str) -> None:
+    """Encodes the distinct contents that the cache lacks and appends their counts; known are the digests of docs.
+
+    One row of each missing content is chosen by id and text hash; the text of that row is then encoded.
     """
     version = tokenizer_digest(path)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", content_digest(F.col("text")).alias("content"))
-    first = rows.groupBy("content").agg(F.min("id").alias("id"))
-    misses = first.join(read_cache(docs.sparkSession, cache, version), "content", "left_anti")
-    chosen = rows.join(misses.hint("shuffle_hash"), ["id", "content"], "left_semi")
+    me = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_hash")
+    first = known.groupBy("content").agg(F.min(me).alias("me"))
+    misses = first.join(read_cache(docs.sparkSession, cache, version), "content", "left_anti").select("content", "me.*")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    chosen = rows.join(misses.hint("shuffle_hash"), ["id", "text_hash"])
 
     def count(batches):
         memo: dict[str, int] = {}
@@ -122,17 +129,19 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
 
     A null text counts as empty: no bytes, no tokens. Ids may be null or repeated, and other columns are ignored. Whole
     texts are encoded, without added special tokens; the strings of special tokens inside a text count as the library
-    counts them. An empty table adds nothing to the cache.
+    counts them. An empty table adds nothing to the cache. Equal texts under one id are added once each and then count
+    as one; a cache may be shared by runs and tokenizers, since its rows carry both digests.
     """
-    add_misses(docs, cache, path)
-    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content"))
+    known = digests(docs)
+    add_misses(docs, known, cache, path)
     counts = read_cache(docs.sparkSession, cache, tokenizer_digest(path))
-    # Copies of one text share a key; their rows hold no text, and the adaptive join splits a large group of them.
-    return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    found = spread_join(known.select("doc_id", "n_bytes", "content"), counts, ["content"])
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """The counts of all documents; without a cache of its own, the run starts an empty one in the scratch folder."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-counts"))
+    return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), cache or scratch(spark, "token-counts"))
