@@ -2,7 +2,8 @@
 
 A document's set is its distinct five-word shingles as 64-bit hashes. Documents of one set form a node. Two sets with a
 Jaccard similarity of 3/4 or more share a token among the first floor(n/4) + 1 of each under any order of all tokens,
-so a candidate pair has to share such a prefix token under each of ORDERS orders; only then are its sets compared.
+so a candidate pair has to share such a prefix token under each of ORDERS orders. Then the parities of buckets of both sets
+are compared, which bound from below how much the sets differ; only what that leaves fetches its sets.
 
 1. Document frequencies are counted over all nodes: blocks of documents send their sorted tokens, packed, to ranges of
    the hash space. Each range answers with bitmaps of the tokens in at least 2, 8, 64 and 512 nodes. The bitmaps have a
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PIECE, bounded, mix, pieces, stored, word_hashes
+from ._common import PIECE, bounded, mix, pieces, spread_join, stored, word_hashes
 from .bpe import _expand, _numbers, _planes
 
 WORDS = 5
@@ -94,7 +95,7 @@ def _without_copies(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, int]:
     me = F.struct("doc_id", "text_hash")
     first = full.groupBy("node", "check").agg(F.min(me).alias("first"), F.max("n_shingles").alias("n"))
     total = int(first.agg(F.sum("n").alias("t")).first()["t"] or 0)
-    copies = stored(full.join(first, ["node", "check"]).where(me != F.col("first")).select("doc_id", "text_hash"), "copies")
+    copies = stored(spread_join(full, first.select("node", "check", "first"), ["node", "check"]).where(me != F.col("first")).select("doc_id", "text_hash"), "copies")
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     return texts.join(F.broadcast(copies) if few else copies, ["doc_id", "text_hash"], "left_anti").select("text"), total
@@ -162,8 +163,19 @@ def _levels_of(h: np.ndarray, bits: list[int], maps: list[np.ndarray]) -> np.nda
     return out
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For buckets of the set's hashes, four or more for each: whether an odd number falls into each, as bits.
+
+    Every element that two sets do not share changes one bit, so they have at least as many such elements as their
+    parities differ in; half as many buckets are the exclusive or of both halves."""
+    size = 1 << max(6, (4 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _active(bits: list[int], maps, orders: int):
-    """(node, n, alone, prefix tokens of each order that may link, the set) of the texts whose prefixes hold such tokens.
+    """(node, n, alone, parities, prefix tokens of each order that may link, the set) of the texts whose prefixes hold
+    such tokens.
 
     alone is the number of tokens that no other node has; they come first in every order.
     """
@@ -188,8 +200,8 @@ def _active(bits: list[int], maps, orders: int):
                     columns[k].append(own[chosen[lv[chosen] > 0]].view(np.int64))
             sets = [h[first[d] : first[d + 1]].tobytes() for d in live]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[live]), pa.array(n[live]), pa.array(lone[live]), *(pa.array(c, pa.list_(pa.int64())) for c in columns), pa.array(sets, pa.binary())],
-                names=["node", "n", "alone", *(f"p{k}" for k in range(orders)), "set"],
+                [pa.array(node[live]), pa.array(n[live]), pa.array(lone[live]), pa.array([_parities(h[first[d] : first[d + 1]]) for d in live], pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in columns), pa.array(sets, pa.binary())],
+                names=["node", "n", "alone", "odd", *(f"p{k}" for k in range(orders)), "set"],
             )
 
     return run
@@ -205,16 +217,31 @@ def _enough_left(n_a: str, at_a: str, n_b: str, at_b: str) -> Column:
     return ((100 + PERCENT) * (F.col(n_a) - F.col(at_a)) >= need) & ((100 + PERCENT) * (F.col(n_b) - F.col(at_b)) >= need)
 
 
-def _verified(pairs: DataFrame, active: DataFrame, orders: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token in every order and whose sets are similar enough."""
+def _differences(a: Column, b: Column) -> Column:
+    """In how many buckets two lists of parities differ; the longer one is folded to the length of the other."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+
+def candidates(pairs: DataFrame, active: DataFrame, orders: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix token in every order and whose parities do not show them to be too unlike.
+
+    Sizes of a pair differ by a third at most, so their lists of parities by one halving."""
     rest = [f"p{k}" for k in range(1, orders)]
     for side in ("a", "b"):
-        pairs = pairs.join(active.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ["n", "alone", *rest])), side)
+        pairs = pairs.join(active.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ["n", "alone", "odd", *rest])), side)
     common = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT)).cast("int")
     short = lambda c, s: F.slice(f"{c}_{s}", 1, F.greatest(F.col(f"n_{s}") - common + 1 - F.col(f"alone_{s}"), F.lit(0)).cast("int"))
+    pairs = pairs.where(_differences(F.col("odd_a"), F.col("odd_b")) <= F.col("n_a") + F.col("n_b") - 2 * common)
     for c in rest:
         pairs = pairs.where(F.arrays_overlap(short(c, "a"), short(c, "b")))
-    pairs = pairs.select("a", "b")
+    return pairs.select("a", "b")
+
+
+def _verified(pairs: DataFrame, active: DataFrame, orders: int) -> DataFrame:
+    """The candidates among the pairs (a, b) whose sets are similar enough; only these fetch their sets."""
+    pairs = candidates(pairs, active, orders)
     for side in ("a", "b"):
         pairs = pairs.join(active.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
 
@@ -260,7 +287,7 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def link_components(active: DataFrame, orders: int = ORDERS) -> DataFrame:
     """(node, label) of the nodes that have a link; label is the same for nodes that links connect.
 
-    active: node, n, alone, p0, p1, ..., set, a row for each node (more rows of one node do no harm).
+    active: node, n, alone, odd, p0, p1, ..., set, a row for each node (more rows of one node do no harm).
     """
     tokens = active.select("node", "n", "alone", F.posexplode("p0").alias("at", "token")).withColumn("at", F.col("at") + F.col("alone"))
     # The hub has the smallest share of tokens of its own: of a group of edited copies, the least edited one.
@@ -296,13 +323,14 @@ def ngram_jaccard_join(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     texts, total = _without_copies(docs, keys)
     bits, maps = frequency_levels(texts, total)
     held = docs.sparkSession.sparkContext.broadcast(maps)
-    schema = "node long, n long, alone long, " + "".join(f"p{k} array<long>, " for k in range(orders)) + "set binary"
+    schema = "node long, n long, alone long, odd array<long>, " + "".join(f"p{k} array<long>, " for k in range(orders)) + "set binary"
     active = stored(texts.mapInArrow(_active(bits, held, orders), schema), "active")
     labels = link_components(active, orders)
-    rows = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    least = rows.where(linked).groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(linked, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = spread_join(keys.where(linked).select("doc_id", "n_shingles", "node"), labels, ["node"]).withColumn("label", F.coalesce("label", "node"))
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    placed = spread_join(rows.select("doc_id", "n_shingles", "label"), least, ["label"]).select("doc_id", "n_shingles", "component_id")
+    return placed.unionByName(keys.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
