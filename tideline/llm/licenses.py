@@ -1,23 +1,31 @@
 """License scan by diagonal voting, with DataFrame functions alone.
 
-Every pair of consecutive words of a document is hashed and joined to the positions of the same pair in the license
-templates; the join also compares the words themselves, so a hit is a verified pair. A hit votes for the diagonal
-(position in the document less position in the template). A short phrase stands where a diagonal has all its votes.
-For longer notices, diagonals that lie close together are merged, which lets words be missing or added in between,
-and the span is verified by the share of the template's pairs that it holds and by their density.
-
-The templates are a fixed list, so their table is broadcast. Long texts are spread by hit, not kept in one task; only
-the words of one text are an array of one row.
+Every run of k consecutive words of a document is hashed and joined to the positions of the same run in the license
+templates: runs of 2 words for short phrases, of K for notices and whole license texts. The join also compares the words
+themselves, so a hit is a verified run. A hit votes for the diagonal (position in the document less position in the
+template). A short phrase stands where a diagonal has all its votes. For longer templates, diagonals that lie close
+together are merged, which lets words be missing or added in between, and the span is verified by the share of the
+template's runs that it holds and by their density.
+
+A text is split once. Hashes that no template has are dropped before the rows leave their task, so only hits move, and
+the skinny table of documents with their hits is written and read again. The templates are a fixed list, so their table
+is broadcast and their hashes are a set of constants.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-K = 2
+from ._common import stored
+from .license_texts import TEXTS
+
+#: Words of a run in notices and texts, and in phrases.
+K, PAIR = 4, 2
 #: The phrases and the labels that they give.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -41,6 +49,9 @@ NOTICES = {
 DRIFT = 3
 SHARE = 0.6
 
+#: Notices and whole texts.
+TEMPLATES = NOTICES | TEXTS
+
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,34 +61,53 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAK), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(template, label, is_phrase, width, tpos, gram, h): every pair of words of every template."""
+    """(template, label, is_phrase, k, width, tpos, gram, h): every run of words of every template; h hashes the words' hashes."""
     rows = []
-    for base, source in ((True, phrases.items()), (False, ((text, label) for label, text in notices.items()))):
+    for base, k, source in ((True, PAIR, phrases.items()), (False, K, ((text, label) for label, text in notices.items()))):
         for text, label in source:
-            words = text.split()
-            if len(words) < K:
-                raise ValueError(f"a template needs {K} words at least: {text!r}")
-            rows += [(text, label, base, len(words), i, " ".join(words[i : i + K])) for i in range(len(words) - K + 1)]
-    schema = "template string, label string, is_phrase boolean, width int, tpos int, gram string"
-    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("gram"))
+            words = [w for w in re.split(_BREAK, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
+            if len(words) < k:
+                raise ValueError(f"a template needs {k} words at least: {text!r}")
+            rows += [(label if not base else text, label, base, k, len(words), i, words[i : i + k]) for i in range(len(words) - k + 1)]
+    schema = "template string, label string, is_phrase boolean, k int, width int, tpos int, run array<string>"
+    run = lambda k: F.xxhash64(*[F.xxhash64(F.get("run", F.lit(j))) for j in range(k)])
+    table = spark.createDataFrame(rows, schema).withColumn("h", F.when(F.col("k") == PAIR, run(PAIR)).otherwise(run(K)))
+    return table.withColumn("gram", F.array_join("run", " ")).drop("run")
+
+
+def _hits(words: Column, hashes: Column, k: int, known: list[int]) -> Column:
+    """(k, pos, h, gram) of the runs of k words whose hash a template has."""
+    runs = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (k - 1), F.lit(0))), lambda h, i: F.struct(i.alias("pos"), F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, k)]).alias("h")))
+    met = F.filter(runs, lambda r: r["h"].isin(known))
+    return F.transform(met, lambda r: F.struct(F.lit(k).alias("k"), r["pos"].alias("pos"), r["h"].alias("h"), F.array_join(F.slice(words, r["pos"] + 1, k), " ").alias("gram")))
+
+
+def scanned(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_words, hits) of each row, written to a scratch table; no words but those of hits."""
+    known = {k: [r["h"] for r in table.where(F.col("k") == k).select("h").distinct().collect()] for k in (PAIR, K)}  # a constant of the templates
+    body = lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*[_hits(w, h, k, hs or [0]) for k, hs in known.items()]).alias("hits")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _let(words_of(F.col("text")), body).alias("x"))
+    return stored(rows.select("doc_id", "text_hash", "x.n_words", "x.hits"), "license-hits")
 
 
-def spans(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, text_hash, label, is_phrase, start, end, score): all verified places, words counted from 0.
+def spans(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, label, is_phrase, start, end, score): all verified places in scanned rows, words counted from 0.
 
-    Rows with equal id and text give one set of spans. score is the share of the template's pairs that were found.
+    Rows with equal id and text give one set of spans. score is the share of the template's runs that were found.
     """
-    table = templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
-    grams = words.select("doc_id", "text_hash", F.posexplode(pairs).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = grams.join(F.broadcast(table), ["h", "gram"]).select("doc_id", "text_hash", "template", "label", "is_phrase", "width", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
-    key = ["doc_id", "text_hash", "template", "label", "is_phrase", "width"]
+    grams = rows.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode("hits").alias("x")).select("doc_id", "text_hash", "x.*")
+    hits = grams.join(F.broadcast(table), ["k", "h", "gram"]).select("doc_id", "text_hash", "template", "label", "is_phrase", "k", "width", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
+    key = ["doc_id", "text_hash", "template", "label", "is_phrase", "k", "width"]
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("tpos").alias("seen")).withColumn("votes", F.size("seen"))
-    base = votes.where(F.col("is_phrase") & (F.col("votes") == F.col("width") - (K - 1)))
+    base = votes.where(F.col("is_phrase") & (F.col("votes") == F.col("width") - (PAIR - 1)))
     base = base.select("doc_id", "text_hash", "label", "is_phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("width")).alias("end"), F.lit(1.0).alias("score"))
-    # A lone pair of common words is no evidence: a diagonal takes part once two of its pairs agree.
+    # A lone run of common words is no evidence: a diagonal takes part once two of its runs agree.
     near = votes.where(~F.col("is_phrase") & (F.col("votes") >= 2))
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     run = near.withColumn("gap", (F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT).withColumn("run", F.sum(F.coalesce(F.col("gap").cast("int"), F.lit(0))).over(order))
@@ -98,7 +128,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     id and text get equal results. Columns other than doc_id and text are ignored. score is the best share of a
     template found, 0 without labels.
     """
-    found = spans(docs, phrases, notices)
+    table = templates(docs.sparkSession, PHRASES if phrases is None else phrases, TEMPLATES if notices is None else notices)
+    rows = scanned(docs, table)
+    found = spans(rows, table)
     base = lambda value: F.when(F.col("is_phrase"), value)
     per_doc = found.groupBy("doc_id", "text_hash").agg(
         F.count(base(F.lit(1))).alias("n_base"),
@@ -109,7 +141,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
         F.max("score").alias("score"),
     )
     per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = rows.select("doc_id", "text_hash", "n_words")
     joined = counted.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast(T.LongType())).alias("n_base"), "first_word", "last_word",
