@@ -1,10 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-The markup is stripped to blocks, one line each, with every line's weight: the length of its text, nothing for lines
-inside navigation, headers, footers, asides, forms, comments, adverts and notices (told by element or by the words of
-class, id and role), and the share outside links for the others. Sums of the weights over sliding windows of lines
-show where text surges and where it dives; the lines between a surge and the dive after it are kept, links too, unless
-they are boilerplate. Where there is an article or main element, all its lines but boilerplate are kept.
+The markup is stripped to blocks, one line each, with every line's weight: nothing inside navigation, headers, footers,
+asides, forms, adverts, notices and comments, told by element or by a class, id or role that says nothing else; for the
+others the length of the text outside links, and in an article or main element a constant as well. Sums of the weights
+over sliding windows of lines show where text surges and where it dives; the lines from a surge to the dive after it are
+kept, links too, unless they are boilerplate. An article or main element that holds less than a third of the page's dense
+text is a teaser and gets no bonus. A class that names boilerplate among other things ("legal-history") decides only for
+lines that stand in thin text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Element names of the HTML standard by their role.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-HIDDEN = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "object", "canvas", "audio", "video", "map", "math", "datalist", "label", "input", "fieldset", "option"}
+HIDDEN = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "object", "canvas", "audio", "video", "map", "datalist", "input", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -31,11 +33,19 @@ MARKS = {
     "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "modal", "alert",
     "overlay", "paywall", "skip", "copyright", "legal", "disclaimer", "adsense", "adslot", "adbox", "adcontainer",
 }
+#: Words beside the marks that do not make a class say something else.
+NEUTRAL = {
+    "bar", "block", "bottom", "box", "btn", "button", "buttons", "container", "content", "desktop", "feed", "footer", "form", "global", "group", "header", "holder", "icon", "icons", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post", "primary", "right", "section", "site", "slot", "text", "title", "top",
+    "unit", "wrap", "wrapper", "zone",
+}
 #: Words that make a "header" one of the article and not of the page.
 OWN = {"article", "entry", "post", "content", "story"}
 WINDOW = 3
-#: Without an article or main element, a window of lines needs this many weighted characters to count as text.
+#: A window of lines needs this weight to count as text. Every line of an article gets as much.
 DENSE = 60
+#: An article element with less than this share of the page's dense text is not the page's article.
+SHARE = 1 / 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -45,65 +55,72 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _CONTENT = {"article", "main"}
 
 
-def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
+#: What an element says of its lines: text, text unless it is thin, or no text.
+_TEXT, _DOUBTFUL, _BOILERPLATE = 0, 1, 2
+
+
+def _standing(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element is boilerplate; inside: whether it stands in an article or main element."""
     if name in HIDDEN or (name == "header" and not inside):
-        return True
+        return _BOILERPLATE
     if not attributes:
-        return False
+        return _TEXT
     if _HIDE.search(attributes):
-        return True
-    if name in _CONTENT or name in ("body", "html"):
-        return False
+        return _BOILERPLATE
+    if name in ("main", "body", "html"):
+        return _TEXT
+    standing = _TEXT
     for m in _MARKED.finditer(attributes):
-        words = {w.lower() for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-        if words & MARKS or ("header" in words and not inside and not words & OWN):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORD.findall(token)}
+            header = "header" in words and not inside and not words & OWN
+            if header or (words & MARKS and words <= MARKS | NEUTRAL):
+                return _BOILERPLATE
+            if words & MARKS and name not in _CONTENT:
+                standing = _DOUBTFUL
+    return standing
 
 
 def _plain(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, weight, whether inside article or main, whether boilerplate) of each block that has text, in page order.
+def blocks(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, length outside links, whether inside article or main, standing) of each block that has text, in page order.
 
     Text and link text have their character references decoded and white space turned into single spaces. Markup need not be
     well formed: an unclosed element ends with the one around it, an end tag without a start is ignored.
     """
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article or main
-    dead, content, links, raw_until, at = 0, 0, 0, 0, 0
+    stack: list[tuple[str, int, bool]] = []  # name, standing, article or main
+    dead, doubtful, content, links, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
         if parts:
             text = _plain(parts)
             if text:
-                out.append((text, 0 if dead else max(0, len(text) - len(_plain(linked))), content > 0, dead > 0))
+                out.append((text, 0 if dead else max(0, len(text) - len(_plain(linked))), content > 0, _BOILERPLATE if dead else _DOUBTFUL if doubtful else _TEXT))
             parts.clear()
         linked.clear()
 
     def pop(i: int) -> None:
         """Closes the elements from number i of the stack on."""
-        nonlocal dead, content, links
+        nonlocal dead, doubtful, content, links
         while len(stack) > i:
-            name, boilerplate, main = stack.pop()
-            dead -= boilerplate
+            name, standing, main = stack.pop()
+            dead -= standing == _BOILERPLATE
+            doubtful -= standing == _DOUBTFUL
             content -= main
             links -= name == "a"
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < raw_until:
-            continue
-        if m.start() > at and (not dead or parts):
+    while m := _TOKEN.search(page, at):
+        if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if links:
                 linked.append(piece)
-        elif m.start() > at:
-            parts.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -123,8 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            raw_until = at
+            at = end.end() if end else len(page)  # what looks like markup inside is none
             continue
         if name in VOID:
             continue
@@ -149,9 +165,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
         if (m[3] or "").endswith("/") and name not in BLOCKS:
             continue
-        boilerplate = _is_boilerplate(name, m[3] or "", content > 0)
-        stack.append((name, boilerplate, name in _CONTENT and not dead and not boilerplate))
-        dead += boilerplate
+        standing = _standing(name, m[3] or "", content > 0)
+        stack.append((name, standing, name in _CONTENT and not dead and standing != _BOILERPLATE))
+        dead += standing == _BOILERPLATE
+        doubtful += standing == _DOUBTFUL
         content += stack[-1][2]
         links += name == "a"
     if at < len(page):
@@ -189,14 +206,19 @@ def main_text(page: str | None, window: int = WINDOW, dense: int = DENSE) -> str
     if not page:
         return ""
     lines = blocks(page)
-    keep = [text for text, _, main, boilerplate in lines if main and not boilerplate]
-    if keep:
-        return "\n".join(keep)
-    weights = [weight for _, weight, _, _ in lines]
-    for surge, dive in spans(weights, window, dense):
-        keep += [text for text, _, _, boilerplate in lines[surge:dive] if not boilerplate]
+    plain = [weight for _, weight, _, _ in lines]
+    thick = [x for surge, dive in spans(plain, window, dense) for x in range(surge, dive)]
+    own = sum(plain[x] for x in thick if lines[x][2])
+    bonus = any(main for _, _, main, _ in lines) and own >= SHARE * sum(plain[x] for x in thick)
+    # Thin text behind a doubtful class weighs nothing and is dropped; in thick text the class says nothing.
+    solid = set(thick)
+    weights = []
+    for i, (_, weight, main, standing) in enumerate(lines):
+        out = standing == _BOILERPLATE or (standing == _DOUBTFUL and (i not in solid or weight < dense // window))
+        weights.append(-1 if out else weight + dense if main and bonus else 0 if bonus else weight)
+    keep = [lines[x][0] for surge, dive in spans([max(w, 0) for w in weights], window, dense) for x in range(surge, dive) if weights[x] >= 0 and (lines[x][2] or not bonus)]
     if not keep:  # a page of a few short lines has no dense ground
-        keep = [text for text, weight, _, _ in lines if weight]
+        keep = [lines[x][0] for x, w in enumerate(weights) if w > 0]
     return "\n".join(keep)
 
 
