@@ -22,6 +22,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Share of the trusted documents that may fall below the threshold.
 TRUSTED_LOSS = 0.001
+#: The threshold is a multiple of this.
+GRID = 1e-4
 
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -136,8 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[lis
     ratio = fit_ratio(docs, trusted, buckets)
     # Scored where they lie and joined as numbers, by an inner join: a semi join would be pushed below the scores and move the texts.
     score = _let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _let(word_hashes(w), lambda h: ratio_score(h, ratio, buckets))))
-    low = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").agg(F.percentile_approx("s", TRUSTED_LOSS, 10000).alias("q")).first()["q"]
-    return ratio, -math.inf if low is None else low
+    step = F.floor(F.col("s") / GRID).cast("long").alias("step")
+    steps = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").where("s IS NOT NULL").groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()
+    return ratio, low_quantile({r["step"]: r["n"] for r in steps})
+
+
+def low_quantile(counts: dict[int, int]) -> float:
+    """The lower end of the step that holds the TRUSTED_LOSS quantile; -inf without scores. Exact counts, so that it is
+    the same in every run; a score is a mean of bounded logarithms, so the steps are bounded in number."""
+    left = TRUSTED_LOSS * sum(counts.values())
+    for step in sorted(counts):
+        left -= counts[step]
+        if left < 0:
+            return step * GRID
+    return -math.inf
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
