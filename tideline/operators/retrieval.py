@@ -79,9 +79,15 @@ def diverse(hits: DataFrame, n: int, weight: float = 0.7) -> DataFrame:
     return hits.groupBy("query").applyInArrow(choose, schema)
 
 
+#: Prototypes or sample vectors that are carried to every row, at most.
+CARRIED = 10_000
+
+
 def prototypes(vectors: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
     """(id, label, score): the label whose mean direction is nearest, null below `least`. There are as many prototypes
-    as labels, which have to be few: they are broadcast."""
+    as labels; more than CARRIED are an error, since they are broadcast."""
+    if labelled.select("label").distinct().limit(CARRIED + 1).count() > CARRIED:
+        raise ValueError(f"more than {CARRIED} labels")
     unit = labelled.select("label", F.posexplode(normalised(F.col("vector"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     p = unit.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_p"))
     table = p.agg(F.sort_array(F.collect_list(F.struct("label", "_p"))).alias("ps"))
@@ -89,10 +95,6 @@ def prototypes(vectors: DataFrame, labelled: DataFrame, least: float) -> DataFra
     return scored.select("id", F.when(F.col("best.score") >= least, -F.col("best.minus")).alias("label"), F.col("best.score").alias("score"))
 
 
-#: Sample vectors that are carried to every row, at most.
-CARRIED = 10_000
-
-
 def nearest_prototype(vectors: DataFrame, samples: DataFrame, least: float, margin: float) -> DataFrame:
     """(id, label, score): the label of the nearest sample, as a hundred times the cosine; null where that is below
     `least`, or less than `margin` above the best of another label (or above 0). samples: label, vector, a few for each

@@ -29,7 +29,7 @@ def boilerplate_lines(spark, sf):
     lines = docs.select("source", "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line")).where("line <> ''")
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     g = lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("docs"))
-    return g.join(F.broadcast(n), "source").where(F.col("docs") >= F.greatest(F.lit(2), F.floor(0.05 * F.col("n")))).select("source", "line", "docs")
+    return g.join(n, "source").where(F.col("docs") >= F.greatest(F.lit(2), F.floor(0.05 * F.col("n")))).select("source", "line", "docs")
 
 
 @query()
