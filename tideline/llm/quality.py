@@ -139,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[lis
     # Scored where they lie and joined as numbers, by an inner join: a semi join would be pushed below the scores and move the texts.
     score = _let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _let(word_hashes(w), lambda h: ratio_score(h, ratio, buckets))))
     step = F.floor(F.col("s") / GRID).cast("long").alias("step")
-    steps = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").where("s IS NOT NULL").groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()
-    return ratio, low_quantile({r["step"]: r["n"] for r in steps})
+    # Texts without a score are left out here: a filter on it would be pushed below the join and compute every score twice.
+    steps = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()
+    return ratio, low_quantile({r["step"]: r["n"] for r in steps if r["step"] is not None})
 
 
 def low_quantile(counts: dict[int, int]) -> float:
