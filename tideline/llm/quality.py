@@ -3,7 +3,8 @@
 Built from DataFrame functions alone. Word unigrams and bigrams are hashed into a fixed number of buckets. One
 multinomial is counted over the trusted documents (labelled good and not toxic), the other over every document; a
 document's score is the mean over its n-grams of log(target / raw) of their buckets, so its length cancels out. The
-threshold is a low quantile of the trusted documents' own scores, and every document is decided by it.
+threshold is a low quantile of the trusted documents' own scores, and every document is decided by it. Each document is
+scored once: its score is written, and both the threshold and the verdict are taken from there.
 
 The table of ratios has `buckets` numbers whatever the corpus, and is the only thing that passes through the driver.
 """
@@ -15,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import stored
 
 BUCKETS = 1 << 13
 WINDOW = 8
@@ -62,11 +64,11 @@ def _covered(windows: Column) -> Column:
     return _let(ordered, lambda s: _let(repeated(s), total))
 
 
-def judged(text: Column, ratio: list[float] | None = None, threshold: float = -math.inf, buckets: int | None = None) -> Column:
-    """A struct of n_words, word_chars, n_repeat_words, llr_score, base_failed and kept.
+def judged(text: Column, ratio: list[float] | None = None, buckets: int | None = None) -> Column:
+    """A struct of n_words, word_chars, n_repeat_words, llr_score and base_failed.
 
-    One expression that splits the text once: as separate columns, a filter on the verdict would be pushed below them
-    and copy each into the others.
+    One expression that splits the text once: as separate columns, a filter on one would be pushed below them and copy
+    each into the others.
     """
 
     def counted(w: Column, h: Column) -> Column:
@@ -76,7 +78,7 @@ def judged(text: Column, ratio: list[float] | None = None, threshold: float = -m
 
     def decided(c: Column) -> Column:
         failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-        return F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_repeat_words"].alias("n_repeat_words"), c["llr_score"].alias("llr_score"), failed.alias("base_failed"), (~failed & (c["llr_score"] >= threshold)).alias("kept"))
+        return F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_repeat_words"].alias("n_repeat_words"), c["llr_score"].alias("llr_score"), failed.alias("base_failed"))
 
     return _let(_let(words_of(text), lambda w: _let(word_hashes(w), lambda h: counted(w, h))), decided)
 
@@ -132,16 +134,14 @@ def ratio_score(hashes: Column, ratio: list[float], buckets: int = BUCKETS) -> C
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1)).otherwise(F.lit(0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[list[float], float]:
-    """The table of ratios and the threshold."""
-    trusted = trusted_ids(labels)
-    ratio = fit_ratio(docs, trusted, buckets)
-    # Scored where they lie and joined as numbers, by an inner join: a semi join would be pushed below the scores and move the texts.
-    score = _let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, _let(word_hashes(w), lambda h: ratio_score(h, ratio, buckets))))
-    step = F.floor(F.col("s") / GRID).cast("long").alias("step")
-    # Texts without a score are left out here: a filter on it would be pushed below the join and compute every score twice.
-    steps = docs.select("doc_id", score.alias("s")).join(trusted, "doc_id").groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()
-    return ratio, low_quantile({r["step"]: r["n"] for r in steps if r["step"] is not None})
+def threshold_of(scored: DataFrame, trusted: DataFrame) -> float:
+    """The threshold, from the scores of all trusted documents of MIN_WORDS words or more.
+
+    scored: doc_id, n_words, llr_score as written rows, so that only numbers are joined and nothing is scored again.
+    """
+    step = F.floor(F.col("llr_score") / GRID).cast("long").alias("step")
+    full = scored.where(F.col("n_words") >= MIN_WORDS).select("doc_id", "llr_score")
+    return low_quantile({r["step"]: r["n"] for r in full.join(trusted, "doc_id").groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
 def low_quantile(counts: dict[int, int]) -> float:
@@ -155,27 +155,44 @@ def low_quantile(counts: dict[int, int]) -> float:
     return -math.inf
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+_COUNTS = ["n_words", "word_chars", "n_repeat_words", "llr_score", "base_failed"]
+
+
+def _decided(docs: DataFrame, labels: DataFrame, buckets: int, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str, Column]:
+    """docs without the columns to drop and with a struct of counts and score, its name, and the verdict on a row. Every
+    text is scored once: the scores are written with the rows, and the threshold is taken from the written scores."""
+    trusted = trusted_ids(labels)
+    ratio = fit_ratio(docs, trusted, buckets)
+    name = "_judged"
+    while name in docs.columns:
+        name += "_"
+    rows = stored(docs.select(*[F.col(c) for c in docs.columns if c not in drop], judged(F.col("text"), ratio, buckets).alias(name)), "quality-scores")
+    threshold = threshold_of(rows.select("doc_id", f"{name}.n_words", f"{name}.llr_score"), trusted)
+    return rows, name, ~F.col(name)["base_failed"] & (F.col(name)["llr_score"] >= threshold)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, keep_text: bool = True) -> DataFrame:
     """The input's rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr_score, base_failed and kept.
 
     labels: doc_id, quality, toxic; trusted are quality 1 and toxic not 1. Null ids are never trusted, an empty table
     of labels gives a score of 0 and a threshold of -inf, so that only the counted rules decide. A null or empty text
     has no words and fails. Equal texts get equal verdicts, repeated rows stay repeated, columns of these names in the
-    input are replaced. Texts of any length are scored whole.
+    input are replaced. Texts of any length are scored whole. The rows are written to a scratch table once, with the
+    text only if it is to be kept.
     """
-    ratio, threshold = fit(docs, labels, buckets)
-    scored = line_counts(docs).withColumn("_judged", judged(F.col("text"), ratio, threshold, buckets))
-    new = ["n_words", "word_chars", "n_repeat_words", "llr_score", "base_failed", "kept"]
-    return scored.select(*[c for c in scored.columns if c not in (*new, "_judged")], *[F.col(f"_judged.{c}").alias(c) for c in new])
+    rows, name, verdict = _decided(line_counts(docs), labels, buckets, () if keep_text else ("text",))
+    old = [F.col(c) for c in rows.columns if c not in (*_COUNTS, "kept", name)]
+    return rows.select(*old, *[F.col(name)[c].alias(c) for c in _COUNTS], verdict.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs.select("doc_id", "text"), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
+    rows = quality_rules(docs.select("doc_id", "text"), labels, keep_text=False)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with the columns of documents."""
-    ratio, threshold = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(judged(F.col("text"), ratio, threshold)["kept"])
+    rows, _, verdict = _decided(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), BUCKETS)
+    return rows.where(verdict).select(*docs.columns)
