@@ -1,17 +1,20 @@
-"""Katz backoff bigram model of words: Good-Turing discounted counts with exactly normalised backoff weights.
+"""Katz backoff model of words: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
 Texts are taken in blocks; a block's distinct words and pairs of words cross the network packed, with their counts.
 
 1. Words go to ranges of the hash space, which add up the training counts over all blocks and number the words that
    training has seen: the unigram table, a partition for each range. The same task answers each block's question.
-2. Pairs of word numbers go to ranges dealt by the first word; those of a very frequent first word are dealt by both.
-   Ranges add up the training counts: the bigram table, partitioned likewise. The task answers each block with its
-   pairs' counts and, for each first word, with its total, the unigram mass of the words seen after it, and how many
-   of these were seen 1, 2, ... times; what a very frequent first word has in each range is added up afterwards.
-3. Counts of counts give the Good-Turing discounts of both orders. A first word's backoff weight is (1 - discounted
-   mass of the words seen after it) / (1 - unigram mass of the same words), so its probabilities add up to one.
-4. Blocks meet their answers and score every token: the discounted pair if training has seen it, else the weight of
-   the first word times the unigram probability.
+2. For each length from two to the order: n-grams of word numbers go to ranges dealt by the context (all words but the
+   last); those of a very frequent context are dealt by all words. A block asks only where training has seen the
+   context, which the length before has answered. Ranges add up the training counts: the n-gram table, partitioned
+   likewise. The task answers each block with its n-grams' counts and, for each context, with its total, the mass that
+   the shorter context gives the words seen after it, and how many of these were seen 1, 2, ... times; what a very
+   frequent context has in each range is added up afterwards.
+3. Counts of counts give the Good-Turing discounts of every length. A context's backoff weight is (1 - discounted mass
+   of the words seen after it) / (1 - mass of the same words one word shorter), so its probabilities add up to one.
+4. Blocks meet their answers and score every token from the words up: the discounted n-gram if training has seen it,
+   else the weight of its context times the probability one word shorter. A text begins with one start word, so its
+   first tokens have the contexts that are there.
 
 The unigram level is discounted too; its free mass belongs to one class of unseen words. docs is read more than once
 and must give the same rows each time, as files do.
@@ -32,9 +35,11 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK = 12 << 20
 #: Counts above this are not discounted.
 GT_LIMIT = 5
-#: Ranges of pairs for each range of words.
-PAIR_RANGES = 4
-#: A first word with more than this share of a range's even part of the training tokens is dealt by both words.
+#: Longest n-grams of the model. Three work as well, but their packets exceed the disk that the query may use.
+ORDER = 2
+#: Ranges of longer n-grams for each range of words.
+GRAM_RANGES = 4
+#: A context with more than this share of a range's even part of the training tokens is dealt by all words.
 HOT_SHARE = 0.25
 
 _END = np.uint64(0x454E445F454E4421)
@@ -220,23 +225,74 @@ class _Known:
             self.previous[1:] = self.index[:-1]
             self.previous[self.first[:-1]] = self.start
 
-    def pairs(self, ranges: int, hot: int):
-        """The distinct pairs whose first word training has seen, by (range, first number, second number): places of
-        both words, training counts, borders of the ranges, and each token's pair (-1 if it has none)."""
-        known = self.number[self.previous] > 0
-        unique, inverse = np.unique(self.previous[known] * len(self.number) + self.index[known], return_inverse=True)
-        a, b = unique // max(len(self.number), 1), unique % max(len(self.number), 1)
-        train = ~np.repeat(self.held, np.diff(self.first))[known]
-        counts = np.bincount(inverse[train], minlength=len(unique))
-        h = mix(self.number[a].astype(np.uint64))
-        both = mix(h + self.number[b].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        part = (np.where(self.count[a] > hot, both, h) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((self.number[b], self.number[a], part))
+        self.train = ~np.repeat(self.held, np.diff(self.first))
+
+    def words(self) -> _Grams:
+        every = np.arange(len(self.number))
+        return _Grams([], every, None, None, self.index, None)
+
+    def longer(self, shorter: _Grams, n: np.ndarray, ranges: int, hot: int) -> _Grams:
+        """The distinct n-grams, one word longer, whose context training has seen. n: training counts of the shorter ones."""
+        before = np.full(len(self.index), -1, np.int64)
+        if len(self.index):
+            before[1:] = shorter.at[:-1]
+            before[self.first[:-1]] = -1 if shorter.context else self.start
+        known = before >= 0
+        known[known] = n[before[known]] > 0
+        width = max(len(self.number), 1)
+        unique, token, inverse = np.unique(before[known] * width + self.index[known], return_index=True, return_inverse=True)
+        of, word = unique // width, unique % width
+        counts = np.bincount(inverse[self.train[known]], minlength=len(unique))
+        context = [*(c[of] for c in shorter.context), shorter.word[of]]
+        h = mix(self.number[context[0]].astype(np.uint64))
+        for c in [*context[1:], word]:
+            own, h = h, mix(h + self.number[c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        part = (np.where(n[of] > hot, h, own) % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((self.number[word], *(self.number[c] for c in reversed(context)), part))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         at = np.full(len(self.index), -1, np.int64)
         at[known] = back[inverse]
-        return a[order], b[order], counts[order], np.searchsorted(part[order], np.arange(ranges + 1)), at
+        return _Grams([c[order] for c in context], word[order], counts[order], np.searchsorted(part[order], np.arange(ranges + 1)), at, (np.flatnonzero(known)[token][order], of[order]))
+
+
+class _Grams:
+    """A block's distinct n-grams of one length by (range, numbers of the words): the words as places, training counts
+    in the block, borders of the ranges, each token's n-gram (-1 if it has none), and of each n-gram a token that has it
+    and the shorter n-gram that is its context."""
+
+    def __init__(self, context, word, counts, cut, at, where):
+        self.context, self.word, self.counts, self.cut, self.at, self.where = context, word, counts, cut, at, where
+
+
+class _Model:
+    """What all tasks know of the model: sizes, discounts by length, and sums of the very frequent contexts by length."""
+
+    def __init__(self, unigrams: Unigrams, ranges: int, hot: int):
+        self.unigrams, self.ranges, self.hot = unigrams, ranges, hot
+        self.discounts: dict[int, np.ndarray] = {1: unigrams.discount}
+        self.often: dict[int, dict[tuple, list[float]]] = {}
+
+    def resolved(self, k: _Known, answers: pa.Table, upto: int):
+        """For each length to `upto`: a block's n-grams, their training counts, and the weights and denominators of their contexts."""
+        out = [(k.words(), k.count, None, None)]
+        for length in range(2, upto + 1):
+            g = k.longer(out[-1][0], out[-1][1], self.ranges, self.hot)
+            context_count = out[-1][1][g.where[1]]
+            found = _answers_of(answers, length)
+            n, weight, total = np.zeros(len(g.word), np.int64), np.ones(len(g.word)), np.ones(len(g.word))
+            for r in np.flatnonzero(np.diff(g.cut)):
+                s = slice(g.cut[r], g.cut[r + 1])
+                n[s] = _unpack(found[int(r)][0])
+                stats = _unpack_stats(found[int(r)][1])
+                runs = _runs(*(c[s] for c in g.context))
+                for i in np.flatnonzero(context_count[s][runs] > self.hot):
+                    stats[i] = self.often[length][tuple(int(k.number[c[s][runs[i]]]) for c in g.context)]
+                w, d = weights(stats, self.discounts[length])
+                times = np.diff(np.append(runs, g.cut[r + 1] - g.cut[r]))
+                weight[s], total[s] = np.repeat(w, times), np.repeat(d, times)
+            out.append((g, n, weight, total))
+        return out
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -250,70 +306,90 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _word_answers(table) -> dict[int, tuple[bytes, bytes]]:
-    return {r: (k, c) for r, k, c in zip(*(table.column(x).to_pylist() for x in ("range", "keys", "counts")), strict=True)}
+def _answers_of(table: pa.Table, length: int) -> dict[int, tuple[bytes, bytes]]:
+    own = table.filter(pa.array([x == length for x in table.column("length").to_pylist()], pa.bool_()))
+    return {r: (k, c) for r, k, c in zip(*(own.column(x).to_pylist() for x in ("range", "keys", "counts")), strict=True)}
 
 
-_PAIR_COLUMNS = ["u", "length", "hot", "v", "count_v", "counts"]
+_ASKED = [("block", pa.int64()), ("range", pa.int32()), ("u", pa.list_(pa.binary())), *((c, pa.binary()) for c in ("length", "hot", "scale", "v", "count_v", "counts"))]
+_ASKED_SCHEMA = "block long, range int, u array<binary>, length binary, hot binary, scale binary, v binary, count_v binary, counts binary"
 
 
-def _ask_pairs(ranges: int, hot: int):
+def _packed_contexts(columns: list[np.ndarray]) -> list[bytes]:
+    """Sorted rows of numbers; the first column, which rises, as differences."""
+    return [_pack(np.diff(columns[0], prepend=0)), *(_pack(c) for c in columns[1:])]
+
+
+def _ask(length: int, model: _Model):
+    """Each block's n-grams by range, with what gives their probability one word shorter: the shorter n-gram's count,
+    and for each context the denominator there (left out for pairs, whose shorter n-grams are words)."""
+
     def run(key, states, answers):
-        out, known = [], _word_answers(answers)
+        out, words = [], _answers_of(answers, 1)
         for row in states.to_pylist():
-            k = _Known(row, known)
-            a, b, counts, cut, _ = k.pairs(ranges, hot)
-            for r in np.flatnonzero(np.diff(cut)):
-                x, y, n = a[cut[r] : cut[r + 1]], b[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
-                runs = _runs(x)
-                out.append((row["block"], int(r), _pack(np.diff(k.number[x[runs]], prepend=0)), _planes(np.diff(np.append(runs, len(x)))), _planes(k.count[x[runs]] > hot), _pack(k.number[y]), _pack(k.count[y]), _planes(n)))
+            k = _Known(row, words)
+            shorter, below, _, scale = model.resolved(k, answers, length - 1)[-1]
+            g = k.longer(shorter, below, model.ranges, model.hot)
+            token, of = g.where
+            for r in np.flatnonzero(np.diff(g.cut)):
+                s = slice(g.cut[r], g.cut[r + 1])
+                runs = _runs(*(c[s] for c in g.context))
+                short = shorter.at[token[s]]
+                scales = None if scale is None else _pack(scale[short[runs]].view(np.int64))
+                out.append((row["block"], int(r), _packed_contexts([k.number[c[s][runs]] for c in g.context]), _planes(np.diff(np.append(runs, g.cut[r + 1] - g.cut[r]))), _planes(below[of[s][runs]] > model.hot), scales, _pack(k.number[g.word[s]]), _pack(below[short]), _planes(g.counts[s])))
         release()
-        return _table(out, [("block", pa.int64()), ("range", pa.int32()), *((c, pa.binary()) for c in _PAIR_COLUMNS)])
+        return _table(out, _ASKED)
 
     return run
 
 
-_ROWS = [("block", pa.int64()), ("range", pa.int32()), ("u", pa.binary()), ("length", pa.binary()), ("v", pa.binary()), ("counts", pa.binary()), ("stats", pa.binary()), ("low", pa.list_(pa.int64()))]
-_SCHEMA = "block long, range int, u binary, length binary, v binary, counts binary, stats binary, low array<long>"
+_ROWS = [("block", pa.int64()), ("range", pa.int32()), ("u", pa.list_(pa.binary())), ("length", pa.binary()), ("v", pa.binary()), ("counts", pa.binary()), ("stats", pa.binary()), ("low", pa.list_(pa.int64()))]
+_SCHEMA = "block long, range int, u array<binary>, length binary, v binary, counts binary, stats binary, low array<long>"
 
 
-def _pairs_of_range(unigrams: Unigrams):
-    """A range's bigram table and the answers to the blocks.
+def _grams_of_range(unigram_total: float, discount: np.ndarray):
+    """A range's n-gram table and the answers to the blocks; discount is that of the shorter n-grams.
 
-    Stats of a first word are a row of numbers: total, unigram mass of the words seen after it, and how many of them
-    were seen 1, 2, ..., GT_LIMIT times. The table's row holds those of the very frequent first words, as parts.
+    Stats of a context are a row of numbers: total, mass one word shorter of the words seen after it, and how many of
+    them were seen 1, 2, ..., GT_LIMIT times. The table's row holds those of the very frequent contexts, as parts.
     """
 
     def run(key, table):
         r = key[0].as_py()
-        asked = []
+        blocks, begins, parts = [], [], []
         for x in table.to_pylist():
             length = _numbers(x["length"]).astype(np.int64)
-            own = np.cumsum(_unpack(x["u"]))
-            asked.append((x["block"], own, np.repeat(own, length), _unpack(x["v"]), np.repeat(_numbers(x["hot"]), length), _unpack(x["count_v"]), _numbers(x["counts"]).astype(np.int64)))
-        u, v, hot, cv, n = (np.concatenate([x[i] for x in asked]) for i in range(2, 7))
-        order = np.lexsort((v, u))
-        u, v, hot, cv, n = u[order], v[order], hot[order], cv[order], n[order]
-        at = _runs(u, v)
+            u = [_unpack(c) for c in x["u"]]
+            u[0] = np.cumsum(u[0])
+            scale = np.full(len(length), float(unigram_total)) if x["scale"] is None else _unpack(x["scale"]).view(np.float64)
+            blocks.append(x["block"])
+            begins.append(np.cumsum(length) - length)
+            parts.append([*(np.repeat(c, length) for c in u), _unpack(x["v"]), np.repeat(_numbers(x["hot"]), length), discounted(_unpack(x["count_v"]), discount) / np.repeat(scale, length), _numbers(x["counts"]).astype(np.int64)])
+        sizes = [len(x[0]) for x in parts]
+        *u, v, hot, lower, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((v, *reversed(u)))
+        u, v, hot, lower, n = [c[order] for c in u], v[order], hot[order], lower[order], n[order]
+        at = _runs(*u, v)
         place = np.empty(len(order), np.int64)
-        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(u))))
+        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(v))))
         total = np.add.reduceat(n, at)
-        u, v, hot, cv = u[at], v[at], hot[at], cv[at]
-        begin = _runs(u)
-        first = u[begin]
+        u, v, hot, lower = [c[at] for c in u], v[at], hot[at], lower[at]
+        begin = _runs(*u)
+        context = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(v))))
         seen = total > 0
-        stats = np.stack([np.add.reduceat(x, begin) for x in (total.astype(float), np.where(seen, unigrams.probability(cv), 0.0), *((total == c).astype(float) for c in range(1, GT_LIMIT + 1)))], axis=1)
+        stats = np.stack([np.add.reduceat(x, begin) for x in (total.astype(float), np.where(seen, lower, 0.0), *((total == c).astype(float) for c in range(1, GT_LIMIT + 1)))], axis=1)
         often = hot[begin] > 0
-        su, sv, sn = u[seen], v[seen], total[seen]
-        runs = _runs(su)
+        su, sv, sn = [c[seen] for c in u], v[seen], total[seen]
+        runs = _runs(*su)
         low = np.bincount(np.minimum(sn, GT_LIMIT + 2), minlength=GT_LIMIT + 3)[: GT_LIMIT + 2]
-        parts = np.concatenate([first[often, None].astype(float).view(np.float64), stats[often]], axis=1) if often.any() else np.zeros((0, GT_LIMIT + 3))
-        rows = [(None, r, _pack(np.diff(su[runs], prepend=0)), _planes(np.diff(np.append(runs, len(su)))), _pack(sv), _pack(sn), parts.astype("<f8").tobytes(), low.tolist())]
+        sums = np.concatenate([*(c[begin][often, None].astype("<i8").view("<f8") for c in u), stats[often]], axis=1)
+        rows = [(None, r, _packed_contexts([c[runs] for c in su]), _planes(np.diff(np.append(runs, len(sv)))), _pack(sv), _pack(sn), sums.astype("<f8").tobytes(), low.tolist())]
         done = 0
-        for block, own, au, *_ in asked:
-            mine = stats[np.searchsorted(first, own)]
-            rows.append((block, r, None, None, None, _pack(total[place[done : done + len(au)]]), _pack_stats(mine), None))
-            done += len(au)
+        for block, first, size in zip(blocks, begins, sizes, strict=True):
+            own = place[done : done + size]
+            rows.append((block, r, None, None, None, _pack(total[own]), _pack_stats(stats[context[own[first]]]), None))
+            done += size
         release()
         return _table(rows, _ROWS)
 
@@ -349,34 +425,20 @@ def weights(stats: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(none, 0.0, weight), np.where(none, total - free, denominator)
 
 
-def _score(ranges: int, hot: int, unigrams: Unigrams, discount: np.ndarray, often: dict[int, list[float]]):
+def _score(order: int, model: _Model):
     fields = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(key, states, answers):
-        is_word = [x == 0 for x in answers.column("kind").to_pylist()]
-        known = _word_answers(answers.filter(pa.array(is_word, pa.bool_())))
-        pairs = {r: (n, s) for r, n, s in zip(*(answers.filter(pa.array([not x for x in is_word], pa.bool_())).column(c).to_pylist() for c in ("range", "keys", "counts")), strict=True)}
+        words, unigrams = _answers_of(answers, 1), model.unigrams
         out, own = [], [("doc_id", states.schema.field("doc_ids").type.value_type), *fields]
         for row in states.to_pylist():
-            k = _Known(row, known)
-            a, _, _, cut, at = k.pairs(ranges, hot)
-            n, weight, total = np.zeros(len(a), np.int64), np.ones(len(a)), np.ones(len(a))
-            for r in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[r], cut[r + 1])
-                n[s] = _unpack(pairs[int(r)][0])
-                stats = _unpack_stats(pairs[int(r)][1])
-                runs = _runs(a[s])
-                for i in np.flatnonzero(k.count[a[s][runs]] > hot):
-                    stats[i] = often[int(k.number[a[s][runs[i]]])]
-                length = np.diff(np.append(runs, cut[r + 1] - cut[r]))
-                w, d = weights(stats, discount)
-                weight[s], total[s] = np.repeat(w, length), np.repeat(d, length)
+            k = _Known(row, words)
             count = k.count[k.index]
             p = unigrams.probability(count)
-            has = at >= 0
-            pair = np.maximum(at, 0)
-            if len(a):
-                p = np.where(has, np.where(n[pair] > 0, discounted(n, discount)[pair] / total[pair], weight[pair] * p), p)
+            for length, (g, n, weight, total) in enumerate(model.resolved(k, answers, order)[1:], 2):
+                gram = np.maximum(g.at, 0)
+                if len(g.word):
+                    p = np.where(g.at >= 0, np.where(n[gram] > 0, discounted(n, model.discounts[length])[gram] / total[gram], weight[gram] * p), p)
             base = np.log10((count + 1) / (unigrams.tokens + unigrams.kinds + 1))
             begin = k.first[:-1]
             with np.errstate(divide="ignore"):
@@ -395,10 +457,10 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs.
 
-    The model learns from the rows where held_out is false. Null and empty texts consist of their end; ids may be of
+    The model has n-grams of 1 to `order` words (2 at least) and learns from the rows where held_out is false. Null and empty texts consist of their end; ids may be of
     any simple type, null or repeated, and repeated rows are learned as often as they occur. score is the sum of log10 probabilities under
     the model, base_score that under add-one unigrams. Without training rows every word is unseen. Other columns are
     ignored; an empty table gives no rows.
@@ -412,25 +474,24 @@ def katz_scores(docs: DataFrame, held_out: Column, ranges: int | None = None) ->
     sizes = words.where("block is null").select("kinds", "tokens", *[F.get("low", F.lit(i)).alias(f"n{i}") for i in range(GT_LIMIT + 2)]).agg(*[F.sum(c).alias(c) for c in ("kinds", "tokens", *(f"n{i}" for i in range(GT_LIMIT + 2)))]).first()
     low = [int(sizes[f"n{i}"] or 0) for i in range(GT_LIMIT + 2)]
     unigrams = Unigrams(int(sizes["kinds"] or 0), int(sizes["tokens"] or 0), low)
-    hot = int(HOT_SHARE * unigrams.tokens / ranges) + 1
-    ranges = ranges * PAIR_RANGES
+    model = _Model(unigrams, ranges * GRAM_RANGES, int(HOT_SHARE * unigrams.tokens / ranges) + 1)
 
     states = docs.mapInArrow(_state, f"block long, doc_ids array<{kind}>, held binary, n binary, index binary, order binary, start long").groupBy("block")
-    word_answers = words.where("block is not null").select("block", "range", "keys", "counts")
-    packets = states.cogroup(word_answers.groupBy("block")).applyInArrow(_ask_pairs(ranges, hot), "block long, range int, " + ", ".join(f"{c} binary" for c in _PAIR_COLUMNS))
-    pairs = _written(packets.groupBy("range").applyInArrow(_pairs_of_range(unigrams), _SCHEMA), "bigrams")
-
-    sums = pairs.where("block is null").agg(*[F.sum(F.get("low", F.lit(i))).alias(f"n{i}") for i in range(GT_LIMIT + 2)]).first()
-    discount = good_turing([int(sums[f"n{i}"] or 0) for i in range(GT_LIMIT + 2)])
-    often: dict[int, list[float]] = {}  # at most ranges / HOT_SHARE first words are that frequent
-    for row in pairs.where("block is null and length(stats) > 0").select("stats").collect():
-        for u, *stats in np.frombuffer(row["stats"], "<f8").reshape(-1, GT_LIMIT + 3):
-            have = often.setdefault(int(u), [0.0] * (GT_LIMIT + 2))
-            often[int(u)] = [x + y for x, y in zip(have, stats, strict=True)]
-
-    all_answers = word_answers.withColumn("kind", F.lit(0)).union(pairs.where("block is not null").select("block", "range", F.col("counts").alias("keys"), F.col("stats").alias("counts"), F.lit(1).alias("kind")))
+    answers = words.where("block is not null").select("block", F.lit(1).alias("length"), "range", "keys", "counts")
+    for length in range(2, order + 1):
+        packets = states.cogroup(answers.groupBy("block")).applyInArrow(_ask(length, model), _ASKED_SCHEMA)
+        grams = _written(packets.groupBy("range").applyInArrow(_grams_of_range(unigrams.total, model.discounts[length - 1]), _SCHEMA), f"grams-{length}")
+        sums = grams.where("block is null").agg(*[F.sum(F.get("low", F.lit(i))).alias(f"n{i}") for i in range(GT_LIMIT + 2)]).first()
+        often: dict[tuple, list[float]] = {}  # at most ranges / HOT_SHARE contexts are that frequent
+        for row in grams.where("block is null and length(stats) > 0").select("stats").collect():
+            parts = np.frombuffer(row["stats"], "<f8").reshape(-1, length - 1 + GT_LIMIT + 2)
+            for u, stats in zip(parts[:, : length - 1].copy().view("<i8").tolist(), parts[:, length - 1 :].tolist(), strict=True):
+                often[tuple(u)] = [x + y for x, y in zip(often.get(tuple(u), [0.0] * (GT_LIMIT + 2)), stats, strict=True)]
+        model.discounts[length], model.often[length] = good_turing([int(sums[f"n{i}"] or 0) for i in range(GT_LIMIT + 2)]), often
+        answers = answers.union(grams.where("block is not null").select("block", F.lit(length), "range", F.col("counts").alias("keys"), F.col("stats").alias("counts")))
+
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = states.cogroup(all_answers.groupBy("block")).applyInArrow(_score(ranges, hot, unigrams, discount, often), schema)
+    scored = states.cogroup(answers.groupBy("block")).applyInArrow(_score(order, model), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
