@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK = 12 << 20
 #: Counts above this are not discounted.
 GT_LIMIT = 5
-#: Longest n-grams of the model. Three work as well, but their packets exceed the disk that the query may use.
+#: Words of the longest n-grams, unless the caller asks for others.
 ORDER = 2
 #: Ranges of longer n-grams for each range of words.
 GRAM_RANGES = 4
