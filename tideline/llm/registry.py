@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, extraction, fingerprints, jaccard, katz, language, licenses, mixing, quality, tokens
+from . import bpe, conversation_repair, conversation_trie, extraction, fingerprints, jaccard, katz, language, licenses, mixing, quality, secret_scan, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -15,7 +15,14 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.query,
     "op9_language_id": language.query,
     "op10_quality_rules": quality.query,
+    "op11_secret_scan": secret_scan.query,
+    "op12_prefix_trie": conversation_trie.query,
+    "op13_structure_repair": conversation_repair.query,
 }
 
-#: None so far: each operator's result depends on a trained model or on a library that SQL does not have.
-ORACLE_SQL: dict[str, str] = {}
+#: The results of the first ten depend on trained models or on libraries that SQL does not have.
+ORACLE_SQL = {
+    "op11_secret_scan": secret_scan.SQL,
+    "op12_prefix_trie": conversation_trie.SQL,
+    "op13_structure_repair": conversation_repair.SQL,
+}
