@@ -75,11 +75,16 @@ def paths_of(rows: DataFrame) -> DataFrame:
     return placed.select("conv", "depth", *mixed, "len").select("conv", "depth", *sums, "len", F.sum("len").over(along).alias("upto"), (F.lead("depth").over(along).isNotNull()).alias("more"))
 
 
-def _ends(paths: DataFrame) -> DataFrame:
-    """The digest of the ids that end in each node. A stretch of the id range holds STRETCH ids at most and becomes one
+def endings(paths: DataFrame) -> DataFrame:
+    """(depth, l0..l3, conv): the node in which each conversation with an id ends."""
+    return paths.where(~F.col("more") & F.col("conv").isNotNull()).select(*NODE, "conv")
+
+
+def end_digests(ends: DataFrame) -> DataFrame:
+    """The digest of the ids that end in each node, of rows of endings(). A stretch of the id range holds STRETCH ids at most and becomes one
     string; the strings of a node then stream through a task in order, and only the digest's state is held."""
     stretch = F.floor(F.col("conv") / STRETCH)
-    strings = paths.where(~F.col("more") & F.col("conv").isNotNull()).groupBy(*NODE, stretch.alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv")), lambda c: c.cast("string")), ",").alias("ids"))
+    strings = ends.groupBy(*NODE, stretch.alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv")), lambda c: c.cast("string")), ",").alias("ids"))
 
     def digest(batches):
         at, state = None, None
@@ -101,8 +106,8 @@ def _ends(paths: DataFrame) -> DataFrame:
 
 
 def trie(paths: DataFrame) -> DataFrame:
-    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256 of each node; paths are
-    written rows of paths_of()."""
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves and saved_tokens of each node, and its name l0..l3;
+    paths are written rows of paths_of()."""
     nodes = stored(paths.groupBy(*NODE).agg(F.min("conv").alias("owner"), F.max("more").alias("inner")), "trie-nodes")
     starts = nodes.groupBy("owner").agg(F.min("depth").alias("start"), F.max((~F.col("inner")).cast("long")).alias("leaf"))
     marked = paths.join(starts, F.col("conv").eqNullSafe(F.col("owner")), "left").select("conv", *NODE, "len", "upto", "more", F.coalesce("start", F.lit(2**62)).alias("start"), F.coalesce("leaf", F.lit(0)).alias("leaf"))
@@ -114,27 +119,35 @@ def trie(paths: DataFrame) -> DataFrame:
     # Where an owned suffix starts, the parent belongs to another conversation: the owner of the node before.
     before = paths.join(starts.where("start > 0"), F.col("conv").eqNullSafe(F.col("owner")) & (F.col("depth") == F.col("start") - 1)).select("conv", *NODE)
     parents = spread_join(before, nodes.select(*NODE, F.col("owner").alias("parent")), NODE).select(F.col("conv").alias("_conv"), (F.col("depth") + 1).alias("_depth"), "parent", F.lit(True).alias("_other"))
-    found = sums.join(_ends(paths), NODE, "left").join(parents, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("depth") == F.col("_depth")), "left")
+    found = sums.join(parents, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("depth") == F.col("_depth")), "left")
     parent = F.when(F.col("_other"), F.col("parent")).when(F.col("depth") > 0, F.col("conv_id"))
-    ends = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
-    return found.select("conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", ends)
+    return found.select("conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", *LANES)
 
 
-def conversation_trie(conversations: DataFrame) -> DataFrame:
-    """The trie of the rebuilt conversations (columns conv_id, turn, role, text), a row for each node.
+def conversation_trie(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trie of the rebuilt conversations (columns conv_id, turn, role, text): a row for each node, as trie() gives it,
+    and the written paths of all conversations, from which endings() tells who ends where.
 
     Turns are ordered by turn, null first; turns of one number by role and then by a digest of role and text. A null role
     or text counts as empty, an empty turn is a turn. Repeated rows are turns of their own. Rows with a null conv_id form
-    one conversation without a base: it counts as a member, but has no decimal form in ends_sha256, and conv_id is null
-    only where it is the sole member. A conversation that keeps no turn is a member of the root. An empty table has no
+    one conversation without a base: it counts as a member, but endings() leaves it out, and conv_id is null only where it is
+    the sole member. A conversation that keeps no turn is a member of the root. An empty table has no
     nodes. Other columns are ignored. Conversations may have up to 2**31 turns.
     """
     turns = stored(turns_of(conversations), "trie-turns")
-    return trie(stored(paths_of(rebuilt(turns)), "trie-paths"))
+    paths = stored(paths_of(rebuilt(turns)), "trie-paths")
+    return trie(paths), paths
+
+
+def trie_report(conversations: DataFrame) -> DataFrame:
+    """The nodes with the digest of the ids that end in each, decimal, ascending and joined by commas."""
+    nodes, paths = conversation_trie(conversations)
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    return nodes.join(end_digests(endings(paths)), NODE, "left").select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 #: Whole prefixes as strings of digests; subtrees by walking each node's smallest member back to the root.
