@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 from ..functions.learning import EVENT_EVIDENCE, EVIDENCE
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table read as a stream, its time as a timestamp that watermarks accept."""
+def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The events table read as a stream, its time as a timestamp that watermarks accept; None takes all files at once,
+    so that no file can make another's rows late."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(f"{path}*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
