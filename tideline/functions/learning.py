@@ -42,6 +42,30 @@ def mastery_fold(steps: Column, start: float = 0.5) -> Column:
     return F.aggregate(steps, F.lit(start), lambda m, w: clamp01(m + w))
 
 
+#: Sums of weights are rounded to so many places after each step, so that their order leaves no trace in comparisons.
+PLACES = 12
+
+
+def clamped_sum(steps: Column) -> Column:
+    """A struct (low, high, shift) that stands for adding ordered weights one by one, staying in 0..1 after each: it takes
+    x to least(high, greatest(low, x + shift))."""
+    start = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("shift"))
+    return F.aggregate(steps, start, lambda a, w: F.struct(clamp01(a["low"] + w).alias("low"), clamp01(a["high"] + w).alias("high"), F.bround(a["shift"] + w, PLACES).alias("shift")))
+
+
+def merged_sums(sums: Column) -> Column:
+    """One struct for an array of clamped_sum() in the order of their slices."""
+    into = lambda x, s: F.bround(F.least(s["high"], F.greatest(s["low"], x + s["shift"])), PLACES)
+    start = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("shift"))
+    # Infinite ends stay as they are: a slice that moved nothing has them.
+    end = lambda x, s: F.when(F.abs(x) == float("inf"), F.least(s["high"], F.greatest(s["low"], x))).otherwise(into(x, s))
+    return F.aggregate(sums, start, lambda a, s: F.struct(end(a["low"], s).alias("low"), end(a["high"], s).alias("high"), F.bround(a["shift"] + s["shift"], PLACES).alias("shift")))
+
+
+def applied(total: Column, start: float = 0.5) -> Column:
+    return F.bround(F.least(total["high"], F.greatest(total["low"], F.lit(start) + total["shift"])), PLACES)
+
+
 def confidence_fold(signals: Column, start: float = 0.5, alpha: float = 0.2) -> Column:
     """Exponential average over signals in the order given."""
     return F.aggregate(signals, F.lit(start), lambda c, s: clamp01(c * (1 - alpha) + s * alpha))

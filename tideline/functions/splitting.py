@@ -143,23 +143,6 @@ def without_synonyms(top: DataFrame, n: int, most: float = 0.85) -> DataFrame:
     return top.groupBy("lang").applyInArrow(keep, top.schema)
 
 
-def greedy_assignment(hits: DataFrame) -> DataFrame:
-    """(query, id): queries of a label in their order take the best hit that is still free; a few queries a label."""
-
-    def assign(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(["query", "rank"])
-        taken: set[int] = set()
-        out = []
-        for q, group in frame.groupby("query"):
-            free = next((i for i in group.id if i not in taken), None)
-            if free is not None:
-                taken.add(free)
-                out.append((int(q), int(free)))
-        return pa.table({"query": pa.array([x for x, _ in out], pa.int64()), "id": pa.array([x for _, x in out], pa.int64())})
-
-    return hits.select("label", "query", "id", "rank").groupBy("label").applyInArrow(assign, "query long, id long")
-
-
 _QUESTION = re.compile(r"^\s*(?:Q(?:uestion)?\s*)?(\d+)[.)]\s*(.+)$", re.I)
 _OPTION = re.compile(r"^\s*([A-D])[.)-]\s*(.+)$")
 _ANSWER = re.compile(r"^\s*Answer\s*:\s*([A-D])\b", re.I)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def chain_edges(nodes: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """An edge from each node to the next one of its group, once, without loops on itself."""
@@ -35,15 +37,30 @@ def weak_prerequisites(mastery: DataFrame, edges: DataFrame, threshold: float) -
     return need.where(F.coalesce("_m", F.lit(0.0)) < threshold).select("user_id", "concept", "prerequisite")
 
 
-def topological_levels(edges: DataFrame, most: int) -> DataFrame:
-    """(node, level): the longest way from a root, for graphs without cycles of at most `most` levels."""
-    nodes = edges.select(F.col("prerequisite").alias("node")).union(edges.select("dependent")).distinct()
-    level = nodes.withColumn("level", F.lit(0))
-    for _ in range(most):
-        below = edges.join(level, edges.prerequisite == level.node).groupBy("dependent").agg((F.max("level") + 1).alias("next"))
-        moved = level.join(below, level.node == below.dependent, "left").select("node", F.greatest("level", F.coalesce("next", F.lit(0))).alias("new"), "level")
-        moved = moved.checkpoint()
-        level = moved.select("node", F.col("new").alias("level"))
-        if moved.where("new > level").limit(1).count() == 0:
-            break
-    return level
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """(node, level): the length of the longest way from a node without prerequisites, for graphs of any depth.
+
+    Nodes without an open prerequisite are taken away, level by level, and their dependents have one less. The rounds end
+    when all nodes are gone; if some are left and none is free, they lie on or behind a cycle, and that is an error.
+    Repeated edges count once, edges from a node to itself not at all. Each round writes the counts of open nodes, and
+    reads the edges of those that it took.
+    """
+    spark = edges.sparkSession
+    every = edges.select("prerequisite", "dependent").where(F.col("prerequisite").isNotNull() & F.col("dependent").isNotNull())
+    kept = stored(every.where(F.col("prerequisite") != F.col("dependent")).distinct(), "graph-edges")
+    needs = kept.groupBy(F.col("dependent").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    nodes = every.select(F.col("prerequisite").alias("node")).union(every.select("dependent")).distinct()
+    open_ = stored(nodes.join(needs, "node", "left").select("node", F.coalesce("open", F.lit(0)).cast("long").alias("open")), "graph-open")
+    left, levels = open_.count(), []
+    while left:
+        free = open_.where("open = 0").select("node")
+        levels.append(free.withColumn("level", F.lit(len(levels))))
+        less = kept.join(free, kept.prerequisite == free.node).groupBy(F.col("dependent").alias("node")).agg(F.count(F.lit(1)).alias("less"))
+        rest = open_.where("open > 0").join(less, "node", "left").select("node", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"))
+        open_ = stored(rest, "graph-open")
+        n = open_.count()
+        if n == left:
+            raise ValueError(f"{n} nodes lie on a cycle or behind one")
+        left = n
+    none = spark.createDataFrame([], nodes.schema).withColumn("level", F.lit(0))
+    return reduce(lambda a, b: a.unionByName(b), levels, none)

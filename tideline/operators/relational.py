@@ -84,21 +84,57 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     return x.join(y, [*keys, "_band"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_band")
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 4) -> DataFrame:
-    """(a, b, distance), a < b, of rows whose 64-bit values differ in at most `most` bits.
-
-    The bits are cut to most + 1 slices of nearly equal width; a pair that close agrees in one of them, and is reported
-    by its first. A slice of w bits deals the rows to 2**w groups, so rows meet in numbers that grow with their square
-    over 2**w: beyond some ten thousand rows a group, cut the table by another key first."""
-    n = most + 1
+def hamming_candidates(values: DataFrame, bits: str, most: int) -> DataFrame:
+    """(va, vb), va < vb, of the distinct values that agree in two of most + 2 slices of their bits, each pair once.
+
+    A pair that differs in `most` bits at most touches so many slices at most, so two slices or more are equal. Values
+    meet by the number and the content of both, some 128 / (most + 2) bits, and a pair is kept by its first two."""
+    n = most + 2
+    if not 0 <= most <= 30:
+        raise ValueError("a distance from 0 to 30 bits")
     ends = [64 * i // n for i in range(n + 1)]
-    slices = F.array(*[F.shiftrightunsigned(F.col(bits), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(ends, ends[1:])])
-    cut = df.select(key, bits, slices.alias("s")).select(key, bits, "s", F.posexplode("s").alias("i", "slice"))
-    x = cut.select(F.col(key).alias("a"), F.col(bits).alias("va"), F.col("s").alias("sa"), "i", "slice")
-    y = cut.select(F.col(key).alias("b"), F.col(bits).alias("vb"), F.col("s").alias("sb"), "i", "slice")
-    near = x.join(y, ["i", "slice"]).where(F.col("a") < F.col("b")).withColumn("distance", F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))))
-    first = F.array_position(F.zip_with("sa", "sb", lambda p, q: p == q), F.lit(True)) - 1
-    return near.where((F.col("distance") <= most) & (first == F.col("i"))).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    parts = [F.shiftrightunsigned(F.col("v"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) for lo, hi in zip(ends, ends[1:])]
+    keys = F.array(*[F.struct(F.lit(n * i + j).alias("k"), parts[i].alias("p"), parts[j].alias("q")) for i in range(n) for j in range(i + 1, n)])
+    cut = values.select(F.col(bits).alias("v")).where("v IS NOT NULL").distinct().select("v", F.explode(keys).alias("x")).select("v", "x.*")
+    both = cut.select("k", "p", "q", F.col("v").alias("va")).join(cut.select("k", "p", "q", F.col("v").alias("vb")), ["k", "p", "q"]).where("va < vb")
+    same = F.array(*[F.shiftrightunsigned(F.col("va").bitwiseXOR(F.col("vb")), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) == 0 for lo, hi in zip(ends, ends[1:])])
+    agreeing = F.filter(F.transform(same, lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+    return both.where(F.col("k") == F.transform(F.array(agreeing), lambda g: n * F.get(g, F.lit(0)) + F.get(g, F.lit(1)))[0]).select("va", "vb")
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int = 4) -> DataFrame:
+    """(a, b, distance), a < b, of rows whose 64-bit values differ in at most `most` bits. Distinct values are compared
+    once, whatever the number of rows that have them; rows with a null key or value are near nothing."""
+    rows = df.select(F.col(key).alias("_key"), F.col(bits).alias("v")).where("v IS NOT NULL AND _key IS NOT NULL")
+    near = hamming_candidates(df, bits, most).withColumn("distance", F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))).cast("int")).where(F.col("distance") <= most)
+    a, b = rows.select(F.col("_key").alias("x"), F.col("v").alias("va")), rows.select(F.col("_key").alias("y"), F.col("v").alias("vb"))
+    apart = near.join(a, "va").join(b, "vb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    copies = a.join(b, F.col("va") == F.col("vb")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(copies)
+
+
+def as_of(asked: DataFrame, entries: DataFrame, key: str, at: str, valid_from: str, width_s: int = 86_400) -> DataFrame:
+    """The rows of asked with `_entry`, a struct of the key's last entry at or before `at` (null if there is none).
+
+    Of entries at one time the greatest in its other columns, in their order, is the last. Both tables become one, sorted
+    by time, and the last entry is carried forward: no pair of rows is formed, a key's rows pass once. Stretches of time
+    of width_s seconds are sorted apart, so the rows of one key are dealt to many tasks; the entry that a stretch starts
+    with comes from a table of one row for each key and stretch. Null keys and times have no entry.
+    """
+    rest = [c for c in entries.columns if c not in (key, valid_from)]
+    entry = F.struct(F.col(valid_from).alias(valid_from), *[F.col(c).alias(c) for c in rest])
+    asks = asked.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in asked.columns]).alias("_row"))
+    have = entries.select(F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.lit(0).alias("_kind"), entry.alias("_entry")).where("_key IS NOT NULL AND _at IS NOT NULL")
+    stretch = F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / width_s)
+    both = asks.unionByName(have, allowMissingColumns=True).withColumn("_part", stretch)
+    # A row without a key or a time is alone in its group, so many of them do not meet in one task.
+    alone = F.when(F.col("_key").isNull() | F.col("_at").isNull(), F.monotonically_increasing_id())
+    within = Window.partitionBy("_key", "_part", "_alone").orderBy("_at", "_kind", "_entry").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_alone", alone).withColumn("_last", F.last("_entry", ignorenulls=True).over(within)).where("_kind = 1")
+    ends = both.where("_key IS NOT NULL AND _part IS NOT NULL").groupBy("_key", "_part").agg(F.max("_entry").alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("_key", "_part", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    return near.join(start, ["_key", "_part"], "left").select("_row.*", F.coalesce("_last", "_start").alias("_entry"))
 
 
 def remapped(df: DataFrame, column: str, known: DataFrame, labels: DataFrame) -> DataFrame:

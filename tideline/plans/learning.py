@@ -25,13 +25,17 @@ def _events(spark, sf):
 
 
 def mastery_table(events):
-    """user_id, concept, mastery and evidence: the clamped fold of each learner's evidence on each concept."""
-    g = events.groupBy("user_id", "concept").agg(W.ordered_list("w", "ts", "event_id").alias("ws"))
-    return g.select("user_id", "concept", L.mastery_fold(F.col("ws")).alias("mastery"), F.size("ws").alias("evidence"))
+    """user_id, concept, mastery and evidence: the clamped fold of each learner's evidence on each concept.
+
+    Each day folds by itself to three numbers, and the days of a history merge in their order, so no row holds a history
+    and the days of one key fold in as many tasks."""
+    days = events.groupBy("user_id", "concept", F.to_date("ts").alias("day")).agg(L.clamped_sum(W.ordered_list("w", "ts", "event_id")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    g = days.groupBy("user_id", "concept").agg(L.merged_sums(W.ordered_list("sum", "day")).alias("total"), F.sum("n").cast("int").alias("evidence"))
+    return g.select("user_id", "concept", L.applied(F.col("total")).alias("mastery"), "evidence")
 
 
 _MASTERY = f"""e AS (SELECT user_id, {_C} AS concept, cast({_W} AS DOUBLE) AS w, row_number() OVER (PARTITION BY user_id, {_C} ORDER BY ts, event_id) AS i FROM events),
-f AS (SELECT user_id, concept, i, greatest(0.0, least(1.0, 0.5 + w)) AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.concept, e.i, greatest(0.0, least(1.0, m + w)) FROM f JOIN e ON e.user_id = f.user_id AND e.concept = f.concept AND e.i = f.i + 1),
+f AS (SELECT user_id, concept, i, round_even(greatest(0.0, least(1.0, 0.5 + w)), 12) AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.concept, e.i, round_even(greatest(0.0, least(1.0, m + w)), 12) FROM f JOIN e ON e.user_id = f.user_id AND e.concept = f.concept AND e.i = f.i + 1),
 mastery AS (SELECT user_id, concept, max_by(m, i) AS mastery, max(i) AS evidence FROM f GROUP BY 1, 2)"""
 
 
@@ -193,12 +197,14 @@ def transitive_prereqs(spark, sf):
     return G.ancestors(_edges(spark, sf), 4)
 
 
-@query(f"""WITH RECURSIVE {_MASTERY}, ed AS (SELECT k - 1 AS p, k AS d FROM range(1, 10) r(k)), s AS (SELECT DISTINCT user_id, concept FROM mastery)
-SELECT s.user_id, s.concept, cast(ed.p AS INTEGER) AS prerequisite FROM s JOIN ed ON ed.d = s.concept LEFT JOIN mastery m ON m.user_id = s.user_id AND m.concept = ed.p WHERE coalesce(m.mastery, 0) < 0.5""")
+@query(f"""WITH RECURSIVE {_MASTERY}, c AS (SELECT {_C} AS k, min((ts, event_id)) AS first FROM events GROUP BY 1), ed AS (SELECT lag(k) OVER (ORDER BY first) AS p, k AS d FROM c), s AS (SELECT DISTINCT user_id, concept FROM mastery)
+SELECT s.user_id, s.concept, ed.p AS prerequisite FROM s JOIN ed ON ed.d = s.concept LEFT JOIN mastery m ON m.user_id = s.user_id AND m.concept = ed.p WHERE ed.p IS NOT NULL AND coalesce(m.mastery, 0) < 0.5""")
 def direct_gaps(spark, sf):
-    m = mastery_table(_events(spark, sf)).select("user_id", "concept", "mastery")
-    edges = spark.range(1, 10).select((F.col("id") - 1).cast("int").alias("prerequisite"), F.col("id").cast("int").alias("concept"))
-    return G.weak_prerequisites(m, edges, 0.5)
+    """Weak or missing direct prerequisites; a concept follows the one that was first met before it."""
+    events = _events(spark, sf)
+    met = events.groupBy("concept").agg(F.min(F.struct("ts", "event_id")).alias("first")).withColumn("all", F.lit(1))  # a row for each concept
+    edges = G.chain_edges(met, ["all"], ["first"], "concept").withColumnRenamed("dependent", "concept")
+    return G.weak_prerequisites(mastery_table(events).select("user_id", "concept", "mastery"), edges, 0.5)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS p, n_nationkey + 100 AS d FROM nation UNION SELECT n_nationkey + 100, n_nationkey % 7 + 200 FROM nation), l AS (SELECT DISTINCT p AS node, 0 AS level FROM e WHERE p NOT IN (SELECT d FROM e) UNION ALL SELECT e.d, level + 1 FROM l JOIN e ON e.p = l.node)
@@ -207,7 +213,7 @@ def topo_order(spark, sf):
     n = table(spark, sf, "nation")
     a = n.select(F.col("n_regionkey").alias("prerequisite"), (F.col("n_nationkey") + 100).alias("dependent"))
     b = n.select((F.col("n_nationkey") + 100).alias("prerequisite"), (F.col("n_nationkey") % 7 + 200).alias("dependent"))
-    return G.topological_levels(a.union(b).distinct(), 10)
+    return G.topological_levels(a.union(b))
 
 
 @query("""WITH w AS (SELECT c_custkey AS k, c_acctbal AS a, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal / 2 END AS b, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal * 2 END AS c FROM customer)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import learning as L
 from ..functions import splitting as S
+from ..operators import assignment as A
 from ..operators import retrieval as V
 from ..operators import windows as W
 from ..sources.tables import table
@@ -157,12 +158,16 @@ def tutor_retrieval(spark, sf):
     return W.spread_sample(hits.select("query", "id", "score", "rank"), ["query"], ["rank"], 6)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query, label, v FROM e WHERE id % 100 = 0),
+s AS (SELECT query, label, e.id, row_number() OVER (PARTITION BY query ORDER BY round_even(list_cosine_similarity(q.v, e.v), 6) DESC, e.id) AS rank FROM q JOIN e USING (label)), h AS (SELECT label, query, list(id ORDER BY rank) AS ids FROM s WHERE rank <= 8 GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY query) AS i FROM h), t AS (SELECT label, cast(0 AS BIGINT) AS i, cast(NULL AS BIGINT) AS query, cast([] AS BIGINT[]) AS taken, cast(NULL AS BIGINT) AS id FROM (SELECT DISTINCT label FROM o)
+UNION ALL SELECT label, i, query, CASE WHEN free IS NULL THEN taken ELSE list_append(taken, free) END, free FROM (SELECT t.label, o.i, o.query, t.taken, list_filter(o.ids, lambda x: NOT list_contains(t.taken, x))[1] AS free FROM t JOIN o ON o.label = t.label AND o.i = t.i + 1))
+SELECT query, id FROM t WHERE id IS NOT NULL""")
 def figure_assignment(spark, sf):
     """Each topic gets its best figure that no topic before it took."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     q = e.where("id % 100 = 0").select(F.col("id").alias("query"), "vector", "label")
-    return S.greedy_assignment(V.topk_filtered(q, e, "label", 8).join(q.select("query", "label"), "query"))
+    return A.in_turn(V.topk_filtered(q, e, "label", 8).join(q.select("query", "label"), "query"))
 
 
 @query()

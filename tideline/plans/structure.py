@@ -159,12 +159,14 @@ def struggle_topics(spark, sf):
 
 
 @query("""WITH c AS (SELECT event_id, ts AS valid_from, ts + INTERVAL 6 HOURS AS expires_at, user_id FROM events WHERE event_type = 'view'), a AS (SELECT event_id AS asked, ts AS asked_at, user_id FROM events WHERE event_type = 'click')
-SELECT asked, max(c.event_id) AS cached FROM a JOIN c ON a.user_id = c.user_id AND valid_from <= asked_at AND expires_at > asked_at GROUP BY 1""")
+SELECT asked, max_by(c.event_id, (valid_from, c.event_id)) AS cached FROM a JOIN c ON a.user_id = c.user_id AND valid_from <= asked_at AND expires_at > asked_at GROUP BY 1""")
 def ttl_validity_join(spark, sf):
+    """The cache entry that was valid at each question: the user's last one, if it had not expired."""
     e = table(spark, sf, "events")
-    c = e.where("event_type = 'view'").select("event_id", F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"), "user_id")
-    a = e.where("event_type = 'click'").select(F.col("event_id").alias("asked"), F.col("ts").alias("at"), "user_id")
-    return a.join(c, "user_id").where("valid_from <= at AND expires_at > at").groupBy("asked").agg(F.max("event_id").alias("cached"))
+    entries = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("valid_from"), "event_id", (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"))
+    asked = e.where("event_type = 'click'").select(F.col("event_id").alias("asked"), "ts", "user_id")
+    found = R.as_of(asked, entries, "user_id", "ts", "valid_from").where(F.col("_entry.expires_at") > F.col("ts"))
+    return found.select("asked", F.col("_entry.event_id").alias("cached"))
 
 
 @query("""WITH m AS (SELECT user_id, avg(value) AS mean, max(value) AS top, min(value) AS low FROM events GROUP BY 1) SELECT user_id, key, round_even(v, 6) AS value FROM (SELECT user_id, 'mean' AS key, mean AS v FROM m UNION ALL SELECT user_id, 'top', top FROM m UNION ALL SELECT user_id, 'low', low FROM m)""")
