@@ -109,12 +109,32 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     return asked.select("conv_id", "turn", F.col("text").alias("question"), F.coalesce("next_text", F.lit("")).alias("answer"))
 
 
+#: Words that a comparison of speech leaves out.
+FILLERS = "um|uh|uhh|umm|like|you know|i mean|so|well|actually|basically|right|okay|ok|yeah|yes|hmm|ah|oh"
+
+
+def spoken(text: Column) -> Column:
+    """A text as it is compared: lower case, two contractions written out, without marks and fillers, single spaces."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    alone = lambda words: rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
+    for pattern, by in ((alone("you'?re"), "you are"), (alone("i'm"), "i am"), (r"[^\p{L}\p{N}_\s]", " "), (alone(FILLERS), " "), (r"\s+", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def starts_a_sentence(user: Column, assistant: Column) -> Column:
+    """Whether the user's two to six words are the beginning of one of the assistant's sentences."""
+    u = spoken(user)
+    sentences = F.transform(F.split(F.coalesce(assistant, F.lit("")), "[.!?]+"), spoken)
+    begins = F.transform(F.array(u), lambda x: F.size(F.split(x, " ")).between(2, 6) & F.exists(sentences, lambda s: (s == x) | F.startswith(s, F.concat(x, F.lit(" ")))))
+    return begins[0]
+
+
 def echo(user: Column, assistant: Column) -> Column:
-    """0 to 1: 1 where the user's text stands in the assistant's or holds the assistant's first 120 characters, else the
-    share of shared words and word pairs; 0 for three longer words or fewer. A window of the assistant's text that holds a
+    """0 to 1: 1 where the user's text begins one of the assistant's sentences, stands in its text or holds its first 120
+    characters, else the share of shared words and word pairs; 0 for three longer words or fewer. A window of the assistant's text that holds a
     long user's text counts 0.98 only where the whole text does not hold it, which cannot be, so that step is not there."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    u, a = norm(user), norm(assistant)
+    u, a = spoken(user), spoken(assistant)
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 2)
     pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
     uw, aw = words(u), words(a)
@@ -126,7 +146,7 @@ def echo(user: Column, assistant: Column) -> Column:
     probe = F.substring(a, 1, 120)
     held = (F.contains(a, u) & ((F.size(uw) >= 4) | (F.length(u) >= 28))) | ((F.length(probe) >= 24) & F.contains(u, probe))
     score = F.greatest(recall, 0.55 * recall + 0.25 * union + 0.20 * both)
-    return F.when((F.length(u) < 3) | (a == ""), 0.0).when(held, 1.0).when(F.size(uw) <= 3, 0.0).otherwise(score)
+    return F.when((F.length(u) < 3) | (a == ""), 0.0).when(starts_a_sentence(user, assistant), 1.0).when(held, 1.0).when(F.size(uw) <= 3, 0.0).otherwise(score)
 
 
 def without_synonyms(top: DataFrame, n: int, most: float = 0.85) -> DataFrame:

@@ -23,13 +23,37 @@ def ranking_metrics(hits: DataFrame, k: int, hit_k: int) -> DataFrame:
     return g.select("query", "precision", "hit", "mrr", F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)).alias("ndcg"))
 
 
-def regressions(before: DataFrame, now: DataFrame, score_drop: float = 0.05, latency_ratio: float = 1.5, latency_floor: float = 5000.0) -> DataFrame:
-    """(phase, kind, previous, now) of phases that both runs have: lower scores, and longer times above a floor."""
-    b = before.select("phase", F.col("ms").alias("ms_b"), F.col("score").alias("score_b"))
-    both = b.join(now, "phase")
-    worse = both.where((F.col("score_b") > 0) & (F.col("score") < F.col("score_b") - score_drop)).select("phase", F.lit("quality_drop").alias("kind"), F.col("score_b").alias("previous"), F.col("score").alias("now"))
-    slower = both.where((F.col("ms_b") >= latency_floor) & (F.col("ms") > F.col("ms_b") * latency_ratio)).select("phase", F.lit("latency_increase"), F.col("ms_b"), F.col("ms"))
-    return worse.union(slower)
+#: Measures of retrieval that may fall, and the measure that may rise.
+RETRIEVAL = ("retrieval_top1", "retrieval_top3", "retrieval_mrr", "retrieval_ndcg")
+
+
+def regressions(before: DataFrame, now: DataFrame, score_drop: float = 0.05, latency_ratio: float = 1.5, latency_floor: float = 5000.0, retrieval_drop: float = 0.05, hallucination_rise: float = 0.05, apart: int = 2) -> DataFrame:
+    """(phase, kind, measure, previous, now) of what got worse in phases that both runs have.
+
+    before and now: phase, ms, score, and where there are any status, hallucination_rate and the measures of RETRIEVAL.
+    A lower score, a time above the floor that grew by the ratio, a retrieval measure that fell, hallucinations that rose.
+    Phases skipped in one of the runs are left out, and runs whose sets of phases differ in more than `apart` are not
+    compared at all.
+    """
+    given = ["ms", "score", *[c for c in (*RETRIEVAL, "hallucination_rate", "status") if c in before.columns and c in now.columns]]
+    b = before.select("phase", *[F.col(c).alias(f"{c}_b") for c in given])
+    n = now.select("phase", *[F.col(c).alias(f"{c}_n") for c in given])
+    differing = before.select("phase").distinct().withColumn("_b", F.lit(1)).join(now.select("phase").distinct().withColumn("_n", F.lit(1)), "phase", "full_outer").agg(F.count_if(F.col("_b").isNull() | F.col("_n").isNull()).alias("_differ"))
+    both = b.join(n, "phase").join(F.broadcast(differing)).where(F.col("_differ") <= apart)  # one row
+    if "status" in given:
+        both = both.where((F.coalesce("status_b", F.lit("")) != "SKIP") & (F.coalesce("status_n", F.lit("")) != "SKIP"))
+
+    def found(kind: str, measure: str, worse: Column) -> Column:
+        return F.when(worse, F.struct(F.lit(kind).alias("kind"), F.lit(measure).alias("measure"), F.col(f"{measure}_b").cast("double").alias("previous"), F.col(f"{measure}_n").cast("double").alias("now")))
+
+    fell = lambda m, by: F.col(f"{m}_n") < F.col(f"{m}_b") - by
+    rules = [
+        found("quality_drop", "score", (F.col("score_b") != 0) & fell("score", score_drop)),
+        *[found("retrieval_degradation", m, F.col(f"{m}_b") - F.col(f"{m}_n") > retrieval_drop) for m in RETRIEVAL if m in given],
+        *[found("hallucination_increase", m, F.col(f"{m}_n") - F.col(f"{m}_b") > hallucination_rise) for m in ("hallucination_rate",) if m in given],
+        found("latency_increase", "ms", (F.col("ms_b") >= latency_floor) & (F.col("ms_n") > F.col("ms_b") * latency_ratio)),
+    ]
+    return both.select("phase", F.explode(F.array_compact(F.array(*rules))).alias("x")).select("phase", "x.*")
 
 
 def graded(answers: DataFrame, key: DataFrame) -> DataFrame:

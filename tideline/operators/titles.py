@@ -31,22 +31,19 @@ def best_title(queries: DataFrame, titles: DataFrame, key: str, topic: str, leas
 
 def align(numbers, pages) -> list[int]:
     """For each of the ascending numbers, the place of the page that it belongs to: in order, each page taken once, with
-    the smallest sum of distances; the earlier page where two ways cost the same. Nothing where there are fewer pages."""
-    n, m = len(numbers), len(pages)
-    if n > m:
+    the smallest sum of distances; of ways that cost the same, the one whose last, then last but one, ... page is earliest.
+    Nothing where there are fewer pages."""
+    if len(numbers) > len(pages):
         return []
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(i, m + 1):
-            cost[i, j] = min(cost[i, j - 1], cost[i - 1, j - 1] + abs(numbers[i - 1] - pages[j - 1]))
-    out, j = [], m
-    for i in range(n, 0, -1):
-        while j > i and cost[i, j] == cost[i, j - 1]:
-            j -= 1
-        out.append(j - 1)
-        j -= 1
-    return out[::-1]
+    at, sums = np.asarray(pages, float), []
+    before = np.zeros(len(at))  # the least cost of the numbers so far on pages before each
+    for x in numbers:
+        sums.append(before + np.abs(at - x))
+        before = np.append(np.inf, np.minimum.accumulate(sums[-1])[:-1]) if len(at) else before
+    out = [len(at)]
+    for total in reversed(sums):
+        out.append(int(np.argmin(total[: out[-1]])))
+    return out[:0:-1]
 
 
 def aligned(numbers: Column, pages: Column) -> Column:

@@ -15,10 +15,9 @@ from ..sources.scratch import scratch_path
 from ..sources.tables import table
 from ._registry import query
 
-#: Turns that stand in for learners' questions, one for each third turn in a cycle; the other turns speak for themselves.
-TURNS = ["Hello tutor", "I'm confused, too hard", "quiz me please", "Okay!", "show me the map", "explain that again", "what is a river?", "wow that's amazing", "thanks, bye", "give me 5 questions", "this is boring", "yesterday at my house", "go deeper", "compare rain and snow", "  "]
-CAPTIONS = ["Fig. 2.1 Map of the main rivers", "Important: parts of a weather station", "Students doing an experiment", "", "Fig 3 Bar chart of rainfall data", "A tiger in the forest", "Cross section of a leaf, labelled", "photo", "Temple by the lake"]
 PHRASES = ["licensed under", "under license", "right reserve", "write mail", "the and"]
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OUT = r"[^\p{L}\p{N}_]"
 
 
 def _quoted(text: str) -> str:
@@ -29,22 +28,21 @@ def _listed(texts: list[str]) -> str:
     return "[" + ", ".join(map(_quoted, texts)) + "]"
 
 
-def _cases(column: str, rules, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {_quoted(p)}) THEN {v}" for p, v in rules) + f" ELSE {default} END"
+def _cases(column: str, rules: list, default: str, result=lambda rule, i: _quoted(rule.result)) -> str:
+    return "CASE " + " ".join(f"WHEN {r.sql(column)} THEN {result(r, i)}" for i, r in enumerate(rules)) + f" ELSE {default} END"
 
 
-_Q = f"trim(CASE WHEN turn % 3 = 1 THEN {_listed(TURNS)}[(turn + conv_id) % {len(TURNS)} + 1] ELSE coalesce(text, '') END)"
+def _stripped(column: str) -> str:
+    return f"trim(lower(coalesce({column}, '')), {_BLANKS})"
 
 
-def _turns(spark, sf):
-    said = F.get(F.array(*[F.lit(x) for x in TURNS]), ((F.col("turn") + F.col("conv_id")) % len(TURNS)).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 1, said).otherwise(F.col("text")).alias("q"))
+_SAID = f"SELECT conv_id, turn, {_stripped('text')} AS q FROM conversations"
 
 
-@query(f"WITH x AS (SELECT conv_id, turn, {_Q} AS q FROM conversations) SELECT conv_id, turn, CASE WHEN q = '' THEN 'none' ELSE {_cases('q', [(p, _quoted(k)) for k, p in D.ACTS.items()], _quoted('new_topic'))} END AS act FROM x")
+@query(f"WITH x AS ({_SAID}) SELECT conv_id, turn, CASE WHEN q = '' THEN 'none' ELSE {_cases('q', D.ACTS, _quoted('new_topic'))} END AS act FROM x")
 def followup_act(spark, sf):
     """The dialogue act of each turn, by the first rule that applies."""
-    return _turns(spark, sf).select("conv_id", "turn", D.dialogue_act(F.col("q")).alias("act"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", D.dialogue_act(F.col("text")).alias("act"))
 
 
 @query("""WITH u AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT label, v FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3),
@@ -57,20 +55,19 @@ def followup_prototype(spark, sf):
     return V.nearest_prototype(e.select("id", "vector"), e.withColumn("r", r).where("r <= 3").select("label", "vector"), 38.0, 2.5)
 
 
-def _affect_sql() -> str:
-    return _cases("q", [(p, _quoted(k)) for k, (p, *_) in D.AFFECTS.items()], _quoted("neutral"))
+_AFFECT = f"CASE WHEN q = '' THEN -1 ELSE {_cases('q', D.AFFECTS, '-1', lambda rule, i: str(i))} END"
+_AFFECT_ROWS = ", ".join(f"({i}, {_quoted(r.result)}, {', '.join(f'{v}e0' for v in r.values)})" for i, r in [(-1, D.Rule("neutral", "")), *enumerate(D.AFFECTS)])
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {_Q} AS q FROM conversations), a AS (SELECT conv_id, turn, {_affect_sql()} AS affect FROM x),
-f(affect, valence, engagement, confusion) AS (VALUES ('neutral', 0e0, 0.5e0, 0e0), {", ".join(f"('{k}', {v}e0, {e}e0, {c}e0)" for k, (_, v, e, c) in D.AFFECTS.items())}) SELECT conv_id, turn, affect, valence, engagement, confusion FROM a JOIN f USING (affect)""")
+@query(f"WITH x AS ({_SAID}), a AS (SELECT conv_id, turn, {_AFFECT} AS i FROM x), f(i, affect, valence, engagement, confusion) AS (VALUES {_AFFECT_ROWS}) SELECT conv_id, turn, affect, valence, engagement, confusion FROM a JOIN f USING (i)")
 def student_affect(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", D.affect(F.col("q")).alias("a")).select("conv_id", "turn", "a.*")
+    return table(spark, sf, "conversations").select("conv_id", "turn", D.affect(F.col("text")).alias("a")).select("conv_id", "turn", "a.*")
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {_Q} AS q FROM conversations), a AS (SELECT conv_id, turn, {_affect_sql()} AS affect FROM x), c AS (SELECT *, lag(affect) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM a),
+@query(f"""WITH x AS ({_SAID}), f(i, affect, valence, engagement, confusion) AS (VALUES {_AFFECT_ROWS}), a AS (SELECT conv_id, turn, affect FROM (SELECT conv_id, turn, {_AFFECT} AS i FROM x) JOIN f USING (i)), c AS (SELECT *, lag(affect) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM a),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c WHERE before IS NULL OR before <> affect) SELECT conv_id, string_agg(affect, ',' ORDER BY turn) AS trajectory FROM r WHERE back <= 5 GROUP BY 1""")
 def affect_trajectory(spark, sf):
-    a = _turns(spark, sf).select("conv_id", "turn", D.affect(F.col("q"))["affect"].alias("affect"))
+    a = table(spark, sf, "conversations").select("conv_id", "turn", D.affect(F.col("text"))["affect"].alias("affect"))
     g = a.groupBy("conv_id").agg(W.ordered_list("affect", "turn").alias("xs"))
     return g.select("conv_id", F.array_join(D.trajectory(F.col("xs")), ",").alias("trajectory"))
 
@@ -101,47 +98,66 @@ def evidence_types(spark, sf):
 
 
 def _phrase_sql(phrase: str) -> str:
-    pattern = D.phrase_pattern(phrase)
+    """Whether `text` holds the phrase: positions of its stems in the list of words, two words between them at most; for phrases of
+    two stems."""
     exact = f"contains(lower(coalesce(text, '')), {_quoted(phrase)})"
-    return f"CASE WHEN {exact} OR regexp_matches(lower(coalesce(text, '')), {_quoted(pattern)}) THEN {_quoted(phrase)} END" if pattern else f"CASE WHEN {exact} THEN {_quoted(phrase)} END"
+    stems, w = D.phrase_stems(phrase), f"string_split_regex(lower(coalesce(text, '')), '{_OUT}+')"
+    if len(stems) < 2:
+        return exact
+    before = " OR ".join(f"coalesce(starts_with(w[greatest(i - {k}, 0)], {_quoted(stems[0])}), false)" for k in range(1, D.GAP + 2))
+    return f"({exact} OR len(list_filter([{w}], lambda w: len(list_filter(range(1, len(w) + 1), lambda i: starts_with(w[i], {_quoted(stems[1])}) AND ({before}))) > 0)) > 0)"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(map(_phrase_sql, PHRASES))}], lambda x: x IS NOT NULL), ',') AS phrases FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_phrase_sql(p)} THEN {_quoted(p)} END' for p in PHRASES)}], lambda x: x IS NOT NULL), ',') AS phrases FROM documents")
 def phrase_matches(spark, sf):
     """Which phrases a document holds in any inflection, with up to two words between theirs."""
     found = F.array_compact(F.array(*[F.when(D.holds_phrase(F.col("text"), p), F.lit(p)) for p in PHRASES]))
     return table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("phrases"))
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({_listed(D.NO_KEYWORDS)}, x))) AS word FROM documents), n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * CASE WHEN list_contains({_listed(D.DOMAIN_WORDS)}, word) THEN 2e0 ELSE 1e0 END * least(1.5e0, length(word) / 8e0) DESC, word) AS r FROM n) SELECT doc_id, string_agg(word, '|' ORDER BY r) AS keywords FROM r WHERE r <= 10 GROUP BY 1""")
+_NUMBER = r"^fig\.?\s*[0-9]+(?:\.[0-9]+)*\s*"
+#: c is the stripped text and t its caption without label, of which the types are told.
+_CAPTION = rf"""SELECT doc_id, c, n, CASE WHEN regexp_matches(c, '{_NUMBER}\.?\z') OR regexp_matches(t, '^[0-9. ]+\z') THEN '' ELSE left(t, 512) END AS t
+FROM (SELECT doc_id, {_stripped("text")} AS c, length(coalesce(text, '')) AS n, trim(regexp_replace(regexp_replace({_stripped("text")}, '{_NUMBER}[:. ]+', ''), '\s+', ' ', 'g'), ' .:;-') AS t FROM documents)"""
+_TYPE = _cases("t", D.FIGURES, "'unknown'")
+_ROLE = f"CASE WHEN length(c) < 8 THEN 'decorative' WHEN regexp_matches(c, {_quoted(D.ACTIVITY)}) THEN 'activity' ELSE CASE kind {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(r)}' for k, r in D.ROLES.items())} ELSE 'sidebar_example' END END"
+
+
+def _tags_sql(column: str, tags: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {_quoted(k)} THEN {_listed(v.split(chr(124)))}' for k, v in tags.items())} ELSE [] END"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '{_OUT}+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({_listed(D.NO_KEYWORDS)}, x))) AS word FROM documents), n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * CASE WHEN list_contains({_listed(D.DOMAIN_WORDS)}, word) THEN 2e0 ELSE 1e0 END * least(1.5e0, length(word) / 8e0) DESC, word) AS r FROM n), l AS (SELECT doc_id, list(word ORDER BY r) AS words FROM r WHERE r <= 10 GROUP BY 1),
+k AS (SELECT doc_id, {_TYPE} AS kind FROM ({_CAPTION}))
+SELECT doc_id, array_to_string(CASE WHEN kind <> 'unknown' AND NOT list_contains(words, kind) THEN list_prepend(kind, words)[1:10] ELSE words END, '|') AS keywords FROM l JOIN k USING (doc_id)""")
 def semantic_keywords(spark, sf):
-    """The ten weightiest words of each document."""
-    w = table(spark, sf, "documents").select("doc_id", F.explode(D.keyword_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    """The ten weightiest words of each document, its type among them."""
+    docs = table(spark, sf, "documents")
+    w = docs.select("doc_id", F.explode(D.keyword_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     r = F.row_number().over(Window.partitionBy("doc_id").orderBy(D.keyword_weight(F.col("word"), F.col("n")).desc(), "word"))
-    return w.withColumn("r", r).where("r <= 10").groupBy("doc_id").agg(F.array_join(W.ordered_list("word", "r"), "|").alias("keywords"))
+    lists = w.withColumn("r", r).where("r <= 10").groupBy("doc_id").agg(W.ordered_list("word", "r").alias("words"))
+    return lists.join(docs.select("doc_id", D.figure_type(F.col("text")).alias("kind")), "doc_id").select("doc_id", D.keywords_with_type(F.col("words"), F.col("kind")).alias("keywords"))
 
 
-@query(f"WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, array_to_string(list_filter([{', '.join('CASE WHEN regexp_matches(t, ' + _quoted('(^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])(' + w + ')([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)') + ') THEN ' + _quoted(k) + ' END' for k, w in D.SUBJECTS.items())}], lambda x: x IS NOT NULL), '|') AS tags FROM x")
+@query(f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), k AS (SELECT *, {_TYPE} AS kind FROM ({_CAPTION})), r AS (SELECT doc_id, kind, {_ROLE} AS role FROM k),
+t AS (SELECT doc_id, list_concat(list_filter([{', '.join(f'CASE WHEN regexp_matches(low, {_quoted(D.as_word(w))}) THEN {_quoted(k)} END' for k, w in D.SUBJECTS.items())}], lambda x: x IS NOT NULL), {_tags_sql('kind', D.TYPE_TAGS)}, {_tags_sql('role', D.ROLE_TAGS)}) AS l FROM x JOIN r USING (doc_id))
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:{D.TAGS}], '|') AS tags FROM t""")
 def educational_tags(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", D.subject_tags(F.col("text")).alias("tags"))
-
-
-_FIGURE_KIND = _cases("c", [(p, _quoted(k)) for k, (p, _) in D.FIGURES.items()], _quoted("unknown"))
-_FIGURE_ROLE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, (_, r) in D.FIGURES.items()) + " ELSE 'sidebar_example' END"
+    """Tags of each document's subjects, type and role."""
+    facts = D.figure_facts(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", "text", facts.alias("f")).select("doc_id", D.educational_tags(F.col("text"), F.col("f.type"), F.col("f.role")).alias("tags"))
 
 
-@query(rf"""WITH x AS (SELECT p_partkey, {_listed(CAPTIONS)}[p_partkey % {len(CAPTIONS)} + 1] AS c FROM part), k AS (SELECT *, {_FIGURE_KIND} AS kind FROM x)
-SELECT p_partkey, kind AS type, CASE WHEN length(c) < 8 THEN 'decorative' WHEN regexp_matches(c, {_quoted(D.FIGURES['activity'][0])}) THEN 'activity' ELSE {_FIGURE_ROLE} END AS role,
-round_even(CASE WHEN c = '' THEN 0.1e0 ELSE least(1e0, least(0.5e0, length(c) / 200e0) + CASE WHEN regexp_matches(c, '(?i)\bfig\.?\s*[0-9]') THEN 0.2e0 ELSE 0e0 END + CASE WHEN regexp_matches(c, '(?i)\b({D.CUES})\b') THEN 0.15e0 ELSE 0e0 END) END, 6) AS salience FROM k""")
+@query(rf"""WITH k AS (SELECT *, {_TYPE} AS kind FROM ({_CAPTION}))
+SELECT doc_id, kind AS type, {_ROLE} AS role, round_even(CASE WHEN c = '' THEN 0.1e0 ELSE least(1e0, least(0.5e0, n / 200e0) + CASE WHEN regexp_matches(c, {_quoted(D.LABELLED)}) THEN 0.2e0 ELSE 0e0 END + CASE WHEN regexp_matches(c, {_quoted(D.CUES)}) THEN 0.15e0 ELSE 0e0 END) END, 6) AS salience FROM k""")
 def figure_facts(spark, sf):
-    """Type, role and salience of figures by their captions."""
-    caption = F.get(F.array(*[F.lit(x) for x in CAPTIONS]), (F.col("p_partkey") % len(CAPTIONS)).cast("int"))
-    f = table(spark, sf, "part").select("p_partkey", D.figure_facts(caption).alias("f")).select("p_partkey", "f.*")
+    """Type, role and salience of figures whose captions are the documents."""
+    f = table(spark, sf, "documents").select("doc_id", D.figure_facts(F.col("text")).alias("f")).select("doc_id", "f.*")
     return f.withColumn("salience", F.bround("salience", 6))
 
 
-@query(f"""WITH kept AS (SELECT doc_id FROM documents WHERE {_phrase_sql('licensed under')[10:-len("THEN 'licensed under' END") - 1]}), e AS (SELECT vec_id AS id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query, label, v FROM e WHERE id % 100 = 0), c AS (SELECT e.* FROM e JOIN kept ON doc_id = id),
+@query(f"""WITH kept AS (SELECT doc_id FROM documents WHERE {_phrase_sql('licensed under')}), e AS (SELECT vec_id AS id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query, label, v FROM e WHERE id % 100 = 0), c AS (SELECT e.* FROM e JOIN kept ON doc_id = id),
 s AS (SELECT query, c.id, round_even(list_cosine_similarity(q.v, c.v), 6) AS score FROM q JOIN c USING (label)) SELECT query, id, score, cast(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 3""")
 def filtered_then_ranked(spark, sf):
     """Vectors of documents that hold a phrase, ranked among these only."""
@@ -230,11 +246,26 @@ def json_scan(spark, sf):
     return S.json_documents(spark, path, "event_type string, props struct<k: int>", multi_line=False).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("props.k").alias("k"))
 
 
-@query("SELECT count(*) AS files, cast(sum(octet_length(encode(text || chr(10)))) AS BIGINT) AS bytes FROM (SELECT text FROM benchmark WHERE NOT contains(text, chr(10)))")
+@query(r"""SELECT count(*) AS texts, cast(sum(octet_length(encode(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(13), '\r') || chr(10)))) AS BIGINT) AS bytes, cast(sum(length(text)) AS BIGINT) AS chars FROM benchmark WHERE text IS NOT NULL""")
 def blob_scan(spark, sf):
-    """Texts written as one text file for each of eight groups and fetched as blobs: how many lines, and their bytes."""
+    """Texts written as lines of eight text files, line ends escaped, and fetched as blobs: how many, their bytes, and the
+    characters of the texts that come back."""
     path = scratch_path(spark, "blobs")
-    lines = table(spark, sf, "benchmark").where(~F.contains("text", F.lit("\n"))).select("text")
-    lines.repartition(8).write.text(path)
-    found = S.blobs(spark, path, "*.txt").select("length", F.size(F.split(F.decode("content", "UTF-8"), "\n")).alias("n"))
-    return found.agg(F.sum(F.col("n") - 1).alias("files"), F.sum("length").alias("bytes"))
+    table(spark, sf, "benchmark").where("text IS NOT NULL").select(S.one_line(F.col("text")).alias("value")).repartition(8).write.text(path)
+    lines = S.blobs(spark, path, "*.txt").select("length", F.explode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\n\\z", ""), "\n")).alias("line"))
+    texts = lines.where("line <> '' OR length > 0").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"), F.sum(F.length(S.from_one_line(F.col("line")))).alias("chars"))
+    return texts
+
+
+@query("SELECT source, count(*) AS n, cast(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE source NOT IN ('src1') GROUP BY 1")
+def prefix_copy_delete(spark, sf):
+    """A table copied under another prefix, of which one part is then deleted; the first stays as it was."""
+    path = scratch_path(spark, "prefix")
+    table(spark, sf, "documents").select("doc_id", "n_chars", "source").write.partitionBy("source").parquet(f"{path}/a")
+    copied = S.copy_prefix(spark, f"{path}/a", f"{path}/b")
+    deleted = S.delete_prefix(spark, f"{path}/b/source=src1")
+    left = spark.read.parquet(f"{path}/b")
+    kept = spark.read.parquet(f"{path}/a").count()
+    if not copied or (deleted and kept < left.count()):
+        raise RuntimeError("the copy or its source is not whole")
+    return left.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))

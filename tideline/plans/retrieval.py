@@ -85,15 +85,22 @@ def ir_metrics(spark, sf):
     return m.select("query", F.bround("precision", 6).alias("precision_5"), F.col("hit").alias("hit_3"), F.bround("mrr", 6).alias("mrr"), F.bround("ndcg", 6).alias("ndcg"))
 
 
-@query("""WITH b AS (SELECT event_type AS phase, avg(value) AS ms, count(*) FILTER (value > 10) / count(*) AS score FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), c AS (SELECT event_type AS phase, avg(value) AS ms, count(*) FILTER (value > 10) / count(*) AS score FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
-SELECT phase, 'quality_drop' AS kind, round_even(b.score, 6) AS previous, round_even(c.score, 6) AS now FROM b JOIN c USING (phase) WHERE b.score > 0 AND c.score < b.score - 0.01
-UNION ALL SELECT phase, 'latency_increase', round_even(b.ms, 6), round_even(c.ms, 6) FROM b JOIN c USING (phase) WHERE b.ms >= 5 AND c.ms > b.ms * 1.02""")
+_RUN = "SELECT event_type AS phase, avg(value) AS ms, count(*) FILTER (value > 10) / count(*) AS score, count(*) FILTER (value > 30) / count(*) AS top1, count(*) FILTER (value <= 1) / count(*) AS h FROM events WHERE ts {} TIMESTAMP '2024-01-16' GROUP BY 1"
+
+
+@query(f"""WITH b AS ({_RUN.format('<')}), c AS ({_RUN.format('>=')}), j AS (SELECT phase, b.ms AS ms_b, c.ms AS ms_n, b.score AS score_b, c.score AS score_n, b.top1 AS top_b, c.top1 AS top_n, b.h AS h_b, c.h AS h_n FROM b JOIN c USING (phase) WHERE (SELECT count(*) FROM b FULL JOIN c USING (phase) WHERE b.ms IS NULL OR c.ms IS NULL) <= 2)
+SELECT phase, 'quality_drop' AS kind, 'score' AS measure, round_even(score_b, 6) AS previous, round_even(score_n, 6) AS now FROM j WHERE score_b > 0 AND score_n < score_b - 0.01
+UNION ALL SELECT phase, 'retrieval_degradation', 'retrieval_top1', round_even(top_b, 6), round_even(top_n, 6) FROM j WHERE top_b - top_n > 0.001
+UNION ALL SELECT phase, 'hallucination_increase', 'hallucination_rate', round_even(h_b, 6), round_even(h_n, 6) FROM j WHERE h_n - h_b > 0.001
+UNION ALL SELECT phase, 'latency_increase', 'ms', round_even(ms_b, 6), round_even(ms_n, 6) FROM j WHERE ms_b >= 5 AND ms_n > ms_b * 1.02""")
 def regression_compare(spark, sf):
-    e = table(spark, sf, "events")
+    """What got worse from the first half of the month to the second, phases being event types."""
+    e, n = table(spark, sf, "events"), F.count(F.lit(1))
     day = F.expr("TIMESTAMP_NTZ'2024-01-16 00:00:00'")
-    run = lambda p: e.where(p).groupBy(F.col("event_type").alias("phase")).agg(F.avg("value").alias("ms"), (F.count_if(F.col("value") > 10) / F.count(F.lit(1))).alias("score"))
-    out = E.regressions(run(F.col("ts") < day), run(F.col("ts") >= day), score_drop=0.01, latency_ratio=1.02, latency_floor=5.0)
-    return out.select("phase", "kind", F.bround("previous", 6).alias("previous"), F.bround("now", 6).alias("now"))
+    share = lambda p: F.count_if(p) / n
+    run = lambda p: e.where(p).groupBy(F.col("event_type").alias("phase")).agg(F.avg("value").alias("ms"), share(F.col("value") > 10).alias("score"), share(F.col("value") > 30).alias("retrieval_top1"), share(F.col("value") <= 1).alias("hallucination_rate"))
+    out = E.regressions(run(F.col("ts") < day), run(F.col("ts") >= day), score_drop=0.01, latency_ratio=1.02, latency_floor=5.0, retrieval_drop=0.001, hallucination_rise=0.001)
+    return out.withColumns({c: F.bround(c, 6) for c in ("previous", "now")})
 
 
 @query("""WITH k AS (SELECT p_partkey AS item, lower(trim(p_brand)) AS answer FROM part), a AS (SELECT l_orderkey AS submission, l_partkey AS item, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN ' BRAND#' || cast(l_suppkey % 25 + 1 AS VARCHAR) ELSE 'brand#' || cast(l_partkey % 25 + 1 AS VARCHAR) || ' ' END AS given FROM lineitem)

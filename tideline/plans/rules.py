@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import dialogue as D
 from ..functions import learning as L
 from ..functions import splitting as S
 from ..operators import assignment as A
@@ -186,10 +187,35 @@ def longest_increasing_runs(spark, sf):
     return lists.select("p_brand", S.longest_increasing(F.col("xs")).alias("run")).select("p_brand", F.size("run").alias("n"), F.array_join(F.transform("run", lambda x: x.cast("string")), ",").alias("run"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?:\\b\\pL ){4,}') AS spaced, length(text) > 0 AND len(regexp_extract_all(text, '[0-9]')) / length(text) > 0.2 AS numeric_noise FROM documents""".replace("\\\\", "\\"))
+_OUT = r"[^\p{L}\p{N}_]"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _torn(words: str, low: str) -> str:
+    """SQL of letter_spaced for a list of words and the text in lower case."""
+    short, single = f"len(list_filter({words}, lambda x: length(x) <= 2))", f"len(list_filter({words}, lambda x: length(x) = 1))"
+    return f"(len({words}) >= 3 AND (({single} >= 3 AND {short} >= 0.55 * len({words})) OR (len({words}) >= 4 AND {short} >= 0.7 * len({words})) OR regexp_matches({low}, '(?:^|[^a-z])(?:[a-z]\\s+){{3,}}[a-z](?:[^a-z]|\\z)')))".replace("{{", "{").replace("}}", "}").replace("\\\\", "\\")
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[^A-Za-z0-9]+'), lambda x: x <> '')"
+
+
+def _words(text: str, n: int) -> str:
+    return f"len(list_filter(string_split_regex({text}, '{_OUT}+'), lambda x: regexp_full_match(x, '[a-z]{{{n},}}')))"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, trim(lower(coalesce(text, '')), {_BLANKS}) AS c FROM documents),
+y AS (SELECT *, trim(regexp_replace(trim(regexp_replace(c, '{D._LABEL}', ''), '{D._MARKS}'), '{D._TRAILING}', '\1'), '{D._MARKS}') AS body, list_filter(list_transform(string_split(c, chr(10)), lambda l: trim(l, {_BLANKS})), lambda l: l <> '') AS lines FROM x),
+z AS (SELECT *, {_tokens("t")} AS tt, {_tokens("c")} AS ct, {_tokens("body")} AS bt FROM y)
+SELECT doc_id, {_torn("tt", "low")} AS spaced, length(t) > 0 AND len(regexp_extract_all(t, '[0-9]')) / length(t) > 0.2 AS numeric_noise,
+length(c) >= 6 AND (regexp_matches(c, '{D.CRUMBS}') OR {_torn("ct", "c")} OR (len(lines) >= 3 AND length(array_to_string(lines, '')) < 22 * len(lines))
+ OR ({_words("c", 2)} >= 2 AND len(list_filter(lines, lambda l: regexp_matches(l, '\p{{L}}\z') AND length(l) < 12)) >= 2)
+ OR {_torn("bt", "body")} OR ({_words("body", 3)} = 0 AND len(bt) >= 3)) AS corrupt FROM z""")
 def ocr_flags(spark, sf):
+    """Texts of torn letters, texts of many digits, and texts that are fragments rather than captions."""
     digits = F.try_divide(F.regexp_count("text", F.lit("[0-9]")), F.length("text"))
-    return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?:\b\pL ){4,}").alias("spaced"), F.coalesce(digits > 0.2, F.lit(False)).alias("numeric_noise"))
+    return table(spark, sf, "documents").select("doc_id", D.letter_spaced(F.col("text")).alias("spaced"), F.coalesce(digits > 0.2, F.lit(False)).alias("numeric_noise"), D.corrupt_caption(F.col("text")).alias("corrupt"))
 
 
 @query("""WITH e AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS names FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, names, lead(names) OVER (ORDER BY doc_id) AS next FROM e)

@@ -51,6 +51,45 @@ def blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
+def one_line(text: Column) -> Column:
+    """A text without line ends, from which from_one_line() gives it back."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def from_one_line(line: Column) -> Column:
+    """Pairs of backslashes stand apart first, so that an escaped backslash before an n stays one."""
+    parts = F.transform(F.split(line, r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def copy_prefix(spark: SparkSession, source: str, target: str) -> int:
+    """Copies the files below one folder below another, names and all, and returns how many there are. Only names pass
+    through the driver; it asks the store for one copy after the other."""
+    base, _ = _hadoop_path(spark, source)
+    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    files = blobs(spark, source).where(~F.element_at(F.split("path", "/"), -1).rlike("^[.]"))
+    rows = files.select(F.expr(f"substring(path, {len(root) + 1})").alias("name"), "path")
+    names = [(r["path"], r["name"]) for r in rows.toLocalIterator()]
+    _, to = _hadoop_path(spark, target)
+    for path, name in names:
+        p, fs = _hadoop_path(spark, path)
+        q, _ = _hadoop_path(spark, f"{target.rstrip('/')}/{name.lstrip('/')}")
+        to.mkdirs(q.getParent())
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, spark._jsc.hadoopConfiguration())
+    return len(names)
+
+
+def delete_prefix(spark: SparkSession, path: str) -> bool:
+    """Deletes everything below a folder; false if there was nothing."""
+    p, fs = _hadoop_path(spark, path)
+    return fs.delete(p, True)
+
+
 def insert_distinct(df: DataFrame, path: str, keys: list[str]) -> None:
     """Appends one row for each key of df."""
     df.dropDuplicates(keys).write.mode("append").parquet(path)
