@@ -82,13 +82,6 @@ def test_redaction(spark):
     assert one(spark, T.redacted_map(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("name"), F.lit("y")))) == {"api_key": "[REDACTED]", "name": "y"}
 
 
-def test_typos():
-    assert not S.matches("a cat sat", "bat")
-    assert S.matches("The Science of it", "scince")
-    assert S.alignment_distance("ca", "abc") == 3
-    assert S.matches("Éclair", "eclair")
-
-
 def test_splitter():
     text = "para one. " * 30 + "\n\n" + "x" * 250
     parts = S.split_text(text, 100, 10)

@@ -1,10 +1,9 @@
-"""Operators on texts that built-in expressions do not cover: splitting, fuzzy matching, echoes, turn pairs."""
+"""Operators on texts that built-in expressions do not cover: splitting, echoes, turn pairs, quizzes."""
 
 from __future__ import annotations
 
 import difflib
 import re
-import unicodedata
 
 import pandas as pd
 import pyarrow as pa
@@ -56,49 +55,6 @@ def chunks(docs: DataFrame, tokens: int, overlap: int) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut("text")).alias("ordinal", "text")).withColumn("n_chars", F.length("text"))
 
 
-def folded(text: str) -> str:
-    """Without accents, case, punctuation and repeated white space."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[\W_]+", " ", plain.casefold()).split())
-
-
-def alignment_distance(a: str, b: str) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours, no part edited twice."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
-
-
-def allowed_typos(word: str) -> int:
-    return 0 if len(word) <= 3 else 1 if len(word) <= 6 else 2
-
-
-def matches(text: str, query: str) -> bool:
-    hay, want = folded(text), folded(query)
-    if not want or want in hay or want.replace(" ", "") in hay.replace(" ", ""):
-        return True
-    words = hay.split()
-    return all(any(w.startswith(q) or (abs(len(w) - len(q)) <= allowed_typos(q) and alignment_distance(w, q) <= allowed_typos(q)) for w in words) for q in want.split()[:8])
-
-
-def fuzzy_matches(rows: DataFrame, query: str) -> DataFrame:
-    """The rows (id, text) that match the query; distinct texts are tested once."""
-
-    @F.pandas_udf("boolean")
-    def test(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: matches(t, query))
-
-    hits = rows.select("text").distinct().where(test("text"))
-    return rows.join(hits, "text", "left_semi").select("id", "text")
-
-
 def turn_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, question, answer): each user turn with the assistant turn that follows; a later user turn
     replaces one without an answer, a last one has an empty answer."""

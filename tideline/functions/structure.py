@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dialogue import as_word
+
 #: The numerals.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
@@ -35,6 +37,16 @@ def markdown_table(text: Column) -> Column:
     return F.struct(F.size(lines).alias("rows"), F.coalesce(F.get(widths, F.lit(0)), F.lit(0)).alias("cols"), (F.size(F.array_distinct(widths)) > 1).alias("ragged"), ((F.size(lines) >= 2) & (F.size(F.array_distinct(widths)) == 1)).alias("ok"))
 
 
+#: How wide a question asks, in lower case.
+WHOLE_CHAPTER = as_word(r"(?:whole|entire|full)\s+(?:chapter|topic|lesson|unit)")
+BROAD = as_word(r"everything|overview|summari[sz]e|all about")
+
+
+def breadth(question: Column) -> Column:
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return F.when(q.rlike(WHOLE_CHAPTER), "chapter").when(q.rlike(BROAD), "broad").otherwise("narrow")
+
+
 def figure_refs(text: Column) -> Column:
     """Distinct figure numbers that a text cites, in order."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\bfig(?:ure)?\.?\s*([0-9]+(?:\.[0-9]+)?)"), 1))

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a question asks for, in the order of the rules.
+from .dialogue import as_word, at_start
+
+#: What a question asks for, in the order of the rules, in lower case.
 ANSWER_TYPES = {
-    "greeting": r"^\s*(hi|hello|hey|good (morning|evening))\b",
-    "exam-format": r"\b(exam|board question|[0-9]+ marks?)\b",
-    "bullet-points": r"\b(bullet|points)\b",
-    "stepwise": r"\b(solve|calculate|step by step|steps)\b",
-    "simplified": r"\b(simple|simply|easy words)\b",
-    "one-word": r"\bone word\b",
-    "brief": r"\b(short|brief|briefly)\b",
-    "paragraph": r"\b(in detail|detailed|notes|lesson)\b",
-    "factual": r"\b(name the|list the|which|what (kind|type|sort)s? of)\b",
+    "greeting": at_start(r"\s*(?:hi|hello|hey|good (?:morning|evening))"),
+    "exam-format": as_word(r"exam|board question|[0-9]+ marks?"),
+    "bullet-points": as_word("bullet|points"),
+    "stepwise": as_word("solve|calculate|step by step|steps"),
+    "simplified": as_word("simple|simply|easy words"),
+    "one-word": as_word("one word"),
+    "brief": as_word("short|brief|briefly"),
+    "paragraph": as_word("in detail|detailed|notes|lesson"),
+    "factual": as_word("name the|list the|which|what (?:kind|type|sort)s? of"),
 }
 #: Words for small numbers.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
+COUNT = r"(?:^|[^\p{L}\p{N}_])([0-9]{1,3}|one|two|three|four|five)\s+(?:sentences?|lines?|points?|bullets?)(?:[^\p{L}\p{N}_]|\z)"
+COMPLAINT = as_word("you are (?:wrong|repeating|confusing)|stop (?:asking|repeating)|this is (?:boring|confusing)|i didn'?t ask")
+ASKS = as_word("explain|teach|tell me|what (?:is|are|was|were)|why|how|who|when|where|can you|give me")
 
 
 def answer_type(question: Column) -> Column:
-    q = F.lower(F.trim(question))
+    q = F.lower(question)
     out = F.lit("short-answer")
     for name, pattern in reversed(ANSWER_TYPES.items()):
         out = F.when(q.rlike(pattern), name).otherwise(out)
@@ -31,7 +36,7 @@ def answer_type(question: Column) -> Column:
 
 def requested_count(question: Column) -> Column:
     """How many sentences, lines or points a question asks for, ten at most; null if it does not say."""
-    word = F.regexp_extract(F.lower(question), r"\b([0-9]{1,3}|one|two|three|four|five)\s+(?:sentences?|lines?|points?|bullets?)\b", 1)
+    word = F.regexp_extract(F.lower(question), COUNT, 1)
     n = word.try_cast("int")
     for k, v in NUMBER_WORDS.items():
         n = F.when(word == k, v).otherwise(n)
@@ -39,13 +44,12 @@ def requested_count(question: Column) -> Column:
 
 
 def is_complaint(text: Column) -> Column:
-    return F.lower(text).rlike(r"\b(you are (wrong|repeating|confusing)|stop (asking|repeating)|this is (boring|confusing)|i didn'?t ask)\b")
+    return F.lower(text).rlike(COMPLAINT)
 
 
 def is_non_answer(text: Column) -> Column:
     """Nothing, a complaint, or a question of the learner's own."""
-    asks = F.lower(text).rlike(r"\b(explain|teach|tell me|what (is|are|was|were)|why|how|who|when|where|can you|give me)\b")
-    return (F.trim(text) == "") | is_complaint(text) | (asks & F.rtrim(text).endswith("?"))
+    return (F.trim(text) == "") | is_complaint(text) | (F.lower(text).rlike(ASKS) & F.rtrim(text).endswith("?"))
 
 
 def answer_score(answer: Column, keywords: Column, forbidden: Column) -> Column:
@@ -63,5 +67,5 @@ def answer_score(answer: Column, keywords: Column, forbidden: Column) -> Column:
 def clean_title(raw: Column) -> Column:
     """A contents line without its leading number, dot leaders, page number and doubled spaces."""
     x = F.regexp_replace(raw, r"^\s*(?:(?i:chapter|unit)\s+)?[0-9]+(?:\.[0-9]+)*[.):]?\s+", "")
-    x = F.regexp_replace(x, r"[\s.]*\b[0-9]{1,4}\s*$", "")
+    x = F.regexp_replace(x, r"(?:^|[\s.])[\s.]*[0-9]{1,4}\s*\z", "")
     return F.trim(F.regexp_replace(x, r"\s+", " "))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import splitting
 from ..functions import text as T
+from ..functions.sql import register
 from ..operators import relational as R
+from ..operators import typos as X
 from ..operators import windows as W
 from ..sources.tables import table
 from ._registry import query
@@ -99,10 +101,16 @@ def token_jaccard(spark, sf):
     return p.where("b IS NOT NULL").select("conv_id", "turn", F.bround(T.jaccard(F.col("w"), F.col("b")), 6).alias("jaccard"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS hay FROM part),
+q AS (SELECT p_partkey AS query, trim(regexp_replace(lower(p_name[1:1] || p_name[3:3] || p_name[2:2] || left(p_name[4:], -1)), '[^a-z0-9]+', ' ', 'g')) AS want FROM part WHERE p_partkey % 100 = 0),
+t AS (SELECT query, id, want, hay, list_transform(string_split(want, ' ')[1:8], lambda x: len(list_filter(string_split(hay, ' '), lambda w: starts_with(w, x) OR damerau_levenshtein(x, w) <= CASE WHEN length(x) <= 3 THEN 0 WHEN length(x) <= 6 THEN 1 ELSE 2 END OR damerau_levenshtein(x, left(w, length(x))) <= CASE WHEN length(x) <= 3 THEN 0 WHEN length(x) <= 6 THEN 1 ELSE 2 END)) > 0) AS ok FROM q, n)
+SELECT query, id FROM t WHERE contains(replace(hay, ' ', ''), replace(want, ' ', '')) OR NOT list_contains(ok, false)""")
 def fuzzy_search(spark, sf):
-    """Part names that match a misspelt query word for word, up to a typo or two by the words' length."""
-    return splitting.fuzzy_matches(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), "smal wigdet")
+    """All part names against every hundredth one with two letters swapped and its last one lost."""
+    part, name = table(spark, sf, "part"), F.col("p_name")
+    misspelt = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.expr("substring(p_name, 4, greatest(length(p_name) - 4, 0))"))
+    queries = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), misspelt.alias("said"))
+    return X.forgiving_search(part.select(F.col("p_partkey").alias("id"), name.alias("text")), queries)
 
 
 @query("""WITH d AS (SELECT doc_id, cast(('the' IN lower(text))::INT + ('and' IN lower(text))::INT + ('der' IN lower(text))::INT + ('que' IN lower(text))::INT + ('license' IN lower(text))::INT AS INTEGER) AS score FROM (SELECT doc_id, text FROM documents))
@@ -173,3 +181,19 @@ def key_concepts(spark, sf):
     return splitting.without_synonyms(top, 20)
 
 
+
+
+@query("""SELECT source, CASE WHEN source IS NULL THEN 'general' ELSE trim(both '_' from regexp_replace(lower(source || ' & ' || lang), '[^a-z0-9]+', '_', 'g')) END AS slug, cast(sum(greatest(1, length(coalesce(text, '')) // 4)) AS BIGINT) AS tokens, CASE WHEN avg(n_chars) >= 70 THEN 'Good' WHEN avg(n_chars) >= 45 THEN 'Fair' ELSE 'At Risk' END AS size FROM documents GROUP BY 1, 2""")
+def sql_functions(spark, sf):
+    """The library's functions called from SQL text."""
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("_sql_documents")
+    return spark.sql("SELECT source, slug(source || ' & ' || lang) AS slug, sum(token_length(text)) AS tokens, health_status(avg(n_chars)) AS size FROM _sql_documents GROUP BY 1, 2")
+
+
+@query()
+def sql_chunks(spark, sf):
+    """The splitter as a function of tables: what doc_chunks gives."""
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("_sql_documents")
+    return spark.sql("SELECT d.doc_id, c.ordinal, c.chunk AS text, length(c.chunk) AS n_chars FROM _sql_documents d, LATERAL split_text(d.text, 512, 51) c")

@@ -171,13 +171,19 @@ def figure_assignment(spark, sf):
     return A.in_turn(V.topk_filtered(q, e, "label", 8).join(q.select("query", "label"), "query"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, lead(p_name, 1, 'none of these') OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b, lead(p_type, 1, 'neither') OVER (PARTITION BY p_brand ORDER BY p_partkey) AS c FROM part)
+SELECT p_brand AS id, cast(i AS INTEGER) AS number, 'Which of size ' || p_size || '?' AS question, array_to_string(CASE WHEN p_partkey % 3 = 0 THEN [p_name, b] ELSE [p_name, b, c] END, '|') AS options, CASE WHEN p_partkey % 5 = 0 THEN 'B' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'A' END AS answer FROM p""")
 def mcq_items(spark, sf):
-    """Questions, options and the key of a numbered quiz in Markdown."""
-    k = (F.col("item_id") % 4).cast("int")
-    letter = F.get(F.array(*[F.lit(x) for x in "ABCD"]), k)
-    md = F.concat(F.lit("1. "), F.translate("text", "\n", " "), F.lit("?\nA) one\nB) two\nC) three\nD) four\nAnswer: "), letter, F.lit("\n2) Next one?\nA. yes\nB. no\n\n## Answer Key\n2. B\n"))
-    return S.quiz_items(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), md.alias("text")))
+    """Questions, options and answers of each brand's quiz in Markdown, of its parts; some answers stand in a key at the end."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    k, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    p = table(spark, sf, "part").withColumns({"i": F.row_number().over(w), "b": F.lead("p_name", 1, "none of these").over(w), "c": F.lead("p_type", 1, "neither").over(w)})
+    third = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("\nC) "), "c"))
+    block = F.concat(text("i"), F.lit(". Which of size "), text("p_size"), F.lit("?\nA) "), "p_name", F.lit("\nB) "), "b", third, F.when((k % 5 == 0) | (k % 7 == 0), "").otherwise("\nAnswer: A"))
+    key = F.when(k % 5 == 0, F.concat(text("i"), F.lit(". B\n"))).otherwise("")
+    quiz = p.withColumns({"block": block, "key": key}).groupBy("p_brand").agg(F.array_join(W.ordered_list("block", "i"), "\n").alias("q"), F.array_join(W.ordered_list("key", "i"), "").alias("a"))
+    items = S.quiz_items(quiz.select(F.col("p_brand").alias("id"), F.concat("q", F.lit("\n\n## Answer Key\n"), "a").alias("text")))
+    return items.withColumn("options", F.array_join("options", "|"))
 
 
 @query()

@@ -36,10 +36,13 @@ def page_offset_consensus(spark, sf):
     return found.withColumn("confidence", F.bround("confidence", 6))
 
 
-@query("""WITH t(n, r) AS (VALUES (1, 'i'), (4, 'IV'), (9, 'IX'), (14, 'xiv'), (40, 'XL'), (1994, 'MCMXCIV'), (NULL, 'chapter')) SELECT r AS numeral, cast(n AS INTEGER) AS value FROM t""")
+@query(r"""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS numeral FROM documents), d AS (SELECT numeral, count(*) AS n FROM w WHERE regexp_full_match(numeral, '[ivxlcdm]+') GROUP BY 1),
+v AS (SELECT *, list_transform(string_split(numeral, ''), lambda c: CASE c WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 ELSE 1000 END) AS l FROM d)
+SELECT numeral, n, cast(list_sum(list_transform(l, lambda x, i: CASE WHEN x < coalesce(l[i + 1], 0) THEN -x ELSE x END)) AS INTEGER) AS value FROM v""")
 def roman_numerals(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("i", "IV", "IX", "xiv", "XL", "MCMXCIV", "chapter")], "numeral string")
-    return rows.select("numeral", X.roman(F.col("numeral")).alias("value"))
+    """The words of all documents that are Roman numerals, how often they occur, and their numbers."""
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("numeral")).groupBy("numeral").agg(F.count(F.lit(1)).alias("n"))
+    return words.withColumn("value", X.roman(F.col("numeral"))).where("value IS NOT NULL")
 
 
 @query("""SELECT p_partkey, p_name, row_number() OVER (ORDER BY coalesce(try_cast(nullif(regexp_extract(p_name || ' ' || cast(p_size AS VARCHAR), '([0-9]+)', 1), '') AS BIGINT), p_partkey), lower(p_name), p_partkey) AS place FROM part ORDER BY place LIMIT 50""")
@@ -243,12 +246,10 @@ def parent_child_counts(spark, sf):
     return g.withColumn("status", F.when((F.col("chapters") > 0) & (F.col("completed") == F.col("chapters")), "complete").otherwise("open"))
 
 
-@query("""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'summarise the whole chapter' WHEN doc_id % 3 = 1 THEN 'explain everything about light' ELSE 'what year was it' END AS q FROM documents) SELECT doc_id, CASE WHEN regexp_matches(q, '\\b(whole|entire|full)\\s+(chapter|topic|lesson|unit)\\b') THEN 'chapter' WHEN regexp_matches(q, '\\b(everything|overview|summari[sz]e|all about)\\b') THEN 'broad' ELSE 'narrow' END AS breadth FROM q""".replace("\\\\", "\\"))
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(q, '{X.WHOLE_CHAPTER}') THEN 'chapter' WHEN regexp_matches(q, '{X.BROAD}') THEN 'broad' ELSE 'narrow' END AS breadth FROM q""")
 def query_breadth(spark, sf):
-    k = F.col("doc_id") % 3
-    q = F.when(k == 0, "summarise the whole chapter").when(k == 1, "explain everything about light").otherwise("what year was it")
-    breadth = F.when(q.rlike(r"(?i)\b(whole|entire|full)\s+(chapter|topic|lesson|unit)\b"), "chapter").when(q.rlike(r"(?i)\b(everything|overview|summari[sz]e|all about)\b"), "broad").otherwise("narrow")
-    return table(spark, sf, "documents").select("doc_id", breadth.alias("breadth"))
+    """How wide each turn asks."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.breadth(F.col("text")).alias("breadth"))
 
 
 @query("""WITH m AS (SELECT user_id, regr_slope(value, i) AS s FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) GROUP BY 1), e AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') / count(*) AS c, count(*) FILTER (event_type = 'click') / count(*) AS g FROM events GROUP BY 1),

@@ -6,24 +6,24 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import turns as Q
+from ..sources import docx as D
 from ..sources.tables import table
 from ._registry import query
 
-#: Prompts that stand in for learners' questions, one for each turn in a cycle.
-PROMPTS = ["Hello tutor", "Solve 3x = 9 step by step", "Explain photosynthesis in 3 sentences", "Name the planets", "give me two points, brief", "Why is the sky blue?", "You are repeating yourself", "42"]
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def _prompt(i):
-    return F.get(F.array(*[F.lit(p) for p in PROMPTS]), (i % len(PROMPTS)).cast("int"))
+_KINDS = " ".join(f"WHEN regexp_matches(q, {_quoted(p)}) THEN {_quoted(k)}" for k, p in Q.ANSWER_TYPES.items())
+_COUNT = rf"regexp_extract(q, {_quoted(Q.COUNT)}, 1)"
 
 
-_SQL_PROMPT = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PROMPTS) + f"][(turn + conv_id) % {len(PROMPTS)} + 1]"
-
-
-@query(rf"""WITH p AS (SELECT conv_id, turn, lower({_SQL_PROMPT}) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(q, '^\s*(hi|hello|hey)\b') THEN 'greeting' WHEN regexp_matches(q, '\b(bullet|points)\b') THEN 'bullet-points' WHEN regexp_matches(q, '\b(solve|calculate|step by step|steps)\b') THEN 'stepwise' WHEN regexp_matches(q, '\b(short|brief|briefly)\b') THEN 'brief' WHEN regexp_matches(q, '\b(name the|list the|which)\b') THEN 'factual' ELSE 'short-answer' END AS kind,
-cast(CASE WHEN contains(q, '3 sentences') THEN 3 WHEN contains(q, 'two points') THEN 2 END AS INTEGER) AS wanted, regexp_matches(q, 'you are repeating') AS complaint, regexp_matches(q, 'you are repeating') OR (contains(q, 'why') AND ends_with(q, '?')) AS non_answer FROM p""")
+@query(rf"""WITH p AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations), n AS (SELECT *, {_COUNT} AS w, regexp_matches(q, {_quoted(Q.COMPLAINT)}) AS complaint FROM p), v AS (SELECT *, CASE w {' '.join(f"WHEN '{k}' THEN {v}" for k, v in Q.NUMBER_WORDS.items())} ELSE try_cast(w AS INTEGER) END AS v FROM n)
+SELECT conv_id, turn, CASE {_KINDS} ELSE 'short-answer' END AS kind, cast(CASE WHEN v IS NOT NULL THEN least(10, v) END AS INTEGER) AS wanted, complaint,
+trim(q, ' ') = '' OR complaint OR (regexp_matches(q, {_quoted(Q.ASKS)}) AND ends_with(rtrim(q, ' '), '?')) AS non_answer FROM v""")
 def turn_rules(spark, sf):
-    q = _prompt(F.col("turn") + F.col("conv_id"))
+    """What each turn asks for, how much of it, and whether it complains or answers nothing."""
+    q = F.lower(F.coalesce("text", F.lit("")))
     return table(spark, sf, "conversations").select("conv_id", "turn", Q.answer_type(q).alias("kind"), Q.requested_count(q).cast("int").alias("wanted"), Q.is_complaint(q).alias("complaint"), Q.is_non_answer(q).alias("non_answer"))
 
 
@@ -36,19 +36,22 @@ def turn_scores(spark, sf):
     return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.score", "s.expect", F.size("s.bugs").alias("bugs"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), g AS (SELECT doc_id, i, line, sum(CASE WHEN length(line) < 25 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS page FROM l)
-SELECT doc_id, cast(page AS BIGINT) AS page, count(*) AS lines, cast(sum(length(line)) AS BIGINT) AS chars FROM g GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT *, length(line) < 25 AS h FROM l WHERE line <> ''),
+g AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM f), p AS (SELECT doc_id, part, max(line) FILTER (h) AS section, string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (NOT h) AS text FROM g GROUP BY 1, 2),
+w AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS page, section, text FROM p WHERE text IS NOT NULL UNION ALL SELECT doc_id, 0, NULL, string_agg(line, chr(10) || chr(10) ORDER BY i) FROM g GROUP BY doc_id HAVING bool_and(h))
+SELECT doc_id, page, section, length(text) AS chars, md5(text) AS digest FROM w""")
 def logical_pages(spark, sf):
-    """Lines grouped to pages that each begin at a heading, here a short line."""
-    l = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    page = F.sum(F.when(F.length("line") < 25, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
-    return l.withColumn("page", page).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """Texts cut to pages that each begin at a heading, here a short line."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("heading", F.length(F.trim("text")) < 25)
+    return D.logical_pages(lines, "doc_id", "i").select("doc_id", "page", "section", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query(r"""SELECT p_partkey, trim(p_name) AS title FROM part""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), a AS (SELECT *, regexp_replace(line, '^\s*(?:(?:[cC][hH][aA][pP][tT][eE][rR]|[uU][nN][iI][tT])\s+)?[0-9]+(?:\.[0-9]+)*[.):]?\s+', '') AS x FROM l)
+SELECT doc_id, cast(i - 1 AS INTEGER) AS i, trim(regexp_replace(regexp_replace(x, '(^|[\s.])[\s.]*[0-9]{1,4}\s*\z', ''), '\s+', ' ', 'g'), ' ') AS title FROM a WHERE regexp_matches(line, '[0-9]')""")
 def contents_titles(spark, sf):
-    raw = F.concat(F.lit("Chapter "), (F.col("p_partkey") % 40 + 1).cast("string"), F.lit(".  "), F.regexp_replace("p_name", " ", "   "), F.lit(" ...... "), (F.col("p_size") + 1).cast("string"))
-    return table(spark, sf, "part").select("p_partkey", Q.clean_title(raw).alias("title"))
+    """Lines with digits as lines of contents: numbers in front, dot leaders and page numbers taken off."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.col("line").rlike("[0-9]"))
+    return lines.select("doc_id", "i", Q.clean_title(F.col("line")).alias("title"))
 
 
 @query("""WITH r AS (SELECT 'by_size' AS parser, p_brand, p_partkey AS i, p_size AS page FROM part UNION ALL SELECT 'by_key', p_brand, p_partkey, p_partkey % 97 FROM part), s AS (SELECT *, page > lag(page) OVER (PARTITION BY p_brand, parser ORDER BY i) AS up FROM r), c AS (SELECT p_brand, parser, count(*) FILTER (up) AS score FROM s GROUP BY 1, 2)
