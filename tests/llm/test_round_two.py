@@ -1,6 +1,7 @@
 """Pages that are not clean, templated documents, whole license texts, targets out of reach, and hot keys."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,60 @@ def test_density_decides_on_lines_outside_an_article():
     assert LONG.strip() in kept and len(kept) < 14 and kept.count("a") < 12
 
 
+BROKEN = {
+    "a": "<a " * 350_000, "declarations": "<!" * 500_000, "ends": "</b>" * 250_000, "deep": "<div>" * 200_000, "values": "<a x='" * 170_000, "texts": "<" * 1_000_000,
+    "inside": "<article>" + "<div>" * 100_000 + "</b>" * 100_000, "tags": '<p class="x" ' * 90_000,
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_long_broken_pages_take_time_by_their_length(kind):
+    import time
+
+    began = time.process_time()
+    extraction.main_text(BROKEN[kind])
+    assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p title=it's>{LONG}</p><p>it's {LONG}</p></article>", f"{LONG.strip()}\nit's {LONG.strip()}"),
+    (f'<article><p class=x">{LONG}</p></article>', LONG.strip()),
+    (f"<article><p title='the hidden valley'>{LONG}1</p><p data-x='a hidden b'>{LONG}2</p><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p></article>", f"{LONG}1\n{LONG}2"),
+    (f"<article><p>{LONG}</p><section id='legal'><h2>Law</h2><p>{LONG}2</p></section></article>", f"{LONG.strip()}\nLaw\n{LONG}2"),
+    (f"<article><p>{LONG}</p></article><div id='legal'><p>{LONG}2</p></div>", LONG.strip()),
+    ("<p>a < b and 3 <4 or <> too</p>", "a < b and 3 <4 or <> too"),
+    ('<p title="never closed>text</p>', "text"),
+    ("<article><p>Short.</p><p><a href=x>all of it a link</a></p></article>", "Short.\nall of it a link"),
+    ("<article>" + "<div>" * 600 + LONG + "</div>" * 600 + f"<p>{LONG}2</p></article>", f"{LONG.strip()}\n{LONG}2"),
+])
+def test_attributes_quotes_and_parts_of_articles(page, want):
+    assert extraction.main_text(page) == want
+
+
+def test_surge_and_dive_find_the_text_of_real_pages_without_the_article():
+    """Without their article and main elements, pages are judged by density alone: on most of them it finds the text that
+    the elements mark, and on nearly all of them nearly all of it."""
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    same = near = 0
+    for html in pages:
+        with_it, without = (extraction.main_text(x).split("\n") for x in (html, re.sub(r"(?i)(</?)(article|main)(?=[\s>])", r"\1div", html)))
+        same += with_it == without
+        near += len(set(with_it) & set(without)) >= 0.9 * len(set(with_it) | set(without))
+    assert same >= 0.95 * len(pages) and near >= 0.98 * len(pages)
+
+
+def test_twin_rows_are_encoded_once(spark, tmp_path):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rows = [(None, "the same text")] * 500 + [(7, "another  text")] * 300 + [(i, f"own {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for more in (0, 0, 5):
+        every = docs.unionByName(spark.range(more).selectExpr("id AS doc_id", "concat('new ', id % 2) AS text"))
+        assert tokens.token_counts(every, path, str(tmp_path / "c")).count() == 820 + more
+        assert spark.read.parquet(str(tmp_path / "c")).count() == 22 + 2 * (more > 0)
+
+
 def test_templated_documents_are_not_compared_in_pairs(spark, tmp_path):
     rng = random.Random(8)
     paragraphs = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(16)]

@@ -2,10 +2,10 @@
 
 The markup is stripped to blocks, one line each, with every line's weight: nothing inside navigation, headers, footers,
 asides, forms, adverts, notices and comments, told by element or by a class, id or role that says nothing else; for the
-others the length of the text outside links, and in an article or main element a constant as well. Sums of the weights
-over sliding windows of lines show where text surges and where it dives; the lines from a surge to the dive after it are
-kept, links too, unless they are boilerplate. An article or main element that holds less than a third of the page's dense
-text is a teaser and gets no bonus. A class that names boilerplate among other things ("legal-history") decides only for
+others the length of the text outside links, or in an article or main element of all text. Sums of the weights over
+sliding windows of lines show where text surges and where it dives; the lines from a surge to the dive after it are kept,
+links too, unless they are boilerplate. Where an article or main element holds a third of the page's dense text or more,
+its lines alone count and less text makes a surge; with less it is a teaser like any other element. A class that names boilerplate among other things ("legal-history") decides only for
 lines that stand in thin text.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,38 +43,101 @@ NEUTRAL = {
 #: Words that make a "header" one of the article and not of the page.
 OWN = {"article", "entry", "post", "content", "story"}
 WINDOW = 3
-#: A window of lines needs this weight to count as text. Every line of an article gets as much.
-DENSE = 60
+#: A window of lines needs so many characters to count as text, outside links; in an article, where links are text too and
+#: short paragraphs stand together, so many.
+DENSE, DENSE_INSIDE = 60, 10
 #: An article element with less than this share of the page's dense text is not the page's article.
 SHARE = 1 / 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements nested deeper than this are read as if they were not there; browsers have such a limit as well.
+DEEPEST = 512
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=<][^\s/>=<]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s><]*")
+_SPEAKING = ("class", "id", "role", "aria-label")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTENT = {"article", "main"}
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 #: What an element says of its lines: text, text unless it is thin, or no text.
 _TEXT, _DOUBTFUL, _BOILERPLATE = 0, 1, 2
 
 
-def _standing(name: str, attributes: str, inside: bool) -> int:
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes of a tag from a place behind its name, whether it closes itself, and the place behind the tag.
+
+    A value is quoted only if a quote follows the equals sign; a quote elsewhere is a character like any other, and one
+    that is never closed is too. A tag that another one interrupts ends there, so no character is looked at twice.
+    """
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        if m is None:
+            break
+        at, value = m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            end = page.find(quote, at + 1) if quote in ("'", '"') else -1
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(m[1].lower(), value)
+    while at < len(page) and page[at] not in "<>":
+        at += 1
+    return found, page[at - 1 : at] == "/", at + (page[at : at + 1] == ">")
+
+
+def tags(page: str):
+    """(start, end, '' or '/' or '!', name, attributes, closes itself) of each tag, comment and declaration of a page."""
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "!", "", {}, False
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else len(page)
+            yield start, at, "!", "", {}, False
+        else:
+            slash = page[start + 1 : start + 2] == "/"
+            name = _NAME.match(page, start + 1 + slash)
+            if name is None:  # a character of the text
+                at = start + 1
+                continue
+            given, closed, at = _attributes(page, name.end())
+            jump = yield start, at, "/" if slash else "", name[0].lower(), given, closed
+            if jump is not None:
+                at = jump
+
+
+#: Marks that inside an article may head a part of it.
+PARTS = {"legal"}
+
+
+def _standing(name: str, given: dict[str, str], inside: bool) -> int:
     """Whether an element is boilerplate; inside: whether it stands in an article or main element."""
     if name in HIDDEN or (name == "header" and not inside):
         return _BOILERPLATE
-    if not attributes:
+    if not given:
         return _TEXT
-    if _HIDE.search(attributes):
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(given.get("style", "")):
         return _BOILERPLATE
     if name in ("main", "body", "html"):
         return _TEXT
     standing = _TEXT
-    for m in _MARKED.finditer(attributes):
-        for token in (m[1] or m[2] or m[3] or "").split():
+    for key in _SPEAKING:
+        for token in given.get(key, "").split():
             words = {w.lower() for w in _WORD.findall(token)}
             header = "header" in words and not inside and not words & OWN
+            if inside and words & MARKS and words & MARKS <= PARTS:
+                continue
             if header or (words & MARKS and words <= MARKS | NEUTRAL):
                 return _BOILERPLATE
             if words & MARKS and name not in _CONTENT:
@@ -95,6 +159,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # name, standing, article or main
+    opened: Counter[str] = Counter()
+    flat: Counter[str] = Counter()
     dead, doubtful, content, links, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
@@ -110,28 +176,37 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal dead, doubtful, content, links
         while len(stack) > i:
             name, standing, main = stack.pop()
+            opened[name] -= 1
             dead -= standing == _BOILERPLATE
             doubtful -= standing == _DOUBTFUL
             content -= main
             links -= name == "a"
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    reader, jump = tags(page), None
+    while True:
+        try:
+            start, end, kind, name, given, closed = reader.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if links:
                 linked.append(piece)
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        at = end
+        if kind == "!":
             continue
-        if name == "br" or (name == "wbr"):
+        if name in ("br", "wbr"):
             parts.append(" " if name == "br" else "")
             continue
         if name in BLOCKS or name in HIDDEN:
             flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+        if kind == "/":
+            if flat[name]:
+                flat[name] -= 1
+                continue
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     pop(i)
                     break
@@ -139,8 +214,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
                     break
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)  # what looks like markup inside is none
+            closing = _RAW_END[name].search(page, at)
+            at = jump = closing.end() if closing else len(page)  # what looks like markup inside is none
             continue
         if name in VOID:
             continue
@@ -163,9 +238,13 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
                 if x[0] == "head":
                     pop(i)
                     break
-        if (m[3] or "").endswith("/") and name not in BLOCKS:
+        if closed and name not in BLOCKS:
+            continue
+        if len(stack) >= DEEPEST:
+            flat[name] += 1
             continue
-        standing = _standing(name, m[3] or "", content > 0)
+        standing = _standing(name, given, content > 0)
+        opened[name] += 1
         stack.append((name, standing, name in _CONTENT and not dead and standing != _BOILERPLATE))
         dead += standing == _BOILERPLATE
         doubtful += standing == _DOUBTFUL
@@ -209,14 +288,15 @@ def main_text(page: str | None, window: int = WINDOW, dense: int = DENSE) -> str
     plain = [weight for _, weight, _, _ in lines]
     thick = [x for surge, dive in spans(plain, window, dense) for x in range(surge, dive)]
     own = sum(plain[x] for x in thick if lines[x][2])
-    bonus = any(main for _, _, main, _ in lines) and own >= SHARE * sum(plain[x] for x in thick)
+    inside = any(main for _, _, main, _ in lines) and own >= SHARE * sum(plain[x] for x in thick)
     # Thin text behind a doubtful class weighs nothing and is dropped; in thick text the class says nothing.
     solid = set(thick)
     weights = []
-    for i, (_, weight, main, standing) in enumerate(lines):
-        out = standing == _BOILERPLATE or (standing == _DOUBTFUL and (i not in solid or weight < dense // window))
-        weights.append(-1 if out else weight + dense if main and bonus else 0 if bonus else weight)
-    keep = [lines[x][0] for surge, dive in spans([max(w, 0) for w in weights], window, dense) for x in range(surge, dive) if weights[x] >= 0 and (lines[x][2] or not bonus)]
+    for i, (text, weight, main, standing) in enumerate(lines):
+        out = standing == _BOILERPLATE or (standing == _DOUBTFUL and (i not in solid or weight < dense // window)) or (inside and not main)
+        weights.append(-1 if out else len(text) if inside else weight)
+    runs = spans([max(w, 0) for w in weights], window, min(dense, DENSE_INSIDE) if inside else dense)
+    keep = [lines[x][0] for surge, dive in runs for x in range(surge, dive) if weights[x] >= 0]
     if not keep:  # a page of a few short lines has no dense ground
         keep = [lines[x][0] for x, w in enumerate(weights) if w > 0]
     return "\n".join(keep)
