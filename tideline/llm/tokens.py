@@ -98,22 +98,33 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, text_hash and content of each row, written to a scratch table, so that a text is digested once."""
+    """doc_id, n_bytes and content of each row, written to a scratch table, so that a text is digested once."""
     text = F.coalesce("text", F.lit(""))
-    return stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("text_hash"), content_digest(F.col("text")).alias("content")), "digests")
+    return stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content")), "digests")
 
 
-def add_misses(docs: DataFrame, known: DataFrame, cache: str, path: str) -> None:
-    """Encodes the distinct contents that the cache lacks and appends their counts; known are the digests of docs.
+#: Missing contents up to this number are broadcast to find their texts; beyond it all texts are grouped.
+FEW = 200_000
 
-    One row of each missing content is chosen by id and text hash; the text of that row is then encoded.
-    """
-    version = tokenizer_digest(path)
-    me = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_hash")
-    first = known.groupBy("content").agg(F.min(me).alias("me"))
-    misses = first.join(read_cache(docs.sparkSession, cache, version), "content", "left_anti").select("content", "me.*")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    chosen = rows.join(misses.hint("shuffle_hash"), ["id", "text_hash"])
+
+def add_misses(docs: DataFrame, known: DataFrame, cache: str, path: str) -> None:
+    """Encodes the distinct contents that the cache lacks, each once, and appends their counts; known are the digests of
+    docs. A text moves once, after equal ones in a task became one row, whatever the number of rows that have it; when the
+    cache lacks few, only their texts move."""
+    spark, version = docs.sparkSession, tokenizer_digest(path)
+    rows = docs.select(content_digest(F.col("text")).alias("content"), "text")
+    if _exists(spark, cache):
+        misses = stored(known.select("content").distinct().join(read_cache(spark, cache, version), "content", "left_anti"), "missing-digests")
+        n = misses.count()
+        if not n:
+            return
+        if n <= FEW:
+            rows = rows.join(F.broadcast(misses), "content", "left_semi")
+        texts = rows.groupBy("content").agg(F.first("text").alias("text"))
+        if n > FEW:
+            texts = texts.join(misses, "content", "left_semi")
+    else:
+        texts = rows.groupBy("content").agg(F.first("text").alias("text"))
 
     def count(batches):
         memo: dict[str, int] = {}
@@ -121,7 +132,7 @@ def add_misses(docs: DataFrame, known: DataFrame, cache: str, path: str) -> None
             n = count_texts(rb.column(0), path, memo)
             yield pa.RecordBatch.from_arrays([rb.column(1), pa.array([version] * len(n), pa.string()), pa.array(n)], names=["content", "tokenizer", "n_tokens"])
 
-    chosen.select("text", "content").mapInArrow(count, _CACHE).write.mode("append").parquet(cache)
+    texts.select("text", "content").mapInArrow(count, _CACHE).write.mode("append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) -> DataFrame:
@@ -129,8 +140,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
 
     A null text counts as empty: no bytes, no tokens. Ids may be null or repeated, and other columns are ignored. Whole
     texts are encoded, without added special tokens; the strings of special tokens inside a text count as the library
-    counts them. An empty table adds nothing to the cache. Equal texts under one id are added once each and then count
-    as one; a cache may be shared by runs and tokenizers, since its rows carry both digests.
+    counts them. An empty table adds nothing to the cache. Equal texts are encoded once, under whatever ids; a cache may be
+    shared by runs and tokenizers, since its rows carry both digests.
     """
     known = digests(docs)
     add_misses(docs, known, cache, path)
