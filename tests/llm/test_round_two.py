@@ -182,3 +182,34 @@ def test_equal_texts_and_ids_count_once_each(spark, tmp_path):
     rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (1, "c"), (2, "a b"), (None, None)]
     got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path, str(tmp_path / "c"))
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got.collect()) == [(0, 0, 0), (1, 1, 1), (1, 3, 2), (1, 3, 2), (1, 4, 2), (2, 3, 2)]
+
+
+def test_grants_and_texts_with_lost_words(spark):
+    body = licenses.TEXTS["mit-text"].split()
+    thinned = " ".join(w for i, w in enumerate(body) if i % 6 != 5)
+    rows = [(1, "It is Licensed under the Apache License, Version 2.0. More."), (2, "Licensed under CC BY-NC 4.0."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Released under the MIT License."), (5, "licensed under the GNU General Public License, version 4"), (6, thinned), (7, licenses.TEXTS["unlicense-text"]), (8, "They were released under the sea and licensed under a bridge"), (None, "licensed under the ISC license")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels = {k: r.labels.split(",") for k, r in got.items()}
+    assert labels[1] == ["apache", "apache-2.0-grant"] and labels[2] == ["cc-by", "cc-by-nc-4.0-grant"] and labels[3] == ["gpl", "gpl-3.0-grant"] and labels[4] == ["mit", "mit-release"]
+    assert labels[5] == ["gpl"] and labels[6] == ["mit-text"] and "mit-text" not in labels[7] and "unlicense-text" in labels[7] and labels[8] == [""] and labels[None] == ["isc-grant"]
+
+
+def test_votes_by_diagonal_against_plain_counting(spark):
+    """Exact templates stand wherever their words do, counted word by word; longer ones where enough of their runs do."""
+    rng = random.Random(5)
+    bits = [*licenses.PHRASES, *licenses.GRANTS.values(), "license", "the gnu", "licensed under", "mit", "x", "apache", "cc", "by"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices={}).collect()}
+    for i, text in rows:
+        words = text.split()
+        places = lambda phrase: [k for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        base = {p: places(p) for p in licenses.PHRASES}
+        own = sorted({licenses.PHRASES[p] for p, at in base.items() if at} | {name for name, line in licenses.GRANTS.items() if places(line)})
+        at = sorted(x for xs in base.values() for x in xs)
+        assert (got[i].labels, got[i].n_base, got[i].first_word, got[i].last_word) == (",".join(own), len(at), at[0] if at else None, at[-1] if at else None)
+
+
+def test_labels_of_the_table_are_more_than_the_base_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = licenses.scan(docs).where("labels <> ''")
+    assert found.where("labels <> base_labels").count() >= 200 and found.where("base_labels = ''").count() == 0

@@ -3,9 +3,9 @@
 Every run of k consecutive words of a document is hashed and joined to the positions of the same run in the license
 templates: runs of 2 words for short phrases, of K for notices and whole license texts. The join also compares the words
 themselves, so a hit is a verified run. A hit votes for the diagonal (position in the document less position in the
-template). A short phrase stands where a diagonal has all its votes. For longer templates, diagonals that lie close
+template). A short phrase or a line that grants a license stands where a diagonal has all its votes. For longer templates, diagonals that lie close
 together are merged, which lets words be missing or added in between, and the span is verified by the share of the
-template's runs that it holds and by their density.
+template's runs that it holds and by their density; a text of which much is lost counts as the template it has most of.
 
 A text is split once. Hashes that no template has are dropped before the rows leave their task, so only hits move, and
 the skinny table of documents with their hits is written and read again. The templates are a fixed list, so their table
@@ -45,9 +45,30 @@ NOTICES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense-notice": "this is free and unencumbered software released into the public domain",
 }
+#: Lines that grant a license, of four words or more; every word has to stand.
+GRANTS = {
+    "agpl-3.0-grant": "licensed under the gnu affero general public license version 3",
+    "apache-2.0-grant": "licensed under the apache license version 2 0",
+    "bsd-2-clause-grant": "licensed under the bsd 2 clause license",
+    "bsd-3-clause-grant": "licensed under the bsd 3 clause license",
+    "cc-by-4.0-grant": "licensed under cc by 4 0",
+    "cc-by-nc-4.0-grant": "licensed under cc by nc 4 0",
+    "cc-by-nc-sa-4.0-grant": "licensed under cc by nc sa 4 0",
+    "cc-by-sa-4.0-grant": "licensed under cc by sa 4 0",
+    "gpl-2.0-grant": "licensed under the gnu general public license version 2",
+    "gpl-3.0-grant": "licensed under the gnu general public license version 3",
+    "isc-grant": "licensed under the isc license",
+    "lgpl-3.0-grant": "licensed under the gnu lesser general public license version 3",
+    "mit-grant": "licensed under the mit license",
+    "mit-release": "released under the mit license",
+    "mpl-2.0-grant": "licensed under the mozilla public license version 2 0",
+    "public-domain-grant": "released into the public domain",
+}
 #: Diagonals at most this far apart are merged; a notice needs this share of its pairs within twice its length.
 DRIFT = 3
 SHARE = 0.6
+#: A notice or text with less than that, but this share of its runs, counts where no other template has more runs.
+LEAST_SHARE = 0.3
 
 #: Notices and whole texts.
 TEMPLATES = NOTICES | TEXTS
@@ -66,16 +87,18 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(template, label, is_phrase, k, width, tpos, gram, h): every run of words of every template; h hashes the words' hashes."""
+def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str], grants: dict[str, str]) -> DataFrame:
+    """(template, label, is_phrase, exact, k, width, tpos, gram, h): every run of words of every template; h hashes the
+    words' hashes. Phrases and grants are exact: all their runs have to stand on one diagonal."""
     rows = []
-    for base, k, source in ((True, PAIR, phrases.items()), (False, K, ((text, label) for label, text in notices.items()))):
+    named = lambda table: ((text, label) for label, text in table.items())
+    for base, exact, k, source in ((True, True, PAIR, phrases.items()), (False, True, K, named(grants)), (False, False, K, named(notices))):
         for text, label in source:
             words = [w for w in re.split(_BREAK, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
             if len(words) < k:
                 raise ValueError(f"a template needs {k} words at least: {text!r}")
-            rows += [(label if not base else text, label, base, k, len(words), i, words[i : i + k]) for i in range(len(words) - k + 1)]
-    schema = "template string, label string, is_phrase boolean, k int, width int, tpos int, run array<string>"
+            rows += [(label if not base else text, label, base, exact, k, len(words), i, words[i : i + k]) for i in range(len(words) - k + 1)]
+    schema = "template string, label string, is_phrase boolean, exact boolean, k int, width int, tpos int, run array<string>"
     run = lambda k: F.xxhash64(*[F.xxhash64(F.get("run", F.lit(j))) for j in range(k)])
     table = spark.createDataFrame(rows, schema).withColumn("h", F.when(F.col("k") == PAIR, run(PAIR)).otherwise(run(K)))
     return table.withColumn("gram", F.array_join("run", " ")).drop("run")
@@ -102,13 +125,13 @@ def spans(rows: DataFrame, table: DataFrame) -> DataFrame:
     Rows with equal id and text give one set of spans. score is the share of the template's runs that were found.
     """
     grams = rows.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode("hits").alias("x")).select("doc_id", "text_hash", "x.*")
-    hits = grams.join(F.broadcast(table), ["k", "h", "gram"]).select("doc_id", "text_hash", "template", "label", "is_phrase", "k", "width", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
-    key = ["doc_id", "text_hash", "template", "label", "is_phrase", "k", "width"]
+    hits = grams.join(F.broadcast(table), ["k", "h", "gram"]).select("doc_id", "text_hash", "template", "label", "is_phrase", "exact", "k", "width", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
+    key = ["doc_id", "text_hash", "template", "label", "is_phrase", "exact", "k", "width"]
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("tpos").alias("seen")).withColumn("votes", F.size("seen"))
-    base = votes.where(F.col("is_phrase") & (F.col("votes") == F.col("width") - (PAIR - 1)))
+    base = votes.where(F.col("exact") & (F.col("votes") == F.col("width") - (F.col("k") - 1)))
     base = base.select("doc_id", "text_hash", "label", "is_phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("width")).alias("end"), F.lit(1.0).alias("score"))
     # A lone run of common words is no evidence: a diagonal takes part once two of its runs agree.
-    near = votes.where(~F.col("is_phrase") & (F.col("votes") >= 2))
+    near = votes.where(~F.col("exact") & (F.col("votes") >= 2))
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     run = near.withColumn("gap", (F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT).withColumn("run", F.sum(F.coalesce(F.col("gap").cast("int"), F.lit(0))).over(order))
     merged = run.groupBy(*key, "run").agg(
@@ -117,18 +140,21 @@ def spans(rows: DataFrame, table: DataFrame) -> DataFrame:
         F.max(F.col("diagonal") + F.array_max("seen") + K).alias("end"),
     )
     share = F.size("seen") / (F.col("width") - (K - 1))
-    long = merged.withColumn("score", share).where((F.col("score") >= SHARE) & (F.col("end") - F.col("start") <= 2 * F.col("width")))
-    return base.unionByName(long.select(*base.columns))
+    long = merged.withColumn("score", share).withColumn("found", F.size("seen")).where((F.col("score") >= LEAST_SHARE) & (F.col("end") - F.col("start") <= 2 * F.col("width")))
+    other = long.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "start", "end", "found")])
+    above = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("_start") < F.col("end")) & (F.col("start") < F.col("_end")) & (F.col("_found") > F.col("found"))
+    weak = long.where(F.col("score") < SHARE).join(other, above, "left_anti")
+    return base.unionByName(long.where(F.col("score") >= SHARE).select(*base.columns)).unionByName(weak.select(*base.columns))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, grants: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score, a row for each row of docs.
 
     A null or empty text has no words and no labels (empty strings). Null ids form rows of their own; rows with equal
     id and text get equal results. Columns other than doc_id and text are ignored. score is the best share of a
     template found, 0 without labels.
     """
-    table = templates(docs.sparkSession, PHRASES if phrases is None else phrases, TEMPLATES if notices is None else notices)
+    table = templates(docs.sparkSession, PHRASES if phrases is None else phrases, TEMPLATES if notices is None else notices, GRANTS if grants is None else grants)
     rows = scanned(docs, table)
     found = spans(rows, table)
     base = lambda value: F.when(F.col("is_phrase"), value)
