@@ -213,3 +213,20 @@ def test_labels_of_the_table_are_more_than_the_base_ones(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = licenses.scan(docs).where("labels <> ''")
     assert found.where("labels <> base_labels").count() >= 200 and found.where("base_labels = ''").count() == 0
+
+
+def test_each_word_is_encoded_once_in_its_range(spark, monkeypatch):
+    from tideline.llm import bpe
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(40))) for i in range(60)] + [(99, None)], "doc_id int, text string").repartition(3)
+    assert bpe.word_ranges(docs, 2) == 2
+    plain = sorted(map(tuple, bpe.round_trip(docs, path).collect()))
+    monkeypatch.setattr(bpe, "RANGE_WORDS", 10)
+    assert 7 <= bpe.word_ranges(docs, 2) <= 12
+    assert sorted(map(tuple, bpe.round_trip(docs, path).collect())) == plain
+    given, encode = [], bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda words, p: given.extend(words) or encode(words, p))
+    asked = bpe._ask(1)(docs.select("doc_id", "text").toArrow().to_batches())
+    list(bpe._answer(path)(iter([*asked, *bpe._ask(1)(docs.toArrow().to_batches())])))
+    assert len(given) == len(set(given)) == 90 + ("" in given)

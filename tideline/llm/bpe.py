@@ -13,12 +13,12 @@ when it is read twice, as files do; store the result of a computation first.
 from __future__ import annotations
 
 import hashlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import _RANDOM, bounded, id_hashes, release, sequence_hash, span_hashes
 from .tokens import distinct_words, encode, tokenizer
@@ -27,8 +27,8 @@ from .tokens import distinct_words, encode, tokenizer
 BLOCK = 6 << 20
 SLICE = 1 << 18
 _CODEC = pa.Codec("zstd", 1)
-#: A range's task remembers so many words at most; what a range has beyond is encoded whenever a block asks for it.
-REMEMBERED = 250_000
+#: Distinct words of a range of the hash space, about; their ids are all held while it answers.
+RANGE_WORDS = 250_000
 
 
 def _zip(b: bytes) -> bytes:
@@ -135,8 +135,8 @@ def _answer(path: str):
                 words = _unzip(blob.as_py()).decode().split("\n")
                 new = [w for w in words if w not in memo]
                 fresh = dict(zip(new, (np.array(x, "<u4").tobytes() for x in encode(new, path)), strict=True))
-                found = [memo.get(w) or fresh.get(w, b"") for w in words]
-                memo.update(islice(fresh.items(), max(0, REMEMBERED - len(memo))))
+                memo |= fresh
+                found = [memo[w] for w in words]
                 lengths.append(_planes(np.array([len(x) // 4 for x in found], np.uint32)))
                 ids.append(_planes(np.frombuffer(b"".join(found), "<u4")))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["block", "part", "lengths", "ids"])
@@ -212,6 +212,14 @@ def _positions(path: str, full: bool):
     return run
 
 
+def word_ranges(docs: DataFrame, least: int) -> int:
+    """Ranges of the hash space for the words of docs: so many that each has RANGE_WORDS distinct words, about, and least
+    at least. So a range can hold all its words and encodes each of them once, whatever the size of the input."""
+    words = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))
+    n = docs.select(words.alias("w")).agg(F.approx_count_distinct("w").alias("n")).first()["n"]
+    return max(least, -(-n // RANGE_WORDS))
+
+
 def round_trip(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and with full also ids and decoded), a row for each row of docs.
 
@@ -223,7 +231,7 @@ def round_trip(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
         raise ValueError("decoding joins pieces by spaces; this tokenizer has a decoder of its own")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = word_ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.mapInArrow(_ask(ranges), "block long, part int, n long, words binary")
     answers = asked.repartition(ranges, "part").mapInArrow(_answer(path), "block long, part int, lengths binary, ids binary")
