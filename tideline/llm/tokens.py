@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, spread_join, stored
+from ._common import bounded, scratch, spread_join, stored
 
 LIMIT = 2048
 #: A worker remembers the counts of so many words at most.
@@ -128,7 +128,7 @@ def add_misses(docs: DataFrame, known: DataFrame, cache: str, path: str) -> None
 
     def count(batches):
         memo: dict[str, int] = {}
-        for rb in batches:
+        for rb in bounded(batches):
             n = count_texts(rb.column(0), path, memo)
             yield pa.RecordBatch.from_arrays([rb.column(1), pa.array([version] * len(n), pa.string()), pa.array(n)], names=["content", "tokenizer", "n_tokens"])
 
