@@ -193,3 +193,76 @@ def test_turns_of_a_thousand_queries_of_one_label(spark, items):
 
 def test_nobody_asks(spark):
     assert A.in_turn(spark.createDataFrame([], "label int, query int, id int, rank int")).count() == 0
+
+
+# The nearest of a partition
+
+
+@pytest.mark.parametrize("block", [7, 20_000])
+def test_nearest_vectors_by_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    from tideline.operators import retrieval as V
+
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(120, 4)), 1)
+    v[5] = 0
+    v[60:70] = v[50:60]  # ties
+    labels = [int(x) for x in rng.integers(0, 3, 120)]
+    rows = [(i, v[i].tolist(), labels[i]) for i in range(120)]
+    vectors = spark.createDataFrame([(i, x, c) for i, x, c in rows], "id int, vector array<double>, label int")
+    queries = spark.createDataFrame([(1000 + i, x, c) for i, x, c in rows if i % 9 == 5] + [(2000, [1.0, 0.0, 0.0, 0.0], 77)], "query int, vector array<double>, label int")
+    unit = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1)
+    want = []
+    for i, _, c in rows:
+        if i % 9 == 5:
+            ranked = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j in range(120) if labels[j] == c)[:6]
+            want += [(1000 + i, j, r + 1) for r, (_, j) in enumerate(ranked)]
+    found = V.topk_filtered(queries, vectors, "label", 6)
+    assert sorted((r.query, r.id, r["rank"]) for r in found.collect()) == sorted(want)
+    assert V.topk_filtered(queries, vectors.where("false"), "label", 6).count() == 0
+
+
+# Folds that look at what matters only
+
+
+def test_quiz_answers_fold_as_one_by_one(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(80):
+        outcome, wrong, done, revealed = None, 0, False, False
+        for i in range(rng.randint(1, 6)):
+            g = rng.choice(["CORRECT", "PARTIAL", "INCORRECT", "INCORRECT", "NOT_AN_ANSWER", "NOT_AN_ANSWER"])
+            rows.append((k, i, g))
+            if not done and g != "NOT_AN_ANSWER":
+                outcome, wrong = g, wrong + (g == "INCORRECT")
+                revealed = wrong >= 2
+                done = g != "INCORRECT" or revealed
+        want[k] = (outcome, wrong, revealed, 1.0 if outcome == "CORRECT" else 0.5 if outcome == "PARTIAL" and not revealed else 0.0)
+    from tideline.functions import structure as X
+
+    got = X.quiz_fold(spark.createDataFrame(rows, "k int, i int, g string"), ["k"], ["i"], "g").collect()
+    assert {r.k: (r.outcome, r.attempts, r.revealed, r.points) for r in got} == want
+
+
+def test_alerts_fold_as_one_by_one(spark):
+    import datetime as dt
+
+    from tideline.streaming import alerts
+
+    rng, start = random.Random(9), dt.datetime(2024, 1, 1)
+    rows, want = [], {}
+    for k in range(40):
+        state, last, sent, resolved, t = "ok", None, 0, 0, 0
+        for i in range(rng.randint(1, 15)):
+            t += rng.choice([0, 1, 5, 20])
+            hit = rng.random() < 0.7
+            rows.append((k, start + dt.timedelta(minutes=t), i, hit))
+            if hit and (state == "ok" or t - last >= 15):
+                last, sent = t, sent + 1
+            resolved += not hit and state == "firing"
+            state = "firing" if hit else "ok"
+        want[k] = (state, last, sent, resolved)
+    got = alerts.fold_alerts(spark.createDataFrame(rows, "k int, ts timestamp, id int, hit boolean"), ["k"], ["ts", "id"], "hit", 900).collect()
+    assert {r.k: (r.state, r.last_notified and (r.last_notified - start).seconds // 60, r.sent, r.resolved) for r in got} == want

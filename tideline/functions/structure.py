@@ -115,15 +115,18 @@ def offset_consensus(keys: DataFrame, margins: DataFrame, contents: DataFrame, k
 def quiz_fold(answers: DataFrame, keys: list[str], order: list[str], grade: str) -> DataFrame:
     """keys, outcome, attempts, revealed and points of each question: a correct or partial answer ends it, a second
     wrong one reveals it, what is no answer changes nothing."""
-    steps = F.transform(F.sort_array(F.collect_list(F.struct(*order, grade))), lambda x: x[grade])
-    start = F.struct(F.lit(None).cast("string").alias("outcome"), F.lit(0).alias("attempts"), F.lit(False).alias("done"), F.lit(False).alias("revealed"))
-
-    def step(a, g):
-        wrong = a["attempts"] + F.when(g == "INCORRECT", 1).otherwise(0)
-        out = (g == "INCORRECT") & (wrong >= 2)
-        moved = F.struct(g.alias("outcome"), wrong.alias("attempts"), (g.isin("CORRECT", "PARTIAL") | out).alias("done"), out.alias("revealed"))
-        return F.when(a["done"] | (g == "NOT_AN_ANSWER"), a).otherwise(moved)
-
-    f = answers.groupBy(*keys).agg(F.aggregate(steps, start, step).alias("a"))
+    # The first answer ends the question or is wrong, and the second one ends it: later ones, and what is no answer, are not
+    # looked at. A key without an answer keeps a row.
+    is_answer = F.col(grade) != "NOT_AN_ANSWER"
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce(is_answer, F.lit(False)).desc(), *order))
+    two = answers.withColumn("_nth", nth).where("_nth <= 2").groupBy(*keys).agg(*[F.max(F.when((F.col("_nth") == i) & is_answer, F.col(grade))).alias(f"_g{i}") for i in (1, 2)])
+    wrong = lambda c: F.coalesce(F.col(c) == "INCORRECT", F.lit(False))
+    second = wrong("_g1") & F.col("_g2").isNotNull()
+    state = F.struct(
+        F.when(second, F.col("_g2")).otherwise(F.col("_g1")).alias("outcome"),
+        (wrong("_g1").cast("int") + (second & wrong("_g2")).cast("int")).alias("attempts"),
+        (second & wrong("_g2")).alias("revealed"),
+    )
+    f = two.select(*keys, state.alias("a"))
     points = F.when(F.col("a.outcome") == "CORRECT", 1.0).when((F.col("a.outcome") == "PARTIAL") & ~F.col("a.revealed"), 0.5).otherwise(0.0)
     return f.select(*keys, "a.outcome", "a.attempts", "a.revealed", points.alias("points"))

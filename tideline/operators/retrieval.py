@@ -26,14 +26,54 @@ def normalised(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+#: Rows of prototypes, samples or block counts that are carried to every row, at most.
+CARRIED = 10_000
+#: Vectors of one block, and queries that are compared with a block at once.
+BLOCK, AT_ONCE = 20_000, 256
+#: Scores are rounded to six places; what is as near to the last kept one may still come before it.
+_SLACK = 3e-6
+
+
+def _best_of_block(k: int):
+    """For the queries of a partition and one block of its vectors: the pairs that may be among a query's k best."""
+
+    def matrix(column) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        v = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
+        return v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1.0)
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found_q, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if queries.num_rows and vectors.num_rows:
+            v = matrix(vectors.column("_v"))
+            for lo in range(0, queries.num_rows, AT_ONCE):
+                scores = matrix(queries.column("_asked").slice(lo, AT_ONCE)) @ v.T
+                last = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+                q, at = np.nonzero(scores >= last[:, None] - _SLACK)
+                found_q.append(q + lo)
+                found_v.append(at)
+        return pa.table({"query": queries.column("_query").take(pa.array(np.concatenate(found_q))), "id": vectors.column("_id").take(pa.array(np.concatenate(found_v)))})
+
+    return run
+
+
 def topk_filtered(queries: DataFrame, vectors: DataFrame, partition: str, k: int) -> DataFrame:
     """(query, id, score, rank): the k vectors of the query's own partition with the greatest cosine.
 
-    queries: query, vector and the partition; vectors: id, vector and the partition. The filter is the join key, so a
-    query never meets another partition's vectors, and a window group limit drops all but k rows before the sort.
+    queries: query, vector and the partition; vectors: id, vector and the partition; vectors of one length and not null.
+    The filter is the key, so a query never meets another partition's vectors. A partition's vectors are cut to blocks by
+    their ids; each block multiplies its matrix with the queries' and lets some k vectors of a query pass, so what leaves
+    a block does not grow with it. Only these are scored and ranked as rows.
     """
-    v = vectors.select(partition, "id", F.col("vector").alias("_v"))
-    scored = queries.join(v, partition).select("query", "id", F.bround(cosine(F.col("vector"), F.col("_v")), 6).alias("score"))
+    sizes = vectors.groupBy(partition).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK)))).alias("_blocks"))
+    v = vectors.select(partition, "id", "vector").join(F.broadcast(sizes) if sizes.limit(CARRIED + 1).count() <= CARRIED else sizes, partition)
+    v = v.select(F.col(partition).alias("_part"), F.pmod(F.xxhash64("id"), "_blocks").alias("_at"), F.col("id").alias("_id"), F.col("vector").alias("_v"))
+    q = queries.select("query", "vector", partition)
+    asked = q.join(sizes, partition).select(F.col(partition).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), F.col("query").alias("_query"), F.col("vector").alias("_asked"))
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
+    near = asked.groupBy("_key", "_block").cogroup(v.groupBy("_part", "_at")).applyInArrow(_best_of_block(k), f"query {kinds[0]}, id {kinds[1]}")
+    pairs = near.join(q.select("query", "vector", partition), "query").join(vectors.select(partition, "id", F.col("vector").alias("_v")), ["id", partition])
+    scored = pairs.select("query", "id", F.bround(cosine(F.col("vector"), F.col("_v")), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -79,10 +119,6 @@ def diverse(hits: DataFrame, n: int, weight: float = 0.7) -> DataFrame:
     return hits.groupBy("query").applyInArrow(choose, schema)
 
 
-#: Prototypes or sample vectors that are carried to every row, at most.
-CARRIED = 10_000
-
-
 def prototypes(vectors: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
     """(id, label, score): the label whose mean direction is nearest, null below `least`. There are as many prototypes
     as labels; more than CARRIED are an error, since they are broadcast."""
