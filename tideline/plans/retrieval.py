@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import retrieval as V
 from ..operators import windows as W
+from ..sources.scratch import scratch_path
 from ..sources.tables import table
 from ._registry import query
 
@@ -125,3 +126,18 @@ SELECT conv_id, turn, round_even(greatest(0.0, least(1.0, 0.25 * g + 0.25 + 0.2
 def tutor_score(spark, sf):
     p = table(spark, sf, "conversations").withColumn("ctx", F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
     return p.select("conv_id", "turn", F.bround(E.tutor_score(F.col("text"), F.col("ctx")), 6).alias("score"))
+
+
+@query("""SELECT label, count(*) AS vectors, cast(sum(vec_id) AS BIGINT) AS ids, round_even(sum(list_sum(list_transform(embedding, lambda x: cast(x AS DOUBLE)))), 4) AS total, cast(0 AS BIGINT) AS lost FROM embeddings GROUP BY 1""")
+def vector_migration(spark, sf):
+    """All vectors moved to another format, a part for each label, with what each part holds and what it has lost."""
+    path = scratch_path(spark, "vectors")
+    source = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    source.write.partitionBy("label").orc(path)
+    moved = spark.read.schema(source.schema).orc(path)
+    digest = F.xxhash64("embedding")
+    have = moved.select("vec_id", digest.alias("moved"))
+    checked = source.select("vec_id", "label", "embedding", digest.alias("own")).join(have, "vec_id", "left")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    lost = F.sum((F.col("moved").isNull() | (F.col("moved") != F.col("own"))).cast("long"))
+    return checked.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.sum("vec_id").alias("ids"), F.bround(F.sum(total), 4).alias("total"), lost.alias("lost"))

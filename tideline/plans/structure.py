@@ -9,6 +9,7 @@ from ..functions import structure as X
 from ..functions import text as T
 from ..operators import relational as R
 from ..operators import windows as W
+from ..sources.scratch import scratch_path
 from ..sources.tables import table
 from ._registry import query
 
@@ -232,13 +233,31 @@ def required_subset(spark, sf):
     return t.select("l_orderkey", (F.size(lacking) == 0).alias("covers"), F.array_join(lacking, ",").alias("lacking"))
 
 
-@query("""WITH c AS (SELECT event_type AS phase, CASE WHEN value > 100 THEN 'FAIL' WHEN value > 40 THEN 'WARN' ELSE 'PASS' END AS status, value FROM events) SELECT phase, ['PASS', 'WARN', 'FAIL'][max(CASE status WHEN 'FAIL' THEN 3 WHEN 'WARN' THEN 2 ELSE 1 END)] AS status, count(*) FILTER (status = 'PASS') AS passed, count(*) AS checks, round_even(sum(value), 2) AS ms FROM c GROUP BY 1""")
+_PHASES = """WITH c AS (SELECT event_type AS phase, CASE WHEN value > 100 THEN 'FAIL' WHEN value > 40 THEN 'WARN' ELSE 'PASS' END AS status, value FROM events) SELECT phase, ['PASS', 'WARN', 'FAIL'][max(CASE status WHEN 'FAIL' THEN 3 WHEN 'WARN' THEN 2 ELSE 1 END)] AS status, count(*) FILTER (status = 'PASS') AS passed, count(*) AS checks, round_even(sum(value), 2) AS ms FROM c GROUP BY 1"""
+
+
+@query(_PHASES)
 def phase_report(spark, sf):
     rank = F.when(F.col("value") > 100, 3).when(F.col("value") > 40, 2).otherwise(1)
     g = table(spark, sf, "events").withColumn("s", rank).groupBy(F.col("event_type").alias("phase")).agg(F.max("s").alias("s"), F.count_if(F.col("s") == 1).alias("passed"), F.count(F.lit(1)).alias("checks"), F.bround(F.sum("value"), 2).alias("ms"))
     return g.select("phase", F.get(F.array(*[F.lit(x) for x in ("PASS", "WARN", "FAIL")]), F.col("s") - 1).alias("status"), "passed", "checks", "ms")
 
 
+@query(_PHASES)
+def report_sink(spark, sf):
+    """The report written as JSON lines and as one Markdown table, and read back from the latter."""
+    path = scratch_path(spark, "report")
+    report = phase_report(spark, sf)
+    report.write.json(f"{path}/json")
+    cells = ["phase", "status", "passed", "checks", "ms"]
+    line = lambda xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
+    stored = spark.read.schema(report.schema).json(f"{path}/json")
+    stored.select(line([F.col(c).cast("string") for c in cells])).write.text(f"{path}/md")
+    parts = F.split(F.regexp_replace("value", r"^\| | \|$", ""), r" \| ")
+    kinds = dict(report.dtypes)
+    return spark.read.text(f"{path}/md").select(*[F.get(parts, F.lit(i)).cast(kinds[c]).alias(c) for i, c in enumerate(cells)])
+
+
 @query("""WITH s AS (SELECT c_nationkey, c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN orders ON o_custkey = c_custkey) SELECT c_nationkey AS class_id, count(DISTINCT c_custkey) AS students, count(o_orderkey) AS chapters, count(*) FILTER (o_orderstatus = 'F') AS completed, CASE WHEN count(o_orderkey) > 0 AND count(*) FILTER (o_orderstatus = 'F') = count(o_orderkey) THEN 'complete' ELSE 'open' END AS status FROM s GROUP BY 1""")
 def parent_child_counts(spark, sf):
     s = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
