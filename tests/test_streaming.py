@@ -11,7 +11,7 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def at(minute, second=0):
-    return dt.datetime(2024, 1, 1, 10 + minute // 60, minute % 60, second)
+    return dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=minute, seconds=second)
 
 
 def write(spark, path, rows):
@@ -42,15 +42,33 @@ def test_late_rows_are_left_out(spark, tmp_path):
 
 def test_mastery_survives_a_restart(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    days = {}
 
     def run():
         rows = stream(spark, source).withColumn("concept", F.lit(1)).select("event_id", "ts", "user_id", "event_type", "concept")
-        return {r.user_id: (round(r.mastery, 6), r.evidence) for r in collected(S.mastery(rows), "update", state)}
+        for r in collected(S.mastery_days(rows, "2 days"), "update", state):
+            days[r.user_id, r.day] = r  # a later batch replaces an earlier one
+        frame = spark.createDataFrame(list(days.values()), "user_id long, concept int, day timestamp, sum struct<low: double, high: double, shift: double>, n int")
+        return {r.user_id: (round(r.mastery, 6), r.evidence) for r in S.mastery(frame).collect()}
 
     write(spark, source, [(i, at(i), 7, "purchase", 1) for i in range(4)])
     assert run() == {7: (1.0, 4)}
     write(spark, source, [(9, at(20), 7, "error", 1)])
     assert run() == {7: (0.88, 5)}
+    # An event that comes late counts where it belongs: before the last error, at a mastery of one already.
+    write(spark, source, [(10, at(10), 7, "purchase", 1), (11, at(24 * 60 + 5), 7, "error", 1)])
+    assert run() == {7: (0.76, 7)}
+
+
+def test_closed_days_leave_no_state(spark, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    days = lambda: S.mastery_days(stream(spark, source).withColumn("concept", F.lit(1)), "1 hour")
+    write(spark, source, [(1, at(0), 7, "purchase", 1)])
+    collected(days(), "update", state)
+    write(spark, source, [(2, at(3 * 24 * 60), 7, "purchase", 1)])
+    collected(days(), "update", state)
+    write(spark, source, [(3, at(1), 7, "error", 1), (4, at(3 * 24 * 60 + 1), 7, "error", 1)])  # the first is too late
+    assert [(r.day.day, r.n) for r in collected(days(), "update", state)] == [(4, 2)]
 
 
 def test_alerts_fire_cool_down_and_resolve(spark):

@@ -33,9 +33,10 @@ def stream_sliding_day(spark, sf):
 
 @query(f"WITH RECURSIVE {_MASTERY} SELECT user_id, concept, round_even(mastery, 6) AS mastery, cast(evidence AS INTEGER) AS evidence FROM mastery")
 def stream_mastery(spark, sf):
-    events = S.events_stream(spark, sf).withColumn("concept", F.get_json_object("props", "$.k").cast("int") % 10)
-    out = S.drained(S.mastery(events.select("event_id", "ts", "user_id", "event_type", "concept")), "update", scratch_path(spark, "stream"), _newest(["user_id", "concept"]))
-    return out.withColumn("mastery", F.bround("mastery", 6))
+    """The clamped fold as a stream: days are kept as state until they close, and merge where the table is read."""
+    events = S.events_stream(spark, sf, None).withColumn("concept", F.get_json_object("props", "$.k").cast("int") % 10)
+    days = S.drained(S.mastery_days(events.select("event_id", "ts", "user_id", "event_type", "concept"), "1 day"), "update", scratch_path(spark, "stream"), _newest(["user_id", "concept", "day"]))
+    return S.mastery(days).withColumn("mastery", F.bround("mastery", 6))
 
 
 @query("""WITH e AS (SELECT 'u' || cast(user_id AS VARCHAR) AS fingerprint, ts, event_type = 'purchase' AS resolved FROM events WHERE event_type IN ('error', 'purchase')), h AS (SELECT fingerprint, ts FROM e WHERE NOT resolved),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.learning import EVENT_EVIDENCE, EVIDENCE
+from ..functions.learning import applied, clamped_sum, evidence_weight, merged_sums
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = 1) -> DataFrame:
@@ -52,19 +52,24 @@ def routed(events: DataFrame, rooms: list) -> DataFrame:
     return events.withColumn("room", F.explode(F.array_distinct(F.array_compact(F.array(*rooms)))))
 
 
-def mastery(stream: DataFrame) -> DataFrame:
-    """user_id, concept, mastery and evidence after each batch: the clamped fold, kept as state for each key."""
-    weight = {e: EVIDENCE[k] for e, k in EVENT_EVIDENCE.items()}
+def mastery_days(stream: DataFrame, lateness: str) -> DataFrame:
+    """user_id, concept, day, sum and n: each day's evidence folded by itself, as L.clamped_sum().
 
-    def fold(key, frames, state):
-        m, n = state.get if state.exists else (0.5, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind in rows.event_type:
-            m, n = max(0.0, min(1.0, m + weight.get(kind, 0.0))), n + 1
-        state.update((m, n))
-        yield pd.DataFrame({"user_id": [key[0]], "concept": [key[1]], "mastery": [m], "evidence": [n]})
-
-    return stream.groupBy("user_id", "concept").applyInPandasWithState(fold, "user_id long, concept int, mastery double, evidence int", "m double, n int", "update", "NoTimeout")
+    The state is the evidence of days that may still change; a day is folded in the order of its events, whatever the
+    order of arrival, and its state is dropped once the watermark has passed it. In update mode a later row of a day
+    replaces the ones before.
+    """
+    rows = stream.withWatermark("ts", lateness).withColumn("w", evidence_weight(F.col("event_type")))
+    days = rows.groupBy(F.window("ts", "1 day").alias("_day"), "user_id", "concept").agg(F.collect_list(F.struct("ts", "event_id", "w")).alias("_x"))
+    weights = F.transform(F.sort_array("_x"), lambda x: x["w"])
+    return days.select("user_id", "concept", F.col("_day.start").alias("day"), clamped_sum(weights).alias("sum"), F.size("_x").alias("n"))
+
+
+def mastery(days: DataFrame) -> DataFrame:
+    """user_id, concept, mastery and evidence from a row for each day: the days' folds merged in their order."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("day", "sum"))), lambda x: x["sum"])
+    g = days.groupBy("user_id", "concept").agg(merged_sums(ordered).alias("_total"), F.sum("n").cast("int").alias("evidence"))
+    return g.select("user_id", "concept", applied(F.col("_total")).alias("mastery"), "evidence")
 
 
 def issues(stream: DataFrame) -> DataFrame:
