@@ -128,7 +128,10 @@ def turn_pairs(spark, sf):
     return splitting.turn_pairs(table(spark, sf, "conversations"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''),
+n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT conv_id, turn, text AS question, CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS answer FROM n WHERE role = 'user' AND (next_role = 'assistant' OR next_role IS NULL)),
+l AS (SELECT conv_id, turn, left(question, 80) AS topic, CASE WHEN answer <> '' THEN 'Student: ' || left(question, 120) || '. Tutor: ' || left(answer, 160) ELSE 'Student asked: ' || left(question, 120) END AS line FROM p)
+SELECT conv_id, right(string_agg(line, chr(10) ORDER BY turn), 1200) AS summary, [max_by(topic, turn)] AS last_topic, cast(count(DISTINCT topic) AS INTEGER) AS n_topics FROM l GROUP BY 1""")
 def conversation_memory(spark, sf):
     """A bounded summary and the recent topics of each conversation, folded over its question and answer pairs."""
     pairs = splitting.turn_pairs(table(spark, sf, "conversations"))

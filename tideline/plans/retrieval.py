@@ -42,7 +42,16 @@ def rrf_fusion(spark, sf):
     return V.fused(h.select("query", "id", "rank").union(other.select("query", "id", "rank"))).withColumn("score", F.bround("score", 8))
 
 
-@query()
+def _mmr_sql(n: int) -> str:
+    """Step by step: what was picked, then the best of the rest by relevance less likeness to it."""
+    ctes = [f"WITH {_HITS}, h AS (SELECT query, hits.id, 100 * score AS score, cast(embedding AS DOUBLE[]) AS v FROM hits JOIN embeddings ON vec_id = hits.id WHERE rank <= 12)", "p1 AS (SELECT query, id, v, 1 AS place FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) = 1)"]
+    for k in range(2, n + 1):
+        gain = f"SELECT h.query, h.id, h.v, h.score, 0.7e0 * h.score - 0.3e0 * 100 * max(list_cosine_similarity(h.v, p.v)) AS gain FROM h JOIN p{k - 1} p USING (query) WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} x WHERE x.query = h.query AND x.id = h.id) GROUP BY h.query, h.id, h.v, h.score"
+        ctes.append(f"p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT query, id, v, {k} FROM (SELECT * FROM ({gain}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY round_even(gain, 9) DESC, score DESC, id) = 1))")
+    return ", ".join(ctes) + f" SELECT query, id, cast(place AS INTEGER) AS place FROM p{n}"
+
+
+@query(_mmr_sql(5))
 def mmr_select(spark, sf):
     """The five hits of each query that are relevant and unlike each other."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))

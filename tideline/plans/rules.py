@@ -13,6 +13,7 @@ from ..operators import retrieval as V
 from ..operators import windows as W
 from ..sources.tables import table
 from ._registry import query
+from .retrieval import _HITS
 
 
 @query("""WITH q AS (SELECT p_partkey, p_brand, round_even(1 + (p_size % 41) / 10e0, 2) AS d FROM part), b AS (SELECT *, CASE WHEN d < 2.5 THEN 'easy' WHEN d < 3.8 THEN 'medium' ELSE 'hard' END AS bucket FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, bucket ORDER BY p_partkey) AS r FROM b)
@@ -150,7 +151,8 @@ def enrolment_scope(spark, sf):
     return g.select("class_id", F.sha2(F.array_join("s", "|"), 256).alias("scope_key"), F.size("s").cast("long").alias("subjects"))
 
 
-@query()
+@query(f"""WITH {_HITS}, h AS (SELECT query, id, score, cast(rank AS INTEGER) AS rank, max(score) OVER (PARTITION BY query) AS top FROM hits WHERE rank <= CASE WHEN query % 3 = 0 THEN 16 ELSE 12 END), k AS (SELECT * FROM h WHERE top >= 0.28 AND score >= 0.5 * top),
+p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY query) AS n FROM k) SELECT query, id, score, rank FROM p WHERE n <= 6 OR list_contains(list_transform(range(6), lambda j: cast(round_even(j * (n - 1) / 5e0, 0) AS BIGINT)), i)""")
 def tutor_retrieval(spark, sf):
     """Retrieval as the tutor does it: a width by the question, top hits, weak ones dropped, an even spread of the rest."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
