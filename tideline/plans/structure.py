@@ -154,11 +154,11 @@ def ordered_reject_reasons(spark, sf):
     return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH m AS (SELECT l_partkey % 50 AS topic, avg(l_quantity / 50) AS mastery, avg(l_discount * 10) AS confidence, l_suppkey FROM lineitem GROUP BY l_partkey % 50, l_suppkey)
-SELECT topic, count(*) AS learners, cast(sum(cast(trunc((1 - mastery) * 100) AS BIGINT)) AS BIGINT) // count(*) AS struggle_pct FROM m WHERE mastery < 0.55 GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20""")
+@query("""WITH m AS (SELECT l_partkey % 50 AS topic, round_even(avg(l_quantity / 50), 9) AS mastery, l_suppkey FROM lineitem GROUP BY l_partkey % 50, l_suppkey)
+SELECT topic, count(*) AS learners, cast(sum(cast(trunc(round_even((1 - mastery) * 100, 6)) AS BIGINT)) AS BIGINT) // count(*) AS struggle_pct FROM m WHERE mastery < 0.55 GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20""")
 def struggle_topics(spark, sf):
-    m = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("topic"), "l_suppkey").agg(F.avg(F.col("l_quantity") / 50).alias("mastery")).where("mastery < 0.55")
-    g = m.groupBy("topic").agg(F.count(F.lit(1)).alias("learners"), F.sum(((1 - F.col("mastery")) * 100).cast("long")).alias("s"))
+    m = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("topic"), "l_suppkey").agg(F.bround(F.avg(F.col("l_quantity") / 50), 9).alias("mastery")).where("mastery < 0.55")
+    g = m.groupBy("topic").agg(F.count(F.lit(1)).alias("learners"), F.sum(F.bround((1 - F.col("mastery")) * 100, 6).cast("long")).alias("s"))
     return g.select("topic", "learners", F.expr("s div learners").alias("struggle_pct")).orderBy(F.col("learners").desc(), F.col("struggle_pct").desc(), "topic").limit(20)
 
 
