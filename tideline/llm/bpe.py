@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import _RANDOM, bounded, id_hashes, release, sequence_hash, span_hashes
+from ._common import _RANDOM, bounded, id_hashes, pieces, release, sequence_hash, span_hashes, word_spans
 from .tokens import distinct_words, encode, tokenizer
 
 #: Bytes of text in a block, and tokens that are turned to strings at once.
@@ -29,6 +28,8 @@ SLICE = 1 << 18
 _CODEC = pa.Codec("zstd", 1)
 #: Distinct words of a range of the hash space, about; their ids are all held while it answers.
 RANGE_WORDS = 250_000
+#: They are counted on one of so many parts of the hash space.
+SAMPLED = 64
 
 
 def _zip(b: bytes) -> bytes:
@@ -212,11 +213,20 @@ def _positions(path: str, full: bool):
     return run
 
 
+def _sampled_words(batches):
+    """The hashes of the distinct words of each slice that fall into one of SAMPLED equal parts of all hashes."""
+    for rb in bounded(batches):
+        for _, _, data, offsets in pieces(rb.column(0)):
+            starts, ends, _ = word_spans(data, offsets)
+            h = span_hashes(_RANDOM[data], starts, ends)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[h % np.uint64(SAMPLED) == 0]).view(np.int64))], names=["h"])
+
+
 def word_ranges(docs: DataFrame, least: int) -> int:
     """Ranges of the hash space for the words of docs: so many that each has RANGE_WORDS distinct words, about, and least
     at least. So a range can hold all its words and encodes each of them once, whatever the size of the input."""
-    words = F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))
-    n = docs.select(words.alias("w")).agg(F.approx_count_distinct("w").alias("n")).first()["n"]
+    part = docs.select("text").mapInArrow(_sampled_words, "h long").distinct().count()
+    n = SAMPLED * part
     return max(least, -(-n // RANGE_WORDS))
 
 
