@@ -69,12 +69,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions up to n."""
+    """Powers of the base and of its inverse modulo 2**64, for positions up to n or more. A process keeps one table, the
+    longest so far, of a bounded length; what is longer is made anew."""
     size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        if size > 4 * PIECE:
-            return _power_table(size)
-        _powers[size] = _power_table(size)
+    kept = max(_powers, default=0)
+    if kept >= size:
+        return _powers[kept]
+    if size > 4 * PIECE:
+        return _power_table(size)
+    _powers.clear()
+    _powers[size] = _power_table(size)
     return _powers[size]
 
 
