@@ -222,10 +222,11 @@ def test_each_word_is_encoded_once_in_its_range(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(40))) for i in range(60)] + [(99, None)], "doc_id int, text string").repartition(3)
     assert bpe.word_ranges(docs, 2) == 2
     plain = sorted(map(tuple, bpe.round_trip(docs, path).collect()))
-    monkeypatch.setattr(bpe, "RANGE_WORDS", 10)
-    monkeypatch.setattr(bpe, "SAMPLED", 1)
-    assert bpe.word_ranges(docs, 2) == 9
+    monkeypatch.setattr(bpe, "word_ranges", lambda docs, least: 9)
     assert sorted(map(tuple, bpe.round_trip(docs, path).collect())) == plain
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('a', id, ' b', id, ' a', id) AS text")
+    sampled = many.select("text").mapInArrow(bpe._sampled_words, "h long").distinct().count()
+    assert 0.5 * 6000 < bpe.SAMPLED * sampled < 2 * 6000
     given, encode = [], bpe.encode
     monkeypatch.setattr(bpe, "encode", lambda words, p: given.extend(words) or encode(words, p))
     asked = bpe._ask(1)(docs.select("doc_id", "text").toArrow().to_batches())
