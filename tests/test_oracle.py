@@ -18,6 +18,16 @@ def test_same_rows(spark, con, name):
     assert differences(spark, con, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF) == ""
 
 
+#: Queries over texts, whose patterns meet letters of all kinds only in the larger tables.
+TEXTS = sorted(n for n in catalog.ORACLE_SQL if catalog.QUERIES[n].__module__.rsplit(".", 1)[1] in ("documents", "dialogue", "rules", "turns", "structure"))
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_same_rows_of_more_texts(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert differences(spark, duck(sf), catalog.QUERIES[name], catalog.ORACLE_SQL[name], sf) == ""
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0

@@ -78,31 +78,45 @@ def spoken(text: Column) -> Column:
     return F.trim(out)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _begins(u: Column, assistant: Column) -> Column:
+    sentences = F.split(F.coalesce(assistant, F.lit("")), "[.!?]+")
+    same = lambda x: F.exists(sentences, lambda raw: _let(spoken(raw), lambda s: (s == x) | F.startswith(s, F.concat(x, F.lit(" ")))))
+    return F.when(F.size(F.split(u, " ")).between(2, 6), same(u)).otherwise(F.lit(False))
+
+
 def starts_a_sentence(user: Column, assistant: Column) -> Column:
     """Whether the user's two to six words are the beginning of one of the assistant's sentences."""
-    u = spoken(user)
-    sentences = F.transform(F.split(F.coalesce(assistant, F.lit("")), "[.!?]+"), spoken)
-    begins = F.transform(F.array(u), lambda x: F.size(F.split(x, " ")).between(2, 6) & F.exists(sentences, lambda s: (s == x) | F.startswith(s, F.concat(x, F.lit(" ")))))
-    return begins[0]
+    return _let(spoken(user), lambda u: _begins(u, assistant))
 
 
 def echo(user: Column, assistant: Column) -> Column:
     """0 to 1: 1 where the user's text begins one of the assistant's sentences, stands in its text or holds its first 120
     characters, else the share of shared words and word pairs; 0 for three longer words or fewer. A window of the assistant's text that holds a
     long user's text counts 0.98 only where the whole text does not hold it, which cannot be, so that step is not there."""
-    u, a = spoken(user), spoken(assistant)
-    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 2)
+    long_words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 2)
     pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-    uw, aw = words(u), words(a)
-    stems = F.transform(F.filter(aw, lambda w: F.length(w) >= 6), lambda w: F.substring(w, 1, 6))
-    shared = F.size(F.filter(uw, lambda w: F.array_contains(aw, w) | ((F.length(w) >= 6) & F.array_contains(stems, F.substring(w, 1, 6)))))
-    recall = F.try_divide(shared, F.size(uw))
-    union = F.try_divide(F.size(F.array_intersect(uw, aw)), F.size(F.array_union(uw, aw)))
-    both = F.coalesce(F.try_divide(F.size(F.array_intersect(pairs(uw), pairs(aw))), F.size(F.array_distinct(pairs(uw)))), F.lit(0.0))
-    probe = F.substring(a, 1, 120)
-    held = (F.contains(a, u) & ((F.size(uw) >= 4) | (F.length(u) >= 28))) | ((F.length(probe) >= 24) & F.contains(u, probe))
-    score = F.greatest(recall, 0.55 * recall + 0.25 * union + 0.20 * both)
-    return F.when((F.length(u) < 3) | (a == ""), 0.0).when(starts_a_sentence(user, assistant), 1.0).when(held, 1.0).when(F.size(uw) <= 3, 0.0).otherwise(score)
+
+    def overlap(uw: Column, aw: Column, stems: Column) -> Column:
+        shared = F.size(F.filter(uw, lambda w: F.array_contains(aw, w) | ((F.length(w) >= 6) & F.array_contains(stems, F.substring(w, 1, 6)))))
+        recall = F.try_divide(shared, F.size(uw))
+        union = F.try_divide(F.size(F.array_intersect(uw, aw)), F.size(F.array_union(uw, aw)))
+        both = _let(pairs(uw), lambda p: F.coalesce(F.try_divide(F.size(F.array_intersect(p, pairs(aw))), F.size(F.array_distinct(p))), F.lit(0.0)))
+        return _let(recall, lambda r: F.greatest(r, 0.55 * r + 0.25 * union + 0.20 * both))
+
+    def scored(u: Column, a: Column, uw: Column, begins: Column) -> Column:
+        probe = F.substring(a, 1, 120)
+        held = (F.contains(a, u) & ((F.size(uw) >= 4) | (F.length(u) >= 28))) | ((F.length(probe) >= 24) & F.contains(u, probe))
+        stems = lambda aw: F.transform(F.filter(aw, lambda w: F.length(w) >= 6), lambda w: F.substring(w, 1, 6))
+        score = _let(long_words(a), lambda aw: _let(stems(aw), lambda s: overlap(uw, aw, s)))
+        return F.when((F.length(u) < 3) | (a == ""), 0.0).when(begins, 1.0).when(held, 1.0).when(F.size(uw) <= 3, 0.0).otherwise(score)
+
+    # Each text is prepared once and bound to a name; a lambda would prepare it again for every word.
+    return _let(spoken(user), lambda u: _let(spoken(assistant), lambda a: _let(long_words(u), lambda uw: scored(u, a, uw, _begins(u, assistant)))))
 
 
 def without_synonyms(top: DataFrame, n: int, most: float = 0.85) -> DataFrame:

@@ -141,7 +141,23 @@ def conversation_memory(spark, sf):
     return g.select("conv_id", summary.alias("summary"), F.slice(F.reverse(F.array_distinct(F.reverse("topics"))), -1, 1).alias("last_topic"), F.size(F.array_distinct("topics")).alias("n_topics"))
 
 
-@query()
+def _spoken(text: str) -> str:
+    """SQL of splitting.spoken: single blanks become two, so that each filler has blanks of its own to match."""
+    out, border = f"lower(coalesce({text}, ''))", r"[^\p{L}\p{N}_]"
+    for words, by in (("you''?re", "you are"), ("i''m", "i am")):
+        out = rf"regexp_replace({out}, '(^|{border}){words}($|{border})', '\1{by}\2', 'g')"
+    out = rf"' ' || regexp_replace(trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+', '  ', 'g') || ' '"
+    fillers = splitting.FILLERS.replace(" ", "  ")
+    return rf"trim(regexp_replace(regexp_replace({out}, ' (?:{fillers}) ', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS before, lag(role) OVER w AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, turn, {_spoken("text")} AS u, {_spoken("before")} AS a, list_transform(string_split_regex(coalesce(before, ''), '[.!?]+'), lambda x: {_spoken("x")}) AS said FROM c WHERE role = 'user' AND who = 'assistant'),
+w AS (SELECT *, list_filter(string_split(u, ' '), lambda x: length(x) > 2) AS uw, list_filter(string_split(a, ' '), lambda x: length(x) > 2) AS aw FROM s),
+p AS (SELECT *, list_transform(uw[2:], lambda x, i: uw[i] || ' ' || x) AS up, list_transform(aw[2:], lambda x, i: aw[i] || ' ' || x) AS ap, list_transform(list_filter(aw, lambda x: length(x) >= 6), lambda x: left(x, 6)) AS stems FROM w),
+r AS (SELECT *, len(list_filter(uw, lambda x: list_contains(aw, x) OR (length(x) >= 6 AND list_contains(stems, left(x, 6))))) / nullif(len(uw), 0) AS recall, len(list_intersect(uw, aw)) / nullif(len(list_distinct(list_concat(uw, aw))), 0) AS shared, coalesce(len(list_intersect(up, ap)) / nullif(len(list_distinct(up)), 0), 0) AS pairs FROM p)
+SELECT conv_id, turn, round_even(CASE WHEN length(u) < 3 OR a = '' THEN 0e0 WHEN len(string_split(u, ' ')) BETWEEN 2 AND 6 AND len(list_filter(said, lambda x: x = u OR starts_with(x, u || ' '))) > 0 THEN 1e0
+WHEN (contains(a, u) AND (len(uw) >= 4 OR length(u) >= 28)) OR (length(left(a, 120)) >= 24 AND contains(u, left(a, 120))) THEN 1e0 WHEN len(uw) <= 3 THEN 0e0 ELSE greatest(recall, 0.55e0 * recall + 0.25e0 * shared + 0.20e0 * pairs) END, 6) AS echo FROM r""")
 def echo_similarity(spark, sf):
     """How far a user's turn repeats the assistant's turn before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
