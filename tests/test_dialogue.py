@@ -151,10 +151,10 @@ def test_echo_of_speech(spark):
     tutor = "Photosynthesis is the process plants use to make food from sunlight"
     assert score("photosynthesis is the process plants use to make food", tutor) > 0.7 and score("photosynthesis is the process plants use", tutor) > 0.7
     assert score("what is mitochondria", tutor) <= 0.7 and score("can you explain photosynthesis again", tutor) <= 0.7 and score("stop", tutor) <= 0.7
-    greeting = "Hi Suneel, welcome back. What would you like to learn today from Chapter 2?"
+    greeting = "Hi Mayra, welcome back. What would you like to learn today from Chapter 2?"
     assert score("what would", greeting) == 1.0 and score("what is photosynthesis", greeting) <= 0.7
     assert score("the mughals", "Later the Mughals take over, and the map changes again.") <= 0.7
-    assert score("Sunil you are mixing two things in", "Ah, Suneel, you're mixing two things. In Chapter 2, we don't count maps.") > 0.7
+    assert score("Mira you are mixing two things in", "Ah, Mayra, you're mixing two things. In Chapter 2, we don't count maps.") > 0.7
 
 
 def test_texts_as_lines_and_back(spark):
