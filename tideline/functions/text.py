@@ -88,10 +88,14 @@ def bloom(text: Column) -> Column:
 
 
 def difficulty(level: Column, n_words: Column, grade: int = 6, digits: int = 2) -> Column:
-    base = F.lit(2.5)
-    for k, v in BLOOM_DIFFICULTY.items():
-        base = F.when(level == k, F.lit(v)).otherwise(base)
-    x = base + min(1.5, grade / 10.0) * 0.3 + F.least(F.lit(1.0), n_words / 200.0) * 0.2
+    def base(of: Column) -> Column:
+        out = F.lit(2.5)
+        for k, v in BLOOM_DIFFICULTY.items():
+            out = F.when(of == k, F.lit(v)).otherwise(out)
+        return out
+
+    # The level is bound once; as a column it would be found again for each of its names.
+    x = _let(level, base) + min(1.5, grade / 10.0) * 0.3 + F.least(F.lit(1.0), n_words / 200.0) * 0.2
     return F.bround(F.least(F.lit(5.0), F.greatest(F.lit(1.0), x)), digits)
 
 
