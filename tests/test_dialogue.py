@@ -185,3 +185,22 @@ def test_what_got_worse(spark):
 def test_echo_of_the_first_words(spark):
     tutor = "the quick brown fox jumps over the lazy dog"
     assert spark.range(1).select(splitting.echo(F.lit("you said " + tutor + " why"), F.lit(tutor)).alias("x")).first().x == 1.0
+
+
+def test_a_long_row_of_single_letters_is_torn_and_ends(spark):
+    """A repeated group matched a level deeper for each letter."""
+    text = "the quick words here and there " * 8000 + "a b " * 20000 + "end"
+    rows = spark.createDataFrame([(1, text), (2, "one two six ten a b c d"), (3, "one two six ten a b c de"), (4, "one two six ten xa b c d")], "i long, t string")
+    assert [r.x for r in rows.orderBy("i").select(D.letter_spaced(F.col("t")).alias("x")).collect()] == [True, True, False, False]
+
+
+def test_words_of_all_subjects_are_found_side_by_side(spark):
+    rows = spark.createDataFrame([(1, "Periodic table, atom"), (2, "atoms, xmap_ map1"), (3, "parliament war-map"), (4, None)], "i long, t string")
+    got = [r.x for r in rows.orderBy("i").select(D.subject_tags(F.col("t")).alias("x")).collect()]
+    assert got == [["chemistry", "nuclear_physics"], [], ["geography", "history", "civics"], []]
+
+
+def test_patterns_of_subjects_run_once_a_text(spark):
+    texts = spark.createDataFrame([("x",)], "t string")
+    plan = texts.select(D.subject_tags(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("photosynthesis") <= 2 and "RLIKE" not in plan
