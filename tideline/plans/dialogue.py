@@ -145,8 +145,9 @@ t AS (SELECT doc_id, list_concat(list_filter([{', '.join(f'CASE WHEN regexp_matc
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:{D.TAGS}], '|') AS tags FROM t""")
 def educational_tags(spark, sf):
     """Tags of each document's subjects, type and role."""
-    facts = D.figure_facts(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", "text", facts.alias("f")).select("doc_id", D.educational_tags(F.col("text"), F.col("f.type"), F.col("f.role")).alias("tags"))
+    kinds = table(spark, sf, "documents").select("doc_id", "text", D.figure_type(F.col("text")).alias("type"))
+    roles = kinds.select("doc_id", "text", "type", D.figure_role(F.col("text"), F.col("type")).alias("role"))
+    return roles.select("doc_id", D.educational_tags(F.col("text"), F.col("type"), F.col("role")).alias("tags"))
 
 
 @query(rf"""WITH k AS (SELECT *, {_TYPE} AS kind FROM ({_CAPTION}))
