@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,61 @@ def test_other_queries_keep_their_state_store(spark):
         assert spark.conf.get(key) != before
         raise ValueError
     assert spark.conf.get(key) == before and F is not None
+
+
+def test_only_the_last_rows_of_a_step_reach_the_alerts():
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), pd.Timestamp(at(rng.randint(0, 240))), i, rng.random() < 0.5, float(i)) for i in range(900)]
+    frame = pd.DataFrame(rows, columns=["metric", "ts", "event_id", "hit", "value"])
+    got = pd.concat(X._last_of_steps(3600, 3)(iter([frame[:400], frame[400:]])))
+    want = set()
+    for tick in range(1, 6):
+        for metric in "ab":
+            seen = sorted((r[1], r[2]) for r in rows if r[0] == metric and at(60 * (tick - 1)) <= r[1] < at(60 * tick))
+            want |= {i for _, i in seen[-3:]}
+    assert set(got.event_id) == want and len(got) == len(want)
+
+
+class _Kept:
+    """State that notes what is put into it."""
+
+    def __init__(self):
+        self.rows, self.value = [], None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+
+class _Handle:
+    def __init__(self):
+        self.list = _Kept()
+
+    def getListState(self, *_):  # noqa: N802
+        return self.list
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Kept()
+
+    def registerTimer(self, _):  # noqa: N802
+        pass
+
+    def deleteTimer(self, _):  # noqa: N802
+        pass
+
+
+def test_presence_keeps_a_row_for_a_time_of_activity_not_for_each_event():
+    handle = _Handle()
+    processor = X._Presence(10 * 60_000)
+    processor.init(handle)
+    frame = pd.DataFrame({"ts": [pd.Timestamp(at(i if i < 50 else i + 30)) for i in range(100)], "event_id": range(100), "surface": ["view"] * 100})
+    list(processor.handleInputRows((7,), iter([frame[::2], frame[1::2]]), None))
+    assert [r[4] for r in handle.list.rows] == [50, 50]

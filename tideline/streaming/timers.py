@@ -194,7 +194,8 @@ def alerts(stream: DataFrame, window_s: int, step_s: int, need: int, cooldown_s:
     row at its end fire, again only after the cooldown; anything else resolves what fires. A metric that falls silent
     keeps its state of firing and costs nothing else. Steps must be whole milliseconds.
     """
-    rows = stream.withWatermark("ts", lateness).select("metric", "ts", "event_id", F.col("hit").cast("boolean").alias("hit"), F.col("value").cast("double").alias("value"))
+    rows = stream.select("metric", "ts", F.col("event_id").cast("long").alias("event_id"), F.col("hit").cast("boolean").alias("hit"), F.col("value").cast("double").alias("value"))
+    rows = rows.where("ts IS NOT NULL").mapInPandas(_last_of_steps(step_s, need), "metric string, ts timestamp, event_id long, hit boolean, value double").withWatermark("ts", lateness)
     schema = "metric string, noticed_at timestamp, status string, value double"
     return rows.groupBy("metric").transformWithStateInPandas(_Alerts(window_s, step_s, need, cooldown_s), schema, "append", "eventtime")
 
@@ -206,6 +207,37 @@ class _Quiet(StatefulProcessor):
         self.quiet = quiet_ms
 
     def init(self, handle) -> None:
+#: Rows that a task gathers before it looks which of them count.
+GATHERED = 500_000
+
+
+def _last_of_steps(step_s: int, need: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each metric's rows between two steps only the last `need`: no evaluation looks at others, wherever its window
+    begins, and a batch's latest row is among them, so the watermark stays what it is."""
+
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
+        at = _micros(frame["ts"])
+        frame = frame.assign(hit=frame["hit"].fillna(False).astype(bool), _at=at, _step=at // (1_000_000 * step_s))
+        ordered = frame.sort_values(["_at", "event_id", "hit", "value"])
+        return ordered.groupby(["metric", "_step"], dropna=False, sort=False).tail(need).drop(columns=["_at", "_step"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, out = [], 0, None
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= GATHERED:
+                out = last(pd.concat(held, ignore_index=True))
+                # Where little can be left out, what is gathered goes on.
+                if len(out) > GATHERED // 2:
+                    yield out
+                    held, n = [], 0
+                else:
+                    held, n = [out], len(out)
+        if n:
+            yield last(pd.concat(held, ignore_index=True))
+
+    return run
         self.spoken = handle.getValueState("spoken", "at long", ttlDurationMs=self.quiet)
 
     def handleInputRows(self, key, rows, timerValues):
