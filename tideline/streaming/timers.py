@@ -36,62 +36,83 @@ def _micros(ts: pd.Series) -> pd.Series:
 
 
 class _Presence(StatefulProcessor):
-    """The events of a user that the watermark has not passed, and one row of state for the time of activity that runs."""
+    """The times of activity that the watermark has not passed, and one row of state for the one that runs."""
 
     def __init__(self, window_ms: int) -> None:
         self.window = window_ms * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, id long, surface string")
-        self.now = handle.getValueState("now", "started long, last long, surface string, n long")
-        self.timer = handle.getValueState("timer", "due long")
-
-    def _wait(self, due_us: int) -> None:
-        """Waits for the watermark to reach a time, if nothing earlier is waited for."""
-        due, set_for = -(-due_us // 1000), self.timer.get()[0] if self.timer.exists() else None
-        if set_for is None or due < set_for:
+        self.runs = handle.getListState("runs", "started long, last long, id long, surface string, n long")
+        self.now = handle.getValueState("now", "started long, last long, id long, surface string, n long, due long")
+
+    def _joined(self, runs: list[tuple]) -> list[tuple]:
+        """Runs of events that lie within the window of each other made one; their order of arrival does not count."""
+        out: list[tuple] = []
+        for run in sorted(runs, key=lambda r: r[:3]):
+            if out and run[0] - out[-1][1] <= self.window:
+                a = out[-1]
+                late = run if run[1:3] >= a[1:3] else a
+                out[-1] = (a[0], late[1], late[2], late[3], a[4] + run[4])
+            else:
+                out.append(run)
+        return out
+
+    def _runs(self, frame: pd.DataFrame) -> list[tuple]:
+        """The runs of some events."""
+        f = pd.DataFrame({"at": _micros(frame["ts"]), "id": frame["event_id"].astype("int64"), "surface": frame["surface"]}).sort_values(["at", "id"], kind="stable")
+        at, ids, surface = f["at"].to_numpy(), f["id"].to_numpy(), f["surface"].to_numpy()
+        first = [0, *((at[1:] - at[:-1] > self.window).nonzero()[0] + 1).tolist()]
+        ends = [*first[1:], len(at)]
+        return [(int(at[i]), int(at[j - 1]), int(ids[j - 1]), surface[j - 1], j - i) for i, j in zip(first, ends, strict=True)]
+
+    def _timed(self, now: tuple | None, due: int | None, set_for: int | None) -> None:
+        """Keeps what runs, and waits for the watermark to reach a time in place of the one that was waited for."""
+        due = None if due is None else -(-due // 1000)
+        if due != set_for:
             if set_for is not None:
                 self.handle.deleteTimer(set_for)
-            self.handle.registerTimer(due)
-            self.timer.update((due,))
+            if due is not None:
+                self.handle.registerTimer(due)
+        if now is None and due is None:
+            self.now.clear()
+        else:
+            self.now.update((*(now or (None,) * 5), due))
+
+    def _state(self) -> tuple[tuple | None, int | None]:
+        held = self.now.get() if self.now.exists() else None
+        return (tuple(held[:5]) if held and held[0] is not None else None), (held[5] if held else None)
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
+        runs: list[tuple] = []
         for frame in rows:
-            at = _micros(frame["ts"])
-            self.rows.appendList([(int(a), int(i), s) for a, i, s in zip(at, frame["event_id"], frame["surface"], strict=True)])
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-        self._wait(first)
+            runs = self._joined(runs + self._runs(frame))
+        now, set_for = self._state()
+        self.runs.appendList(runs)
+        first = runs[0][0] if set_for is None else min(runs[0][0], set_for * 1000)
+        self._timed(now, first, set_for)
         yield _frame([], _PRESENCE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.timer.clear()
+        now, set_for = self._state()
         seen = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.rows.get(), key=lambda r: r[:2]) if self.rows.exists() else []
-        past = [r for r in rows if r[0] <= seen]
-        now, ended = self.now.get() if self.now.exists() else None, []
-        for at, _, surface in past:
-            if now is not None and at - now[1] > self.window:
-                ended.append(now)
-                now = None
-            now = (at, at, surface, 1) if now is None else (now[0], at, surface, now[3] + 1)
-        if now is not None and now[1] + self.window <= seen:
-            ended.append(now)
-            now = None
-        rest = rows[len(past) :]
+        runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+        # All rows up to the watermark are here, so what has begun by then is joined as far as it goes; a later row
+        # may lie inside it, and joins it in its turn.
+        begun = self._joined(([now] if now is not None else []) + [r for r in runs if r[0] <= seen])
+        rest = [r for r in runs if r[0] > seen]
+        ended = [r for r in begun if r[1] + self.window <= seen]
+        open_ = [r for r in begun if r[1] + self.window > seen]
+        now = open_[0] if open_ else None
+        rest += open_[1:]
         if rest:
-            self.rows.put(rest)
-            self._wait(rest[0][0])
-        else:
-            self.rows.clear()
-        if now is None:
-            self.now.clear()
-        else:
-            self.now.update(now)
-            self._wait(now[1] + self.window)
+            self.runs.put(rest)
+        elif runs:
+            self.runs.clear()
+        due = [r[0] for r in rest] + ([now[1] + self.window] if now is not None else [])
+        self._timed(now, min(due) if due else None, None)
         time = lambda us: pd.Timestamp(us, unit="us")
-        yield _frame([(key[0], time(a), time(b), s, n, time(b + self.window)) for a, b, s, n in ended], _PRESENCE)
+        yield _frame([(key[0], time(a), time(b), s, n, time(b + self.window)) for a, b, _, s, n in ended], _PRESENCE)
 
     def close(self) -> None:
         pass
@@ -185,28 +206,6 @@ class _Alerts(StatefulProcessor):
 
 
 _ALERTS = ("metric", "noticed_at", "status", "value")
-
-
-def alerts(stream: DataFrame, window_s: int, step_s: int, need: int, cooldown_s: int, lateness: str) -> DataFrame:
-    """metric, noticed_at, status and value of each notice. stream: metric, ts, event_id, value and hit (whether it breaches).
-
-    At every whole step of event time the values of the last window are looked at, if there are any: `need` breaches in a
-    row at its end fire, again only after the cooldown; anything else resolves what fires. A metric that falls silent
-    keeps its state of firing and costs nothing else. Steps must be whole milliseconds.
-    """
-    rows = stream.select("metric", "ts", F.col("event_id").cast("long").alias("event_id"), F.col("hit").cast("boolean").alias("hit"), F.col("value").cast("double").alias("value"))
-    rows = rows.where("ts IS NOT NULL").mapInPandas(_last_of_steps(step_s, need), "metric string, ts timestamp, event_id long, hit boolean, value double").withWatermark("ts", lateness)
-    schema = "metric string, noticed_at timestamp, status string, value double"
-    return rows.groupBy("metric").transformWithStateInPandas(_Alerts(window_s, step_s, need, cooldown_s), schema, "append", "eventtime")
-
-
-class _Quiet(StatefulProcessor):
-    """Whether a key has spoken; the state store forgets it after a while."""
-
-    def __init__(self, quiet_ms: int) -> None:
-        self.quiet = quiet_ms
-
-    def init(self, handle) -> None:
 #: Rows that a task gathers before it looks which of them count.
 GATHERED = 500_000
 
@@ -238,6 +237,28 @@ def _last_of_steps(step_s: int, need: int) -> Callable[[Iterator[pd.DataFrame]],
             yield last(pd.concat(held, ignore_index=True))
 
     return run
+
+
+def alerts(stream: DataFrame, window_s: int, step_s: int, need: int, cooldown_s: int, lateness: str) -> DataFrame:
+    """metric, noticed_at, status and value of each notice. stream: metric, ts, event_id, value and hit (whether it breaches).
+
+    At every whole step of event time the values of the last window are looked at, if there are any: `need` breaches in a
+    row at its end fire, again only after the cooldown; anything else resolves what fires. A metric that falls silent
+    keeps its state of firing and costs nothing else. Steps must be whole milliseconds.
+    """
+    rows = stream.select("metric", "ts", F.col("event_id").cast("long").alias("event_id"), F.col("hit").cast("boolean").alias("hit"), F.col("value").cast("double").alias("value"))
+    rows = rows.where("ts IS NOT NULL").mapInPandas(_last_of_steps(step_s, need), "metric string, ts timestamp, event_id long, hit boolean, value double").withWatermark("ts", lateness)
+    schema = "metric string, noticed_at timestamp, status string, value double"
+    return rows.groupBy("metric").transformWithStateInPandas(_Alerts(window_s, step_s, need, cooldown_s), schema, "append", "eventtime")
+
+
+class _Quiet(StatefulProcessor):
+    """Whether a key has spoken; the state store forgets it after a while."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet = quiet_ms
+
+    def init(self, handle) -> None:
         self.spoken = handle.getValueState("spoken", "at long", ttlDurationMs=self.quiet)
 
     def handleInputRows(self, key, rows, timerValues):
