@@ -1,6 +1,7 @@
 """Word files, pages that begin at headings, and the library's functions in SQL."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from tideline.functions import sql as Q
 from tideline.functions import structure as X
 from tideline.functions import text as T
 from tideline.functions import turns
+from tideline.operators import relational
 from tideline.sources import docx
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -115,3 +117,19 @@ def test_numerals_counts_and_titles(spark):
     assert [r.k for r in got][1] == "bullet-points" and {r.b for r in got} == {"narrow"}
     titles = spark.createDataFrame([("Chapter 3.  The   rivers ...... 41",), ("2.1) Rain 7",), ("Year 2024",), ("plain",)], "t string")
     assert [r.x for r in titles.select(turns.clean_title(F.col("t")).alias("x")).collect()] == ["The rivers", "Rain", "Year", "plain"]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_top_terms_are_those_of_a_plain_count(spark, most):
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de", None]), [rng.choice("aabbcdefghij") * 4 for _ in range(rng.randint(0, 12))]) for _ in range(60)] + [("en", None)]
+    counts = {}
+    for lang, words in rows:
+        for term in (words or []) + [f"{a} {b}" for a, b in zip(words or [], (words or [])[1:], strict=False)]:
+            counts[lang, term] = counts.get((lang, term), 0) + 1
+    want = set()
+    for lang in ("en", "de", None):
+        own = sorted(((t, n) for (k, t), n in counts.items() if k == lang), key=lambda x: (-x[1], x[0]))
+        want |= {(lang, t, n, i + 1) for i, (t, n) in enumerate(own[:6])}
+    frame = spark.createDataFrame(rows, "lang string, w array<string>")
+    assert {tuple(r) for r in relational.top_terms(frame, ["lang"], "w", 6, most).select("lang", "term", "n", "rank").collect()} == want

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def filtered(df: DataFrame, *predicates: Column | None) -> DataFrame:
     """The rows that meet every predicate that is not None."""
@@ -31,6 +33,27 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def top_terms(df: DataFrame, keys: list[str], words: str, n: int, most: int = 10_000) -> DataFrame:
+    """keys, term, n and rank of each key's n most frequent words and pairs of neighbours in arrays of words; of equally
+    frequent ones the first by name.
+
+    A pair occurs no more often than either of its words, so pairs with a word less frequent than the key's n-th word are
+    behind n words and are not counted. The words that remain, n a key and ties, are broadcast up to `most`.
+    """
+    single = df.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc())
+    often = stored(single.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= n).drop("_r"), "terms")
+    few = often.limit(most + 1).count() <= most
+    pairs = df.select(*keys, F.explode(F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))).alias("_p"))
+    pairs = pairs.select(*keys, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
+    for side in ("a", "b"):
+        known = often.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("term").alias("_term"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        pairs = pairs.join(F.broadcast(known) if few else known, [*same, F.col(side) == F.col("_term")], "left_semi")
+    double = pairs.groupBy(*keys, F.concat_ws(" ", "a", "b").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return top_per_key(often.unionByName(double), keys, [F.col("n").desc(), F.col("term")], n)
+
+
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Each key's row with the greatest values of `by`; one aggregation, no sort."""
     rest = [c for c in df.columns if c not in keys]

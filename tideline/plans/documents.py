@@ -194,12 +194,7 @@ def key_concepts(spark, sf):
     """The most frequent words and word pairs of each language, without near synonyms of those before them."""
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), 1), lambda w: ~w.isin(T.STOPWORDS))
     d = table(spark, sf, "documents").select("lang", words.alias("w"))
-    grams = F.concat("w", F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("w", i), x)))
-    n = d.select("lang", F.explode(grams).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    top = R.top_per_key(n, ["lang"], [F.col("n").desc(), F.col("term")], 40)
-    return splitting.without_synonyms(top, 20)
-
-
+    return splitting.without_synonyms(R.top_terms(d, ["lang"], "w", 40), 20)
 
 
 @query("""SELECT source, CASE WHEN source IS NULL THEN 'general' ELSE trim(both '_' from regexp_replace(lower(source || ' & ' || lang), '[^a-z0-9]+', '_', 'g')) END AS slug, cast(sum(greatest(1, length(coalesce(text, '')) // 4)) AS BIGINT) AS tokens, CASE WHEN avg(n_chars) >= 70 THEN 'Good' WHEN avg(n_chars) >= 45 THEN 'Fair' ELSE 'At Risk' END AS size FROM documents GROUP BY 1, 2""")
