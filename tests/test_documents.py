@@ -133,3 +133,9 @@ def test_top_terms_are_those_of_a_plain_count(spark, most):
         want |= {(lang, t, n, i + 1) for i, (t, n) in enumerate(own[:6])}
     frame = spark.createDataFrame(rows, "lang string, w array<string>")
     assert {tuple(r) for r in relational.top_terms(frame, ["lang"], "w", 6, most).select("lang", "term", "n", "rank").collect()} == want
+
+
+def test_the_level_is_found_once_for_the_difficulty(spark):
+    texts = spark.createDataFrame([("compare a and b",)], "t string").select(T.difficulty(T.bloom(F.col("t")), F.lit(4), digits=4).alias("x"))
+    assert texts._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert texts.first().x == 3.684
