@@ -115,6 +115,18 @@ def phrase_matches(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("phrases"))
 
 
+#: Ids that more than one row has are broadcast up to this number; beyond it the words of all rows are grouped.
+FEW = 200_000
+
+
+def _counted_together(docs):
+    """(doc_id, keywords) of each row of docs, by the words of all rows of its id."""
+    w = docs.select("doc_id", F.explode(D.keyword_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    r = F.row_number().over(Window.partitionBy("doc_id").orderBy(D.keyword_weight(F.col("word"), F.col("n")).desc(), "word"))
+    lists = w.withColumn("r", r).where("r <= 10").groupBy("doc_id").agg(W.ordered_list("word", "r").alias("words"))
+    return lists.join(docs.select("doc_id", D.figure_type(F.col("text")).alias("kind")), "doc_id").select("doc_id", D.keywords_with_type(F.col("words"), F.col("kind")).alias("keywords"))
+
+
 _NUMBER = r"^fig\.?\s*[0-9]+(?:\.[0-9]+)*\s*"
 #: c is the stripped text and t its caption without label, of which the types are told.
 _CAPTION = rf"""SELECT doc_id, c, n, CASE WHEN regexp_matches(c, '{_NUMBER}\.?\z') OR regexp_matches(t, '^[0-9. ]+\z') THEN '' ELSE left(t, 512) END AS t
@@ -132,12 +144,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * CASE WHEN li
 k AS (SELECT doc_id, {_TYPE} AS kind FROM ({_CAPTION}))
 SELECT doc_id, array_to_string(CASE WHEN kind <> 'unknown' AND NOT list_contains(words, kind) THEN list_prepend(kind, words)[1:10] ELSE words END, '|') AS keywords FROM l JOIN k USING (doc_id)""")
 def semantic_keywords(spark, sf):
-    """The ten weightiest words of each document, its type among them."""
-    docs = table(spark, sf, "documents")
-    w = docs.select("doc_id", F.explode(D.keyword_words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    r = F.row_number().over(Window.partitionBy("doc_id").orderBy(D.keyword_weight(F.col("word"), F.col("n")).desc(), "word"))
-    lists = w.withColumn("r", r).where("r <= 10").groupBy("doc_id").agg(W.ordered_list("word", "r").alias("words"))
-    return lists.join(docs.select("doc_id", D.figure_type(F.col("text")).alias("kind")), "doc_id").select("doc_id", D.keywords_with_type(F.col("words"), F.col("kind")).alias("keywords"))
+    """The ten weightiest words of each document, its type among them. A row whose id no other row has is ranked by itself;
+    the words of rows that share an id are counted together."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").where("doc_id IS NOT NULL")
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    n = shared.limit(FEW + 1).count()
+    if n > FEW:
+        return _counted_together(docs)
+    known = F.broadcast(shared)
+    alone = docs.join(known, "doc_id", "left_anti") if n else docs
+    ranked = alone.select("doc_id", F.explode(D.text_keywords(F.col("text"))).alias("keywords"))
+    return ranked.unionByName(_counted_together(docs.join(known, "doc_id", "left_semi"))) if n else ranked
 
 
 @query(f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), k AS (SELECT *, {_TYPE} AS kind FROM ({_CAPTION})), r AS (SELECT doc_id, kind, {_ROLE} AS role FROM k),
